@@ -32,25 +32,27 @@ def dedupe_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 # ---- running totals -----------------------------------------------------------------------------
-def running_total(df: DataFrame, index: str, value: str, out: str, *, width: int = 65_536) -> DataFrame:
-    """Running sum of `value` along a unique integer `index`, without one task seeing all rows.
+def running_total(
+    df: DataFrame, index: str, value: str, out: str, *, by: Sequence[str] = (), width: int = 65_536,
+) -> DataFrame:
+    """Running sum of `value` along an integer `index`, unique within `by`, without one task seeing a
+    whole series.
 
     Rows are summed per block of `width` indexes and per block of blocks; each window then covers one
     block, and only the top level (one row per ``width**2`` indexes) is ordered as a whole.
     """
-    block = F.floor(F.col(index) / width)
-    rows = df.withColumn("_b1", block)
-    level1 = rows.groupBy("_b1").agg(F.sum(value).alias("_s1")).withColumn("_b2", F.floor(F.col("_b1") / width))
-    level2 = level1.groupBy("_b2").agg(F.sum("_s1").alias("_s2"))
+    rows = df.withColumn("_b1", F.floor(F.col(index) / width))
+    level1 = rows.groupBy(*by, "_b1").agg(F.sum(value).alias("_s1")).withColumn("_b2", F.floor(F.col("_b1") / width))
+    level2 = level1.groupBy(*by, "_b2").agg(F.sum("_s1").alias("_s2"))
     before = (Window.unboundedPreceding, -1)
-    base2 = F.coalesce(F.sum("_s2").over(Window.orderBy("_b2").rowsBetween(*before)), F.lit(0))
-    base1 = F.coalesce(F.sum("_s1").over(Window.partitionBy("_b2").orderBy("_b1").rowsBetween(*before)), F.lit(0))
+    base2 = F.coalesce(F.sum("_s2").over(Window.partitionBy(*by).orderBy("_b2").rowsBetween(*before)), F.lit(0))
+    base1 = F.coalesce(F.sum("_s1").over(Window.partitionBy(*by, "_b2").orderBy("_b1").rowsBetween(*before)), F.lit(0))
     offsets = (
-        level1.join(level2.select("_b2", base2.alias("_base2")), "_b2")
-        .select("_b1", (base1 + F.col("_base2")).alias("_base"))
+        level1.join(level2.select(*by, "_b2", base2.alias("_base2")), [*by, "_b2"])
+        .select(*by, "_b1", (base1 + F.col("_base2")).alias("_base"))
     )
-    inside = F.sum(value).over(Window.partitionBy("_b1").orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(offsets, "_b1").withColumn(out, F.col("_base") + inside).drop("_b1", "_base")
+    inside = F.sum(value).over(Window.partitionBy(*by, "_b1").orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(offsets, [*by, "_b1"]).withColumn(out, F.col("_base") + inside).drop("_b1", "_base")
 
 
 def new_per_page(cards: DataFrame, *, page: str = "page", key: str = "slug") -> DataFrame:
