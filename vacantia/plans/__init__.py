@@ -1 +1,6 @@
+"""Registered queries."""
 
+from vacantia.plans import crawl_queries, search_queries, text_queries  # noqa: F401
+from vacantia.plans.registry import CHECKS, QUERIES
+
+__all__ = ["CHECKS", "QUERIES"]
