@@ -15,7 +15,7 @@ from vacantia.functions.text import to_int, whole_int
 from vacantia.functions.urls import build_url, clean_slug, is_strict_slug, slug_from_href, slug_from_link
 from vacantia.operators import jsonld
 from vacantia.operators.html import (
-    Sel, all_texts, anchored, attr, element_table, first_of, first_text, of_role, parse, rich_text, some, within,
+    Sel, all_texts, anchored, attr, element_table, first_of, first_text, inside, of_role, parse, rich_text, some, within,
 )
 from vacantia.portal import DEFAULT, Portal
 
@@ -102,14 +102,17 @@ def extract_listing_meta(pages: DataFrame, *, carry: Sequence[str] = ("page_id",
 
 def pagination(hits: Column) -> Column:
     """``struct(last_page, has_next)`` of the pagination nav: labels or the current page; no nav is page 1."""
-    labels = F.transform(of_role(hits, "page_label"), lambda h: attr(h, "aria-label"))
-    numbered = F.transform(labels, lambda t: F.regexp_extract(t, r"^Página ([0-9]+)$", 1).try_cast("bigint"))
-    current = whole_int(first_of(hits, "current")["text"])
-    none = F.size(of_role(hits, "nav")) == 0
-    return F.struct(
-        F.when(none, F.lit(1).cast("bigint")).otherwise(F.array_max(F.array_compact(F.concat(numbered, F.array(current))))).alias("last_page"),
-        (~none & F.array_contains(labels, NEXT_LABEL)).alias("has_next"),
-    )
+
+    def read(labels: Column) -> Column:
+        numbered = F.transform(labels, lambda t: F.regexp_extract(t, r"^Página ([0-9]+)$", 1).try_cast("bigint"))
+        current = whole_int(first_of(hits, "current")["text"])
+        none = F.size(of_role(hits, "nav")) == 0
+        return F.struct(
+            F.when(none, F.lit(1).cast("bigint")).otherwise(F.array_max(F.array_compact(F.concat(numbered, F.array(current))))).alias("last_page"),
+            (~none & F.array_contains(labels, NEXT_LABEL)).alias("has_next"),
+        )
+
+    return let(F.transform(of_role(hits, "page_label"), lambda h: attr(h, "aria-label")), read)
 
 
 def _strict_card(mine: Column, slug: Column, today: Column, portal: Portal) -> list[Column]:
@@ -128,9 +131,7 @@ def _strict_card(mine: Column, slug: Column, today: Column, portal: Portal) -> l
 
 def _card_frame(table: DataFrame, frame: str, carry: Sequence[str], today: Column, portal: Portal) -> DataFrame:
     """The cards inside the results frame `frame` of an element table anchored on cards."""
-    inside = first_of(F.col("hits"), frame)
-    scoped = table.where(inside.isNotNull()).withColumn("hits", within(F.col("hits"), inside["pre"], inside["end"]))
-    cards = anchored(scoped, "card").where(F.array_contains(F.map_keys(F.col("card.attrs")), CARDS.slug_attr))
+    cards = anchored(table.withColumn("hits", inside(F.col("hits"), frame)), "card").where(F.array_contains(F.map_keys(F.col("card.attrs")), CARDS.slug_attr))
     return cards.select(*carry, "pos", *_strict_card(F.col("mine"), attr(F.col("card"), CARDS.slug_attr), today, portal))
 
 
@@ -163,26 +164,32 @@ def extract_search_page(
         Sel("pill", tag="a", cls="similar-role-suggestion-pill", attr="data-role-name"),
     )
     table = element_table(pages, keep, anchor=CARDS.card, carry=[*carry, "html"])
-    hits, frame = F.col("hits"), first_of(F.col("hits"), "frame")
-    scoped = within(hits, frame["pre"], frame["end"])
-    slugs = F.filter(of_role(scoped, "card"), lambda h: F.array_contains(F.map_keys(h["attrs"]), CARDS.slug_attr))
-    bad_slug = F.exists(slugs, lambda h: ~F.coalesce(is_strict_slug(attr(h, CARDS.slug_attr)), F.lit(False)))
-    titled = F.transform(F.filter(of_role(scoped, "title"), lambda h: F.array_contains(h["classes"], "job-offer-card__title") & (h["text"] != "")), lambda h: h["anchor"])
-    untitled = F.exists(slugs, lambda h: ~F.array_contains(titled, h["pre"]))
-    facts = table.withColumns({
-        "_has_frame": frame.isNotNull(), "total": whole_int(first_of(scoped, "count")["text"]), "_nav": pagination(scoped),
-        "_slugs": F.size(slugs), "_bad": bad_slug, "_untitled": untitled,
-        "effective_location": effective_location(first_of(hits, "area")), "related_roles": related_pills(hits),
-    })
+    hits = F.col("hits")
+
+    def facts(scoped: Column) -> Column:
+        with_slug = F.filter(of_role(scoped, "card"), lambda h: F.array_contains(F.map_keys(h["attrs"]), CARDS.slug_attr))
+        titled = F.transform(
+            F.filter(of_role(scoped, "title"), lambda h: F.array_contains(h["classes"], "job-offer-card__title") & (h["text"] != "")), lambda h: h["anchor"])
+
+        def checked(c: Column) -> Column:
+            return F.struct(
+                whole_int(first_of(scoped, "count")["text"]).alias("total"), pagination(scoped).alias("nav"), F.size(c["cards"]).alias("cards"),
+                F.exists(c["cards"], lambda h: ~F.coalesce(is_strict_slug(attr(h, CARDS.slug_attr)), F.lit(False))).alias("bad"),
+                F.exists(c["cards"], lambda h: ~F.array_contains(c["titled"], h["pre"])).alias("untitled"))
+
+        return let(F.struct(with_slug.alias("cards"), titled.alias("titled")), checked)
+
+    known = table.withColumns({"_has_frame": first_of(hits, "frame").isNotNull(), "_f": let(inside(hits, "frame"), facts)})
+    f = F.col("_f")
     missing = (
-        F.when(~F.col("_has_frame"), "turbo-frame#job_offers_results").when(F.col("total").isNull(), ".job-offers-results-count b (an integer)")
-        .when(F.col("_bad"), "div.job-offer-card[data-scroll-restore-slug] (a job slug)").when(F.col("_untitled"), "h2.job-offer-card__title")
-        .when((F.col("total") > 0) & (F.col("_slugs") == 0) & (F.col("page") <= F.coalesce(F.col("_nav.last_page"), F.lit(1))),
-              "div.job-offer-card[data-scroll-restore-slug]")
+        F.when(~F.col("_has_frame"), "turbo-frame#job_offers_results").when(f["total"].isNull(), ".job-offers-results-count b (an integer)")
+        .when(f["bad"], "div.job-offer-card[data-scroll-restore-slug] (a job slug)").when(f["untitled"], "h2.job-offer-card__title")
+        .when((f["total"] > 0) & (f["cards"] == 0) & (F.col("page") <= F.coalesce(f["nav"]["last_page"], F.lit(1))), "div.job-offer-card[data-scroll-restore-slug]")
     )
-    judged = facts.withColumn("violation", _verdict(missing))
+    judged = known.withColumn("violation", _verdict(missing))
     report = judged.select(
-        *carry, "total", "_nav.last_page", "_nav.has_next", "effective_location", "related_roles", F.col("_slugs").alias("cards"), "violation")
+        *carry, f["total"].alias("total"), f["nav"]["last_page"].alias("last_page"), f["nav"]["has_next"].alias("has_next"),
+        effective_location(first_of(hits, "area")).alias("effective_location"), related_pills(hits).alias("related_roles"), f["cards"].alias("cards"), "violation")
     return Extracted(_card_frame(judged.where(F.col("violation").isNull()), "frame", carry, today, portal), report)
 
 
@@ -234,7 +241,7 @@ SALARY_TYPE = "struct<raw:string,currency:string,min:bigint,max:bigint,period:st
 def section(hits: Column, heading: str) -> Column:
     """Text of the full-text block in the element right after the h3 reading `heading` (folded)."""
     h3 = F.try_element_at(F.filter(of_role(hits, "h3"), lambda h: fold(h["text"]) == heading), F.lit(1))
-    return some(first_of(within(hits, h3["next"], h3["next_end"]), "full")["text"])
+    return some(let(h3, lambda h: first_of(within(hits, h["next"], h["next_end"]), "full"))["text"])
 
 
 def extract_sections(pages: DataFrame, *, carry: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -280,9 +287,8 @@ def extract_postings(
     nor a posting."""
     table = element_table(pages, JOB_KEEP, carry=[*carry, "html"])
     hits = F.col("hits")
-    block = first_of(hits, "block")
-    around = F.filter(of_role(hits, "card"), lambda c: (c["pre"] <= block["pre"]) & (c["end"] >= block["end"]))
-    header = F.coalesce(F.try_element_at(around, F.lit(-1)), block)
+    header = let(first_of(hits, "block"), lambda block: F.coalesce(F.try_element_at(F.filter(
+        of_role(hits, "card"), lambda c: (c["pre"] <= block["pre"]) & (c["end"] >= block["end"])), F.lit(-1)), block))
     objects = jsonld.page_objects(F.col("html"))
     step = table.withColumns({"_objects": objects, "_header": header}).withColumns({
         "_ld": jsonld.of_type(F.col("_objects"), "JobPosting"), "_crumbs": jsonld.of_type(F.col("_objects"), "BreadcrumbList"),
@@ -353,16 +359,21 @@ COMPANY_KEEP = (
 def extract_companies(pages: DataFrame, *, carry: Sequence[str] = ("page_id",), portal: Portal = DEFAULT) -> Extracted:
     """Directory pages -> company cards (loading skeletons are not links and never match)."""
     table = element_table(pages, COMPANY_KEEP, anchor=COMPANY_CARD, carry=[*carry, "html"])
-    frame = first_of(F.col("hits"), "company_frame")
-    scoped = table.withColumns({"_frame": frame.isNotNull(), "hits": F.coalesce(within(F.col("hits"), frame["pre"], frame["end"]), F.filter(F.col("hits"), lambda h: F.lit(False)))})
-    hits = F.col("hits")
-    named = F.transform(of_role(hits, "name"), lambda h: h["anchor"])
-    bad = F.exists(of_role(hits, "card"), lambda h: slug_from_link(attr(h, "href"), "company", portal).isNull())
-    unnamed = F.exists(of_role(hits, "card"), lambda h: ~F.array_contains(named, h["pre"]))
+    scoped = table.withColumns({"_frame": first_of(F.col("hits"), "company_frame").isNotNull(), "hits": inside(F.col("hits"), "company_frame")})
+
+    def facts(hits: Column) -> Column:
+        named = F.transform(of_role(hits, "name"), lambda h: h["anchor"])
+        return F.struct(
+            whole_int(first_of(hits, "total")["text"]).alias("total"), pagination(hits).alias("nav"),
+            F.exists(of_role(hits, "card"), lambda h: slug_from_link(attr(h, "href"), "company", portal).isNull()).alias("bad"),
+            let(named, lambda n: F.exists(of_role(hits, "card"), lambda h: ~F.array_contains(n, h["pre"]))).alias("unnamed"))
+
+    known = scoped.withColumn("_f", let(F.col("hits"), facts))
+    f = F.col("_f")
     missing = (
-        F.when(~F.col("_frame"), "turbo-frame#companies_marketplace_results").when(F.col("total").isNull(), "b.text-primary (an integer) in the results frame")
-        .when(bad, 'a.company-card[href^="/companies/"] (a company slug)').when(unnamed, ".company-card__name"))
-    judged = scoped.withColumns({"total": whole_int(first_of(hits, "total")["text"]), "_nav": pagination(hits)}).withColumn("violation", _verdict(missing))
+        F.when(~F.col("_frame"), "turbo-frame#companies_marketplace_results").when(f["total"].isNull(), "b.text-primary (an integer) in the results frame")
+        .when(f["bad"], 'a.company-card[href^="/companies/"] (a company slug)').when(f["unnamed"], ".company-card__name"))
+    judged = known.withColumn("violation", _verdict(missing))
     mine = F.col("mine")
     tags = company_tags(all_texts(mine, "tag"))
     cards = anchored(judged.where(F.col("violation").isNull()), "card").withColumn("slug", slug_from_link(attr(F.col("card"), "href"), "company", portal))
@@ -371,7 +382,8 @@ def extract_companies(pages: DataFrame, *, carry: Sequence[str] = ("page_id",),
         first_text(mine, "location").alias("location"), tags["sector"].alias("sector"), tags["size"].alias("size"),
         offer_count(first_of(mine, "offers")["text"]).alias("active_offers"),
         F.filter(F.transform(of_role(mine, "place"), lambda h: h["own"]), lambda t: t != "").alias("offer_locations"))
-    return Extracted(rows, judged.select(*carry, "total", "_nav.last_page", "_nav.has_next", "violation"))
+    return Extracted(rows, judged.select(
+        *carry, f["total"].alias("total"), f["nav"]["last_page"].alias("last_page"), f["nav"]["has_next"].alias("has_next"), "violation"))
 
 
 def extract_company_page(
@@ -383,11 +395,12 @@ def extract_company_page(
         Sel("gray", tag="div", cls="text-gray"), Sel("offers", tag="h2", cls="subsection-header", under=Sel(id="section-job-offers")),
     )
     table = element_table(pages, keep, anchor=CARDS.card, carry=[*carry, "html"])
-    hits, frame = F.col("hits"), first_of(F.col("hits"), "jobs_frame")
+    hits = F.col("hits")
     gray = F.filter(of_role(hits, "gray"), lambda g: F.array_contains(g["classes"], "text-caption"))
-    location = F.try_element_at(F.filter(of_role(hits, "caption"), lambda s: F.exists(gray, lambda g: (s["pre"] > g["pre"]) & (s["pre"] <= g["end"]))), F.lit(1))
-    missing = F.when(first_of(hits, "h1").isNull(), "h1").when(frame.isNull(), "turbo-frame#company_job_offers_results")
-    judged = table.withColumns({"_nav": pagination(within(hits, frame["pre"], frame["end"])), "violation": _verdict(missing)})
+    location = let(gray, lambda areas: F.try_element_at(F.filter(
+        of_role(hits, "caption"), lambda s: F.exists(areas, lambda g: (s["pre"] > g["pre"]) & (s["pre"] <= g["end"]))), F.lit(1)))
+    missing = F.when(first_of(hits, "h1").isNull(), "h1").when(first_of(hits, "jobs_frame").isNull(), "turbo-frame#company_job_offers_results")
+    judged = table.withColumns({"_nav": let(inside(hits, "jobs_frame"), pagination), "violation": _verdict(missing)})
     report = judged.select(
         *carry, first_of(hits, "h1")["text"].alias("name"), some(location["text"]).alias("location"),
         offer_count(first_of(hits, "offers")["text"]).alias("active_offers"), F.col("_nav.has_next").alias("has_more"),
@@ -401,10 +414,13 @@ LINK_KEEP = (Sel("link", tag="a", attr="href"), Sel("heading", tag=HEADINGS), Se
 
 def _offer_links(hits: Column, portal: Portal) -> Column:
     """The first link per offer outside header, nav and footer, in page order, as hits with `slug`."""
-    slugged = F.transform(of_role(hits, "link"), lambda h: F.struct(slug_from_link(attr(h, "href"), "job", portal).alias("slug"), h.alias("hit")))
-    inside = F.filter(slugged, lambda s: s["slug"].isNotNull() & ~s["hit"]["chrome"])
-    slugs = F.transform(inside, lambda s: s["slug"])
-    return F.filter(inside, lambda s, i: F.array_position(slugs, s["slug"]) == i + 1)
+    content = F.filter(of_role(hits, "link"), lambda h: ~h["chrome"])
+    slugged = F.transform(content, lambda h: F.struct(slug_from_link(attr(h, "href"), "job", portal).alias("slug"), h.alias("hit")))
+
+    def firsts(links: Column) -> Column:
+        return let(F.transform(links, lambda s: s["slug"]), lambda slugs: F.filter(links, lambda s, i: F.array_position(slugs, s["slug"]) == i + 1))
+
+    return let(F.filter(slugged, lambda s: s["slug"].isNotNull()), firsts)
 
 
 def harvest_offer_links(pages: DataFrame, *, carry: Sequence[str] = ("page_id",), portal: Portal = DEFAULT) -> DataFrame:
@@ -420,16 +436,17 @@ def harvest_offer_links(pages: DataFrame, *, carry: Sequence[str] = ("page_id",)
 def _class_boxes(hits: Column, word: str) -> Column:
     """Innermost elements with a `word` / `word-*` class (no ``__`` part) that hold a heading."""
     named = F.filter(of_role(hits, "box"), lambda h: F.exists(h["classes"], lambda c: (c == word) | (c.startswith(f"{word}-") & ~F.contains(c, F.lit("__")))))
-    headed = F.filter(named, lambda h: F.exists(of_role(hits, "heading"), lambda t: (t["pre"] >= h["pre"]) & (t["pre"] <= h["end"])))
-    return F.filter(headed, lambda h: ~F.exists(headed, lambda o: (o["pre"] > h["pre"]) & (o["pre"] <= h["end"])))
+    headed = let(of_role(hits, "heading"), lambda titles: F.filter(named, lambda h: F.exists(titles, lambda t: (t["pre"] >= h["pre"]) & (t["pre"] <= h["end"]))))
+    return let(headed, lambda boxes: F.filter(boxes, lambda h: ~F.exists(boxes, lambda o: (o["pre"] > h["pre"]) & (o["pre"] <= h["end"]))))
 
 
 def _leaf_text(mine: Column, patterns: Sequence[str]) -> Column:
     """The first leaf text matching the first pattern that matches any."""
-    def first(pattern: str) -> Column:
-        return F.try_element_at(F.filter(all_texts(mine, "leaf"), lambda t: fold(t).rlike(pattern)), F.lit(1))
+    def found(texts: Column) -> Column:
+        first = lambda pattern: F.try_element_at(F.filter(texts, lambda t: t["folded"].rlike(pattern)), F.lit(1))["text"]
+        return F.coalesce(*map(first, patterns))
 
-    return F.coalesce(*map(first, patterns))
+    return let(F.transform(all_texts(mine, "leaf"), lambda t: F.struct(t.alias("text"), fold(t).alias("folded"))), found)
 
 
 def _status_text(mine: Column) -> Column:
@@ -457,11 +474,11 @@ def extract_applications(pages: DataFrame, *, carry: Sequence[str] = ("page_id",
 
     def rows(boxes: Column) -> Column:
         def row(b: Column) -> Column:
-            mine = within(F.col("hits"), b["start"], b["end"])
-            return F.struct(
+            return let(within(F.col("hits"), b["start"], b["end"]), lambda mine: F.struct(
                 b["slug"].alias("slug"), some(F.coalesce(first_text(mine, "heading"), b["fallback"])).alias("title"),
                 F.coalesce(first_text(mine, "company"), first_text(mine, "company_link")).alias("company"),
-                _leaf_text(mine, APPLIED_TEXT).alias("applied_at_text"), _status_text(mine).alias("status_text"))
+                _leaf_text(mine, APPLIED_TEXT).alias("applied_at_text"), _status_text(mine).alias("status_text")))
+
         return F.filter(F.transform(boxes, row), lambda r: r["title"].isNotNull())
 
     chosen = table.withColumn("_links", rows(by_link)).withColumn("_rows", F.when(F.size("_links") > 0, F.col("_links")).otherwise(rows(by_class)))
@@ -474,8 +491,7 @@ def extract_cv_metadata(pages: DataFrame, *, carry: Sequence[str] = ("page_id",)
     table = element_table(pages, BOX_KEEP, carry=carry)
     hits = F.col("hits")
     files = F.filter(of_role(hits, "leaf"), lambda h: (F.length(h["text"]) <= 255) & h["text"].rlike(FILE_NAME) & ~h["chrome"])
-    boxes = F.transform(files, lambda h: h["box"])
-    firsts = F.filter(files, lambda h, i: F.array_position(boxes, h["box"]) == i + 1)
+    firsts = let(files, lambda named: let(F.transform(named, lambda h: h["box"]), lambda boxes: F.filter(named, lambda h, i: F.array_position(boxes, h["box"]) == i + 1)))
     named = F.transform(firsts, lambda h: F.struct(h["text"].alias("name"), h["box"].alias("start"), h["box_end"].alias("end")))
     classed = F.filter(F.transform(_class_boxes(hits, "cv"), lambda h: F.struct(
         first_text(within(hits, h["pre"], h["end"]), "heading").alias("name"), h["pre"].alias("start"), h["end"].alias("end"))), lambda r: r["name"].isNotNull())

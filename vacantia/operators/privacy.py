@@ -127,7 +127,12 @@ def _letter_classes() -> dict[str, str]:
     def spelled(chars: list[str]) -> str:
         return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars))
 
-    single = {c: f"[{c}{spelled(same.get(c, []))}]\\p{{M}}*+" for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+    def letter(plain: str) -> str:
+        """Latin-1 spellings as a flat set; the rest is only looked at for characters beyond Latin-1."""
+        near, far = [c for c in same.get(plain, []) if c <= "\xff"], [c for c in same.get(plain, []) if c > "\xff"]
+        return f"[{plain}{spelled(near)}" + (f"[[^\\x00-\\xff]&&[{spelled(far)}]]" if far else "") + "]\\p{M}*+"
+
+    single = {c: letter(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
     pairs: dict[str, list[str]] = {}
     for char, plain in expansions.items():
         if plain in ("ss", "ff", "fi", "fl", "st", "ij", "dz", "lj", "nj"):
@@ -139,10 +144,12 @@ def _escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
-def _bounded_pattern(alternatives: Column, marks: bool) -> Column:
-    """The alternatives on letter/digit boundaries; NULL when there are none."""
+def _bounded_pattern(alternatives: Column, starts: Column, marks: bool) -> Column:
+    """The alternatives on letter/digit boundaries; NULL when there are none. `starts` are patterns of their
+    first characters: most positions of a text fail on those alone."""
     before = rf"(?<!{EDGE}\p{{M}}{{0,4}})" if marks else f"(?<!{EDGE})"
-    return F.when(F.size(alternatives) > 0, F.concat(F.lit(f"{before}(?:"), F.array_join(alternatives, "|"), F.lit(f")(?!{EDGE})")))
+    return F.when(F.size(alternatives) > 0, F.concat(
+        F.lit("(?="), F.array_join(F.array_distinct(starts), "|"), F.lit(f"){before}(?:"), F.array_join(alternatives, "|"), F.lit(f")(?!{EDGE})")))
 
 
 def identity_patterns(variants: Column) -> Column:
@@ -157,9 +164,11 @@ def identity_patterns(variants: Column) -> Column:
         return F.array_join(F.transform(pieces, lambda p: F.when(p == " ", r"\s+").otherwise(
             F.coalesce(F.try_element_at(classes, p), F.concat(_escaped(p), F.lit(r"\p{M}*+"))))), "")
 
-    return F.struct(
-        _bounded_pattern(plain, False).alias("folded"), F.concat(F.lit("(?i)"), _bounded_pattern(plain, False)).alias("ascii"),
-        _bounded_pattern(F.transform(variants, widened), True).alias("wide"))
+    heads = F.transform(variants, lambda v: F.left(v, F.lit(1)))
+    near = _bounded_pattern(plain, F.transform(heads, _escaped), False)
+    # A first letter may be part of a ligature, so the wide start tests are those of the letters and pairs.
+    wide_heads = F.transform(variants, lambda v: F.when(F.left(v, F.lit(2)).isin(*[k for k in _letter_classes() if len(k) == 2]), widened(F.left(v, F.lit(2)))).otherwise(widened(F.left(v, F.lit(1)))))
+    return F.struct(near.alias("folded"), F.concat(F.lit("(?i)"), near).alias("ascii"), _bounded_pattern(F.transform(variants, widened), wide_heads, True).alias("wide"))
 
 
 def with_identity(docs: DataFrame, people: DataFrame, owner: str, *, name: str = "name", email: str = "email") -> DataFrame:
@@ -171,8 +180,8 @@ def with_identity(docs: DataFrame, people: DataFrame, owner: str, *, name: str =
 
 def mask_identity(text: Column, identity: Column) -> Column:
     """Every spelling of the identity as the mask, whatever its case and accents; other text unchanged."""
-    masked = F.when(is_ascii(text), F.regexp_replace(text, identity["ascii"], F.lit(MASK))).otherwise(
-        F.regexp_replace(text, identity["wide"], F.lit(MASK)))
+    wide = F.when(leaks(text, identity), F.regexp_replace(text, identity["wide"], F.lit(MASK))).otherwise(text)
+    masked = F.when(is_ascii(text), F.regexp_replace(text, identity["ascii"], F.lit(MASK))).otherwise(wide)
     return F.when(identity["folded"].isNull(), text).otherwise(masked)
 
 
@@ -350,16 +359,16 @@ def scrub_pages(pages: DataFrame, *, html: str = "html", path: str = "path", nam
     route = F.substring_index(F.col(path), "?", 1)
     profile = (route == "/profile") | route.startswith("/profile/")
     files = F.array_distinct(F.transform(F.filter(F.col("_tokens"), lambda t: _takes_number(t, F.col("_profile"))), lambda t: F.btrim(t["value"])))
-    prepared = tokenised.withColumn("_profile", profile).withColumn("_files", files)
+    prepared = tokenised.withColumn("_profile", profile)
     who = F.col("identity")
     mask = lambda v: mask_identity(v, who)
     clean = lambda v: clean_value(v, mask)
 
-    def file(value: Column, core: Column) -> Column:
-        alias = F.concat(F.lit("cv-"), F.array_position(F.col("_files"), core).cast("string"), F.lit("."), F.lower(F.regexp_extract(core, FILE_CORE, 1)))
-        return F.replace(value, core, alias)
+    def rendered(t: Column, names: Column) -> Column:
+        def file(value: Column, core: Column) -> Column:
+            alias = F.concat(F.lit("cv-"), F.array_position(names, core).cast("string"), F.lit("."), F.lower(F.regexp_extract(core, FILE_CORE, 1)))
+            return F.replace(value, core, alias)
 
-    def rendered(t: Column) -> Column:
         text = F.when(F.col("_profile") & (t["tag"] == "textarea"), F.when(t["value"] != "", MASK).otherwise("")).when(
             F.btrim(t["value"]).rlike(FILE_CORE), file(t["value"], F.btrim(t["value"]))).otherwise(clean(t["value"]))
         escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -373,7 +382,8 @@ def scrub_pages(pages: DataFrame, *, html: str = "html", path: str = "path", nam
         )
         return F.concat(t["pre"], shown)
 
-    result = prepared.withColumn("scrubbed", F.array_join(F.transform("_tokens", rendered), "")).drop("_tokens", "_files", "_profile")
+    markup = let(files, lambda names: F.transform(F.col("_tokens"), lambda t: rendered(t, names)))
+    result = prepared.withColumn("scrubbed", F.array_join(markup, "")).drop("_tokens", "_profile")
     return audit_pages(result, html="scrubbed").drop("identity")
 
 
