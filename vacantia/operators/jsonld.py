@@ -33,23 +33,23 @@ def is_number(v: Column) -> Column:
     return F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
 
 
-def _items(v: Column) -> Column:
-    return F.when(is_list(v), _get(v, "$", "array<variant>")).otherwise(F.array(v))
-
-
 def _flat(v: Column, depth: int) -> Column:
     """The objects in `v`, depth first: list items in place, the items of ``@graph`` after their holder."""
+    none = F.array().cast("array<variant>")
 
-    def one(x: Column) -> Column:
+    def of_object(x: Column) -> Column:
         if not depth:
-            return F.when(is_object(x), F.array(x)).otherwise(F.array().cast("array<variant>"))
-        graph = F.variant_get(x, '$["@graph"]', "variant")
-        below = F.when(is_list(graph), _flat(graph, depth - 1))
-        nested = F.when(is_list(x), _flat(x, depth - 1))
-        own = F.when(is_object(x), F.concat(F.array(x), F.coalesce(below, F.array().cast("array<variant>"))))
-        return F.coalesce(own, nested, F.array().cast("array<variant>"))
+            return F.array(x)
+        graph = F.try_variant_get(x, '$["@graph"]', "array<variant>")
+        return let(graph, lambda g: F.when(g.isNull(), F.array(x)).otherwise(F.concat(F.array(x), F.flatten(F.transform(g, lambda i: _flat(i, depth - 1))))))
+
+    def of_list(x: Column) -> Column:
+        return F.flatten(F.transform(_get(x, "$", "array<variant>"), lambda i: _flat(i, depth - 1))) if depth else none
 
-    return F.flatten(F.transform(_items(v), one))
+    def typed(s: Column) -> Column:
+        return F.when(s["kind"].startswith("OBJECT"), of_object(s["v"])).when(s["kind"].startswith("ARRAY"), of_list(s["v"])).otherwise(none)
+
+    return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")), typed)
 
 
 def parse_block(body: Column) -> Column:
@@ -57,19 +57,16 @@ def parse_block(body: Column) -> Column:
     become spaces only when the block does not parse without that; anything after the value is an error."""
 
     def whole(text: Column) -> Column:
-        wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-        return F.when(_get(wrapped, "$[1]", "variant").isNull(), _get(wrapped, "$[0]", "variant"))
+        return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), lambda wrapped: F.when(
+            _get(wrapped, "$[1]", "variant").isNull(), _get(wrapped, "$[0]", "variant")))
 
     return F.coalesce(whole(body), whole(F.regexp_replace(body, r"[\x00-\x1f]", " ")))
 
 
 def jsonld_objects(pages: DataFrame, *, html: str = "html") -> DataFrame:
     """Every JSON-LD object: the columns of `pages` but `html`, ``pos`` in page order, ``ld`` (variant)."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(LD_BLOCK), F.lit(1))
-    parsed = F.filter(F.transform(blocks, lambda b: parse_block(F.btrim(b))), lambda v: v.isNotNull())
-    objects = F.flatten(F.transform(parsed, lambda v: _flat(v, NESTING)))
     others = [c for c in pages.columns if c != html]
-    return pages.where(F.contains(F.col(html), F.lit("ld+json"))).select(*others, F.posexplode(objects).alias("pos", "ld"))
+    return pages.where(F.contains(F.col(html), F.lit("ld+json"))).select(*others, F.posexplode(page_objects(F.col(html))).alias("pos", "ld"))
 
 
 def page_objects(html: Column) -> Column:
@@ -79,15 +76,20 @@ def page_objects(html: Column) -> Column:
     return F.flatten(F.transform(parsed, lambda v: _flat(v, NESTING)))
 
 
-def of_type(objects: Column, kind: str) -> Column:
-    """The first object whose ``@type`` is `kind`, or a list holding it."""
+def all_of_type(objects: Column, kind: str) -> Column:
+    """The objects whose ``@type`` is `kind`, or a list holding it."""
 
     def matches(o: Column) -> Column:
         scalar = _get(o, '$["@type"]', "string") == kind
         listed = F.array_contains(_get(o, '$["@type"]', "array<string>"), kind)
         return F.coalesce(listed, scalar, F.lit(False))
 
-    return F.try_element_at(F.filter(objects, matches), F.lit(1))
+    return F.filter(objects, matches)
+
+
+def of_type(objects: Column, kind: str) -> Column:
+    """The first object of a type."""
+    return F.try_element_at(all_of_type(objects, kind), F.lit(1))
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -122,9 +124,11 @@ def lenient_salary(base: Column) -> Column:
         swap = high < low
         return F.struct(F.when(swap, high).otherwise(low).alias("min"), F.when(swap, low).otherwise(high).alias("max"))
 
-    filled = F.filter(_get(base, "$", "array<variant>"), lambda x: ~F.is_variant_null(x) & ~F.to_json(x).isin('""', "{}", "[]"))
-    one = F.when(is_list(base), F.try_element_at(filled, F.lit(1))).otherwise(base)
-    return let(let(one, amounts), ordered)
+    def first_filled(b: Column) -> Column:
+        filled = F.filter(_get(b, "$", "array<variant>"), lambda x: ~F.is_variant_null(x) & ~F.to_json(x).isin('""', "{}", "[]"))
+        return F.when(is_list(b), F.try_element_at(filled, F.lit(1))).otherwise(b)
+
+    return let(let(let(base, first_filled), amounts), ordered)
 
 
 def _not_null(v: Column) -> Column:
@@ -134,9 +138,12 @@ def _not_null(v: Column) -> Column:
 def identifier(v: Column) -> Column:
     """``identifier`` as object, list or scalar -> its text; booleans and objects are NULL."""
     falsy = ("null", "false", '""', "0", "{}", "[]")
-    filled = F.filter(_get(v, "$", "array<variant>"), lambda x: ~F.to_json(x).isin(*falsy))
-    one = F.when(is_list(v), F.try_element_at(filled, F.lit(1))).otherwise(v)
-    value = let(one, lambda x: F.when(is_object(x), F.variant_get(x, "$.value", "variant")).otherwise(x))
+
+    def first_filled(v: Column) -> Column:
+        filled = F.filter(_get(v, "$", "array<variant>"), lambda x: ~F.to_json(x).isin(*falsy))
+        return F.when(is_list(v), F.try_element_at(filled, F.lit(1))).otherwise(v)
+
+    value = let(let(v, first_filled), lambda x: F.when(is_object(x), F.variant_get(x, "$.value", "variant")).otherwise(x))
     return let(value, lambda x: F.nullif(F.btrim(F.when(is_text(x) | (F.schema_of_variant(x) == "BIGINT"), _get(x, "$", "string"))), F.lit("")))
 
 
@@ -144,8 +151,9 @@ def extract_detail(pages: DataFrame, *, html: str = "html") -> DataFrame:
     """The fields a detail page adds, from its first JobPosting: one row per page with one, NULL where the
     page gives nothing. The employer's own identifiers are never read."""
     others = [c for c in pages.columns if c != html]
-    job = of_type(page_objects(F.col(html)), "JobPosting")
-    found = pages.where(F.contains(F.col(html), F.lit("ld+json"))).select(*others, job.alias("_job")).where(F.col("_job").isNotNull())
+    # Exploding the first posting drops pages without one and computes it once.
+    first = F.slice(all_of_type(page_objects(F.col(html)), "JobPosting"), 1, 1)
+    found = pages.where(F.contains(F.col(html), F.lit("ld+json"))).select(*others, F.explode(first).alias("_job"))
     j = F.col("_job")
     salary = lenient_salary(F.variant_get(j, "$.baseSalary", "variant"))
     return found.withColumn("_salary", salary).select(

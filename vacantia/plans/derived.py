@@ -13,6 +13,12 @@ from vacantia.operators.crawl import new_per_page
 DAY_ONE = "1995-01-01"
 
 
+def spread(df: DataFrame, by: Column) -> DataFrame:
+    """`df` partitioned by `by` over all shuffle partitions. Rendering and parsing pages is much work on
+    little data, which adaptive execution would otherwise merge into a few tasks by its size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -140,7 +146,7 @@ def listing_pages(spark: SparkSession, folder: str, per_page: int = 15) -> DataF
         F.lit('</p><div class="item-subtitle"><span class="break-words">'), "location_text", F.lit("</span><span>Hace "), (F.col("offer_id") % 30).cast("string"),
         F.lit(' días</span></div><span class="tag-navy">'), label, F.lit('</span><span class="tag-navy">Remoto</span>'), salary, F.lit("</div>"))
     number = F.floor(F.col("offer_id") / per_page)
-    grouped = offers(spark, folder).groupBy(number.alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("offer_id").alias("o"), card.alias("html")))).alias("cards"))
+    grouped = spread(offers(spark, folder).withColumn("page_id", number), F.col("page_id")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("offer_id").alias("o"), card.alias("html")))).alias("cards"))
     nav = F.concat(F.lit('<nav class="pagination pagination-nav"><a aria-label="Página '), (F.col("page_id") + 2).cast("string"), F.lit('" href="?page='), (F.col("page_id") + 2).cast("string"),
                    F.lit('">n</a><span aria-current="page">'), (F.col("page_id") + 1).cast("string"), F.lit('</span><a aria-label="Página siguiente" href="#">&gt;</a></nav>'))
     return grouped.select(
@@ -173,6 +179,6 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_size").cast("string"), F.lit(' vacantes</span></div></div><h3>Requerimientos</h3><div><div data-text-toggle-target="fullText"><p>'), "p_type", F.lit("</p><ul><li>"), "p_brand", F.lit("</li><li>"),
         F.col("p_size").cast("string"), F.lit("</li></ul></div></div>"))
     block = F.when(key % 7 == 3, F.lit('<script type="application/ld+json">{broken</script>')).otherwise("")
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part"), key).select(
         key.alias("page_id"), F.concat(F.lit("part-"), s(key)).alias("slug"),
         F.concat(F.lit('<html lang="es"><head>'), block, F.when(key % 11 == 0, "").otherwise(F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"))), F.lit("</head><body>"), visible, F.lit("</body></html>")).alias("html"))

@@ -9,7 +9,7 @@ from vacantia.operators import extract as ex
 from vacantia.operators import jsonld as jl
 from vacantia.operators import quality as qu
 from vacantia.operators.html import Sel, all_texts, attr, element_table, first_text, of_role
-from vacantia.plans.derived import COMPANIES, OFFERS, companies, day, detail_pages, listing_pages, offers, table
+from vacantia.plans.derived import COMPANIES, OFFERS, companies, day, detail_pages, listing_pages, spread, table
 from vacantia.plans.registry import query
 
 PAGE_DAY = "2026-09-24"
@@ -17,7 +17,7 @@ UNESCAPE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·
 
 
 @query("x0_element_table", f"""
-SELECT page_id, {UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1, len(regexp_extract_all(html, '<li>')) AS items,
+SELECT page_id, trim(regexp_replace({UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, '\\s+', ' ', 'g')) AS h1, len(regexp_extract_all(html, '<li>')) AS items,
   {UNESCAPE.format("array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1), lambda t: trim(t)), '|')")} AS links,
   {UNESCAPE.format("array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1), '|')")} AS hrefs, trim(regexp_replace({UNESCAPE.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")}, '\\s+', ' ', 'g')) AS ad FROM pages""")
 def x0_element_table(spark, folder):
@@ -120,9 +120,9 @@ def x4_extract_detail(spark, folder):
 WITH v AS (SELECT *, CAST(floor(p_retailprice * 100) AS BIGINT) AS lo, CAST(floor(p_retailprice * 200) AS BIGINT) AS hi FROM part WHERE p_partkey % 11 <> 0)
 SELECT {SALARY_KEY} AS shape, count(*) AS pages, sum(CASE WHEN {SALARY_KEY} < 6 THEN lo END) AS salary_min, sum(CASE WHEN {SALARY_KEY} IN (0, 5) THEN hi END) AS salary_max FROM v GROUP BY 1""")
 def n10_jsonld_salary(spark, folder):
-    job = jl.of_type(jl.page_objects(F.col("html")), "JobPosting")
-    found = detail_pages(spark, folder).select("page_id", jl.lenient_salary(F.variant_get(job, "$.baseSalary", "variant")).alias("s"), job.isNotNull().alias("has"))
-    return found.where("has").groupBy((F.col("page_id") % 7).alias("shape")).agg(F.count("*").alias("pages"), F.sum("s.min").alias("salary_min"), F.sum("s.max").alias("salary_max"))
+    jobs = F.slice(jl.all_of_type(jl.page_objects(F.col("html")), "JobPosting"), 1, 1)
+    found = detail_pages(spark, folder).select("page_id", F.explode(jobs).alias("job")).select("page_id", jl.lenient_salary(F.variant_get("job", "$.baseSalary", "variant")).alias("s"))
+    return found.groupBy((F.col("page_id") % 7).alias("shape")).agg(F.count("*").alias("pages"), F.sum("s.min").alias("salary_min"), F.sum("s.max").alias("salary_max"))
 
 
 @query("x5_merge_posting", f"""
@@ -183,7 +183,8 @@ def private_pages(spark, folder) -> DataFrame:
     item = F.concat(
         F.lit('<li><a href="/job_offers/offer-'), s, F.lit('">Ver</a><h3>'), "o_orderpriority", F.lit(" "), s, F.lit('</h3><a href="/job_offers/offer-'), s, F.lit('/save_later">g</a><p class="item-title">Empresa '), F.col("o_custkey").cast("string"),
         F.lit("</p><time>Postulaste el "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit('</time><span class="tag-green">'), "o_orderstatus", F.lit("</span></li>"))
-    pages = table(spark, folder, "orders").groupBy(F.floor(k / 10).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("html")))).alias("items"))
+    rows = table(spark, folder, "orders").withColumn("page_id", F.floor(k / 10))
+    pages = spread(rows, F.col("page_id")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("html")))).alias("items"))
     return pages.select("page_id", F.concat(F.lit('<header><a href="/job_offers/menu">m</a></header><ul>'), F.array_join(F.transform("items", lambda c: c["html"]), ""), F.lit("</ul>")).alias("html"))
 
 
