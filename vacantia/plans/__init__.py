@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from vacantia.plans import crawl_queries, page_queries, privacy_queries, search_queries, text_queries  # noqa: F401
+from vacantia.plans import answer_queries, crawl_queries, io_queries, page_queries, privacy_queries, search_queries, text_queries  # noqa: F401
 from vacantia.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -109,13 +109,18 @@ def read_offers_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_offers_envelope(spark: SparkSession, path: str, item: T.StructType = OFFER) -> DataFrame:
     """A JSON list of offers, or ``{"data": {"results": […]}}``, or ``{"results"|"items": […]}``; items
     that are no objects are dropped, another shape fails."""
-    texts = "array<string>"
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    doc = F.from_json("value", f"struct<results:{texts},items:{texts},data:struct<results:{texts},items:{texts}>>")
+    return offers_in_documents(whole, item)
+
+
+def offers_in_documents(docs: DataFrame, item: T.StructType = OFFER, *, value: str = "value") -> DataFrame:
+    """The offers of JSON documents, one document per row, in any of the accepted shapes."""
+    texts = "array<string>"
+    doc = F.from_json(value, f"struct<results:{texts},items:{texts},data:struct<results:{texts},items:{texts}>>")
     listed = F.coalesce(
-        F.when(F.ltrim("value").startswith("["), F.from_json("value", texts)), doc["data"]["results"], doc["data"]["items"], doc["results"], doc["items"])
+        F.when(F.ltrim(value).startswith("["), F.from_json(value, texts)), doc["data"]["results"], doc["data"]["items"], doc["results"], doc["items"])
     checked = F.coalesce(listed, F.raise_error(F.lit("expected a list of offers")).cast(texts))
-    rows = whole.select(F.explode(checked).alias("o")).where(F.ltrim("o").startswith("{"))
+    rows = docs.select(F.explode(checked).alias("o")).where(F.ltrim("o").startswith("{"))
     return rows.select(F.from_json("o", item).alias("o")).select("o.*")
 
 
