@@ -12,6 +12,7 @@ from vacantia.plans.answer_queries import QUEUE, queue
 from vacantia.plans.derived import OFFERS, TODAY, day, offers, table
 from vacantia.plans.registry import query
 from vacantia.plans.search_queries import FOUND, FULL
+from vacantia.schemas import FIELDS
 from vacantia.session import work_folder
 from vacantia.sources import readers as rd
 from vacantia.sources import writers as wr
@@ -21,7 +22,7 @@ def records(spark, folder) -> DataFrame:
     """Offer records with the characters that break naive files."""
     k = F.col("offer_id")
     title = F.when(k % 4 == 0, F.concat(F.lit("=1+"), "title")).when(k % 4 == 1, F.concat(F.lit('"Ñandú", '), "title")).otherwise(F.col("title"))
-    text = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit("línea\n"), "location_text")).when(k % 5 == 2, F.concat(F.lit("u v \x07"), "comuna"))
+    text = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit("línea\n"), "location_text")).when(k % 5 == 2, F.concat(F.lit("u\u2028v \x07"), "comuna"))
     return offers(spark, folder).select(
         "slug", title.alias("title"), "company", "location_text", "region", "comuna", "country", F.lit("https://jobs.example.com").alias("url"), text.alias("description"), "salary_min", "salary_max",
         F.col("posted_at").alias("published_at"), "valid_through")
@@ -34,13 +35,36 @@ def shown(df: DataFrame) -> DataFrame:
 RECORD = "CASE offer_id % 4 WHEN 0 THEN {q}'=1+' || title WHEN 1 THEN '\"Ñandú\", ' || title ELSE title END AS title, company, md5(coalesce(CASE offer_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'línea' || chr(10) || location_text WHEN 2 THEN 'u' || chr(8232) || 'v ' || comuna END, '-')) AS description_md5, salary_min, salary_max, CAST(posted_at AS VARCHAR) AS published_at, CAST(NULL AS VARCHAR) AS external_id"
 
 
-@query("s1_k1_jsonl", f"WITH {OFFERS} SELECT slug, {RECORD.format(q='')} FROM offers_v")
-def s1_k1_jsonl(spark, folder):
+@query("s1_read_offers_jsonl", f"WITH {OFFERS} SELECT slug, {RECORD.format(q='')} FROM offers_v")
+def s1_read_offers_jsonl(spark, folder):
     path = f"{work_folder(spark)}/offers.jsonl"
     wr.write_jsonl(records(spark, folder), path)
     return shown(rd.read_offers_jsonl(spark, path)[0])
 
 
+@query("k1_write_jsonl", f"WITH {OFFERS} SELECT slug, '{','.join(FIELDS)}' AS keys FROM offers_v")
+def k1_write_jsonl(spark, folder):
+    """The written lines themselves: every key present, in the fixed order."""
+    path = f"{work_folder(spark)}/offers.jsonl"
+    wr.write_jsonl(records(spark, folder), path)
+    keys = F.array_join(F.regexp_extract_all("value", F.lit('[{,]"([a-z_]+)":'), F.lit(1)), ",")
+    return spark.read.text(path).select(F.get_json_object("value", "$.slug").alias("slug"), keys.alias("keys"))
+
+
+@query("k2_write_csv", f"WITH {OFFERS} SELECT chr(65279) || '{','.join(FIELDS)}' AS header, count(*) FILTER (WHERE offer_id % 4 = 0) AS quoted, 0 AS formulas FROM offers_v")
+def k2_write_csv(spark, folder):
+    """The written text: mark and header, formula cells behind a quote mark, none left bare."""
+    path = f"{work_folder(spark)}/offers.csv"
+    wr.write_csv(records(spark, folder), path)
+    line = F.col("value")
+    lines = spark.read.text(path).select(F.when(F.contains(line, F.lit("slug,title")), line).alias("h"), line.rlike(",'=1\\+").alias("q"), line.rlike(",=1\\+").alias("f"))
+    # The text reader drops the mark at the start of a file, so it is looked for in the bytes.
+    mark = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.hex(F.substring("content", 1, 3)).alias("mark")).where(F.col("mark") != "")
+    marked = mark.agg(F.when(F.min(F.col("mark") == "EFBBBF"), "\ufeff").otherwise("").alias("m")).withColumn("_one", F.lit(1))
+    counted = lines.agg(F.max("h").alias("h"), F.count_if("q").alias("quoted"), F.count_if("f").alias("formulas")).withColumn("_one", F.lit(1))
+    return counted.join(marked, "_one").select(F.concat("m", F.ltrim(F.replace("h", F.lit("\ufeff"), F.lit("")))).alias("header"), "quoted", "formulas")
+
+
 @query("s1_skipped_lines", "SELECT count(*) FILTER (WHERE o_orderkey % 3 = 1) AS skipped FROM orders")
 def s1_skipped_lines(spark, folder):
     """A third of the lines is no JSON object, a third is blank."""
@@ -51,15 +75,15 @@ def s1_skipped_lines(spark, folder):
     return rd.read_offers_jsonl(spark, path)[1]
 
 
-@query("s2_k2_csv", f"WITH {OFFERS} SELECT slug, {RECORD.format(q=chr(39) * 3 + chr(39) + ' || ')} FROM offers_v")
-def s2_k2_csv(spark, folder):
+@query("s2_read_offers_csv", f"WITH {OFFERS} SELECT slug, {RECORD.format(q=chr(39) * 3 + chr(39) + ' || ')} FROM offers_v")
+def s2_read_offers_csv(spark, folder):
     path = f"{work_folder(spark)}/offers.csv"
     wr.write_csv(records(spark, folder), path)
     return shown(rd.read_offers_csv(spark, path))
 
 
-@query("s3_envelope", f"WITH {OFFERS} SELECT slug, title, salary_min FROM offers_v")
-def s3_envelope(spark, folder):
+@query("s3_read_offers_envelope", f"WITH {OFFERS} SELECT slug, title, salary_min FROM offers_v")
+def s3_read_offers_envelope(spark, folder):
     """Result documents of fifteen offers each, in the three accepted shapes."""
     path = f"{work_folder(spark)}/documents"
     page = F.floor(F.col("offer_id") / 15)
@@ -72,9 +96,9 @@ def s3_envelope(spark, folder):
     return rd.offers_in_documents(docs).select("slug", "title", "salary_min")
 
 
-@query("s4_s7_targets", """
+@query("s4_read_targets_txt", """
 SELECT slug, min(ord) AS ord FROM (SELECT 'offer_' || l_orderkey AS slug, l_orderkey * 8 + l_linenumber AS ord FROM lineitem WHERE l_linenumber <> 3) GROUP BY slug""")
-def s4_s7_targets(spark, folder):
+def s4_read_targets_txt(spark, folder):
     """A listing of links with comments and bad lines -> targets, the first of each slug."""
     path = f"{work_folder(spark)}/targets.txt"
     n = F.col("l_linenumber")
