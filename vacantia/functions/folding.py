@@ -18,8 +18,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Everything Python's ``str.split()`` treats as white space, as a Java character class.
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Everything Python's ``str.split()`` treats as white space but the plain space, as a Java character class.
+NOT_PLAIN_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0[[^\x00-\xff]&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 LAST_CODE_POINT = 0x1FFFF
 
 
@@ -78,22 +78,32 @@ def is_ascii(text: Column) -> Column:
 
 
 def _folded(text: Column, casefold: bool) -> Column:
-    source, target, expansions, multi = fold_tables(casefold)
-    table = literal_map(expansions)
-    rewritten = F.array_join(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(f"(?s){multi}|[^{multi[1:-1]}]+"), F.lit(0)),
-            lambda piece: F.when(F.length(piece) == 1, F.coalesce(F.try_element_at(table, piece), piece)).otherwise(piece),
-        ),
-        "",
-    )
-    expanded = F.when(text.rlike(multi), rewritten).otherwise(text)
-    return F.when(is_ascii(text), F.lower(text)).otherwise(F.translate(expanded, source, target))
+    source, target, expansions, _ = fold_tables(casefold)
+    near = {c: plain for c, plain in expansions.items() if c <= "\xff"}
+    far = {c: plain for c, plain in expansions.items() if c > "\xff"}
+    # Looked at for characters beyond Latin-1 only, so that most text is passed over quickly.
+    points = _java_class(sorted(map(ord, far)))
+    rare = f"[[^\\x00-\\xff]&&{points}]"
+    table = literal_map(far)
+
+    def rewritten(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(f"(?s){rare}|[^{points[1:-1]}]+"), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda piece: F.when(
+            F.length(piece) == 1, F.coalesce(F.try_element_at(table, piece), piece)).otherwise(piece)), "")
+
+    def folded(t: Column) -> Column:
+        expanded = t
+        for char, plain in near.items():
+            expanded = F.replace(expanded, F.lit(char), F.lit(plain))
+        return F.translate(F.when(t.rlike(rare), rewritten(expanded)).otherwise(expanded), source, target)
+
+    return F.when(is_ascii(text), F.lower(text)).otherwise(let(text, folded))
 
 
 def normalize_space(text: Column) -> Column:
-    """Every run of white space (NBSP included) as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(text, SPACE + "+", " "))
+    """Every run of white space (NBSP included) as one space, none at the ends. Single plain spaces, most of
+    any text, are not touched."""
+    return F.btrim(F.regexp_replace(text, f" *{NOT_PLAIN_SPACE}[ {NOT_PLAIN_SPACE[1:-1]}]*| {{2,}}", " "))
 
 
 def key(text: Column) -> Column:

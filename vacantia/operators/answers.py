@@ -220,16 +220,29 @@ def _summary(text: Column) -> Column:
     after = F.regexp_extract(text, SUMMARY_HEADING + r"([\s\S]*)", 1)
     headings = sorted({normalize_literal(h) for h in SECTION_HEADINGS})
 
+    most_letters = max(sum(c.isalpha() for c in h) for h in headings)
+
     def is_heading(line: Column) -> Column:
+        # Folding never loses letters, so a line with more of them than any heading need not be folded.
+        short = F.when(F.length(line) <= 60, True).otherwise(F.length(F.regexp_replace(line, r"\P{L}+", "")) <= most_letters)
         bare = F.btrim(F.regexp_replace(normalize(line), ":+$", ""))
-        return bare.isin(*headings) | line.rlike(LABEL_VALUE)
+        return line.rlike(LABEL_VALUE) | F.when(short, bare.isin(*headings)).otherwise(False)
 
     def collected(lines: Column) -> Column:
         size = F.size(lines)
-        first = F.array_position(F.transform(lines, lambda s: s != ""), F.lit(True))
-        stops = F.transform(lines, lambda s, i: ((s == "") & (i + 1 > first) & (first > 0)) | ((s != "") & (i > 0) & is_heading(s)))
-        stop = F.array_position(stops, F.lit(True)).cast("int")
-        kept = F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(size))
+        filled = F.array_position(F.transform(lines, lambda s: s != ""), F.lit(True)).cast("int")
+
+        def up_to_blank(first: Column) -> Column:
+            """The lines before the first blank one that follows text."""
+            later = F.slice(lines, F.greatest(first, F.lit(1)), size)
+            blank = F.array_position(later, F.lit("")).cast("int")
+            return F.when((first > 0) & (blank > 0), F.slice(lines, F.lit(1), first + blank - 2)).otherwise(lines)
+
+        def up_to_heading(block: Column) -> Column:
+            stops = F.transform(block, lambda s, i: (s != "") & (i > 0) & is_heading(s))
+            return let(F.array_position(stops, F.lit(True)).cast("int"), lambda stop: F.when(stop > 0, F.slice(block, F.lit(1), stop - 1)).otherwise(block))
+
+        kept = let(let(filled, up_to_blank), up_to_heading)
         return clip_collapsed(F.array_join(F.filter(kept, lambda s: s != ""), " "), MAX_SUMMARY)
 
     return F.when(text.rlike(SUMMARY_HEADING), let(F.transform(F.split(after, "\n"), _strip), collected)).otherwise("")
@@ -253,7 +266,7 @@ def cv_profile(text: Column) -> Column:
         line = {k: _strip(F.regexp_extract(t, p, 1)) for k, p in LINES.items()}
         entries = F.array(
             F.struct(F.lit("experiencia").alias("key"), _summary(t).alias("value")), F.struct(F.lit("titulo").alias("key"), clip_collapsed(line["titulo"], MAX_LINE).alias("value")),
-            F.struct(F.lit("comuna").alias("key"), clip_collapsed(line["comuna"], MAX_LINE).alias("value")), F.struct(F.lit("idioma").alias("key"), _languages(line["idioma"]).alias("value")))
+            F.struct(F.lit("comuna").alias("key"), clip_collapsed(line["comuna"], MAX_LINE).alias("value")), F.struct(F.lit("idioma").alias("key"), let(line["idioma"], _languages).alias("value")))
         return F.map_from_entries(F.filter(entries, lambda e: e["value"] != ""))
 
     return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), found)

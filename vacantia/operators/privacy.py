@@ -116,8 +116,9 @@ def sort_variants(variants: Column) -> Column:
 
 
 @lru_cache(maxsize=None)
-def _letter_classes() -> dict[str, str]:
-    """Folded letter, digit or letter pair -> a pattern for everything that folds to it."""
+def _letter_classes() -> tuple[dict[str, str], dict[str, str]]:
+    """Folded letter, digit or letter pair -> a pattern for everything that folds to it; and letter or digit
+    -> the inside of a character class of everything a spelling of it may start with."""
     source, target, expansions, _ = fold_tables(True)
     same: dict[str, list[str]] = {}
     for char, plain in zip(source, target):
@@ -130,14 +131,17 @@ def _letter_classes() -> dict[str, str]:
     def letter(plain: str) -> str:
         """Latin-1 spellings as a flat set; the rest is only looked at for characters beyond Latin-1."""
         near, far = [c for c in same.get(plain, []) if c <= "\xff"], [c for c in same.get(plain, []) if c > "\xff"]
-        return f"[{plain}{spelled(near)}" + (f"[[^\\x00-\\xff]&&[{spelled(far)}]]" if far else "") + "]\\p{M}*+"
+        return plain + spelled(near) + (f"[[^\\x00-\\xff]&&[{spelled(far)}]]" if far else "")
 
-    single = {c: letter(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+    sets = {c: letter(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+    single = {c: f"[{inside}]\\p{{M}}*+" for c, inside in sets.items()}
     pairs: dict[str, list[str]] = {}
     for char, plain in expansions.items():
         if plain in ("ss", "ff", "fi", "fl", "st", "ij", "dz", "lj", "nj"):
             pairs.setdefault(plain, []).append(char)
-    return single | {p: f"(?:{single[p[0]]}{single[p[1]]}|[{spelled(chars)}]\\p{{M}}*+)" for p, chars in pairs.items()}
+    wide = single | {p: f"(?:{single[p[0]]}{single[p[1]]}|[{spelled(chars)}]\\p{{M}}*+)" for p, chars in pairs.items()}
+    first = {c: inside + spelled([x for p, chars in pairs.items() if p[0] == c for x in chars]) for c, inside in sets.items()}
+    return wide, first
 
 
 def _escaped(text: Column) -> Column:
@@ -145,19 +149,20 @@ def _escaped(text: Column) -> Column:
 
 
 def _bounded_pattern(alternatives: Column, starts: Column, marks: bool) -> Column:
-    """The alternatives on letter/digit boundaries; NULL when there are none. `starts` are patterns of their
-    first characters: most positions of a text fail on those alone."""
+    """The alternatives on letter/digit boundaries; NULL when there are none. `starts` are the insides of
+    character classes for their first characters: most positions of a text fail on that one class."""
     before = rf"(?<!{EDGE}\p{{M}}{{0,4}})" if marks else f"(?<!{EDGE})"
     return F.when(F.size(alternatives) > 0, F.concat(
-        F.lit("(?="), F.array_join(F.array_distinct(starts), "|"), F.lit(f"){before}(?:"), F.array_join(alternatives, "|"), F.lit(f")(?!{EDGE})")))
+        F.lit("(?=["), F.array_join(F.array_distinct(starts), ""), F.lit(f"]){before}(?:"), F.array_join(alternatives, "|"), F.lit(f")(?!{EDGE})")))
 
 
 def identity_patterns(variants: Column) -> Column:
     """``struct(folded, ascii, wide)``: the pattern for folded text, for ASCII text and for any text."""
     spaced = lambda v: F.array_join(F.transform(F.split(v, " "), _escaped), r"\s+")
     plain = F.transform(variants, spaced)
-    classes = literal_map(_letter_classes())
-    token = F.lit(r"(?s)" + "|".join(k for k in _letter_classes() if len(k) == 2) + "|.")
+    wide, first = _letter_classes()
+    classes, firsts = literal_map(wide), literal_map(first)
+    token = F.lit(r"(?s)" + "|".join(k for k in wide if len(k) == 2) + "|.")
 
     def widened(variant: Column) -> Column:
         pieces = F.regexp_extract_all(variant, token, F.lit(0))
@@ -166,8 +171,7 @@ def identity_patterns(variants: Column) -> Column:
 
     heads = F.transform(variants, lambda v: F.left(v, F.lit(1)))
     near = _bounded_pattern(plain, F.transform(heads, _escaped), False)
-    # A first letter may be part of a ligature, so the wide start tests are those of the letters and pairs.
-    wide_heads = F.transform(variants, lambda v: F.when(F.left(v, F.lit(2)).isin(*[k for k in _letter_classes() if len(k) == 2]), widened(F.left(v, F.lit(2)))).otherwise(widened(F.left(v, F.lit(1)))))
+    wide_heads = F.transform(heads, lambda h: F.coalesce(F.try_element_at(firsts, h), _escaped(h)))
     return F.struct(near.alias("folded"), F.concat(F.lit("(?i)"), near).alias("ascii"), _bounded_pattern(F.transform(variants, widened), wide_heads, True).alias("wide"))
 
 
