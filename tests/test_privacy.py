@@ -46,6 +46,8 @@ def test_identity_masking(spark):
         ("p?n=I%C3%B1iguez", True), ("éAna", False), ("éAna", False), ("sin datos ñ", False), ("", False)]
     assert masked(spark, "Karl Strauss", "k.s+x@example.org", ["STRAUß", "k.s+x@example.org", "kxs"]) == [("SCRUBBED", False), ("SCRUBBED", False), ("kxs", False)]
     assert masked(spark, None, None, ["Ana"]) == [("Ana", False)]
+    rare = ["ⒶⓃⒶ y \U0001d400na, Ana", "ＡＮＡ", "Ŝtrauﬀ ana"]
+    assert masked(spark, "Ana Strauff", None, rare) == [("SCRUBBED y SCRUBBED, SCRUBBED", False), ("SCRUBBED", False), ("SCRUBBED SCRUBBED", False)]
 
 
 def test_files(spark):

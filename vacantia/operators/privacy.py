@@ -115,23 +115,37 @@ def sort_variants(variants: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda o: o["v"])
 
 
+def _is_common(char: str) -> bool:
+    """Latin letters with marks and full-width forms; what else folds to ASCII is rare (circled, mathematical)."""
+    return char < "\u0250" or "\u1e00" <= char <= "\u1eff" or "\uff00" <= char <= "\uffef"
+
+
+def _runs(chars: list[str]) -> str:
+    """Characters as the inside of a class, runs as ranges."""
+    out: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if out and point == out[-1][1] + 1:
+            out[-1][1] = point
+        else:
+            out.append([point, point])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 @lru_cache(maxsize=None)
-def _letter_classes() -> tuple[dict[str, str], dict[str, str]]:
+def _letter_classes(rare: bool) -> tuple[dict[str, str], dict[str, str]]:
     """Folded letter, digit or letter pair -> a pattern for everything that folds to it; and letter or digit
-    -> the inside of a character class of everything a spelling of it may start with."""
+    -> the inside of a character class of everything a spelling of it may start with. With `rare`, also for
+    characters that hardly ever occur (a much larger pattern)."""
     source, target, expansions, _ = fold_tables(True)
     same: dict[str, list[str]] = {}
     for char, plain in zip(source, target):
-        if plain.isascii() and plain.isalnum():
+        if plain.isascii() and plain.isalnum() and (rare or _is_common(char)):
             same.setdefault(plain, []).append(char)
 
-    def spelled(chars: list[str]) -> str:
-        return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars))
-
     def letter(plain: str) -> str:
         """Latin-1 spellings as a flat set; the rest is only looked at for characters beyond Latin-1."""
         near, far = [c for c in same.get(plain, []) if c <= "\xff"], [c for c in same.get(plain, []) if c > "\xff"]
-        return plain + spelled(near) + (f"[[^\\x00-\\xff]&&[{spelled(far)}]]" if far else "")
+        return plain + _runs(near) + (f"[[^\\x00-\\xff]&&[{_runs(far)}]]" if far else "")
 
     sets = {c: letter(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
     single = {c: f"[{inside}]\\p{{M}}*+" for c, inside in sets.items()}
@@ -139,11 +153,17 @@ def _letter_classes() -> tuple[dict[str, str], dict[str, str]]:
     for char, plain in expansions.items():
         if plain in ("ss", "ff", "fi", "fl", "st", "ij", "dz", "lj", "nj"):
             pairs.setdefault(plain, []).append(char)
-    wide = single | {p: f"(?:{single[p[0]]}{single[p[1]]}|[{spelled(chars)}]\\p{{M}}*+)" for p, chars in pairs.items()}
-    first = {c: inside + spelled([x for p, chars in pairs.items() if p[0] == c for x in chars]) for c, inside in sets.items()}
+    wide = single | {p: f"(?:{single[p[0]]}{single[p[1]]}|[{_runs(chars)}]\\p{{M}}*+)" for p, chars in pairs.items()}
+    first = {c: inside + _runs([x for p, chars in pairs.items() if p[0] == c for x in chars]) for c, inside in sets.items()}
     return wide, first
 
 
+@lru_cache(maxsize=None)
+def _rare_chars() -> str:
+    source, target, _, _ = fold_tables(True)
+    return f"[[^\\x00-\\xff]&&[{_runs([c for c, t in zip(source, target) if t.isascii() and t.isalnum() and not _is_common(c)])}]]"
+
+
 def _escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([^\p{L}\p{N}\s])", r"\\$1")
 
@@ -157,22 +177,30 @@ def _bounded_pattern(alternatives: Column, starts: Column, marks: bool) -> Colum
 
 
 def identity_patterns(variants: Column) -> Column:
-    """``struct(folded, ascii, wide)``: the pattern for folded text, for ASCII text and for any text."""
+    """``struct(variants, folded, ascii, wide)``: patterns for folded text, for ASCII text and for any text
+    without rare characters."""
     spaced = lambda v: F.array_join(F.transform(F.split(v, " "), _escaped), r"\s+")
-    plain = F.transform(variants, spaced)
-    wide, first = _letter_classes()
+
+    def built(known: Column) -> Column:
+        near = _bounded_pattern(F.transform(known, spaced), F.transform(known, lambda v: _escaped(F.left(v, F.lit(1)))), False)
+        return F.struct(known.alias("variants"), near.alias("folded"), F.concat(F.lit("(?i)"), near).alias("ascii"), wide_pattern(known, rare=False).alias("wide"))
+
+    return let(variants, built)
+
+
+def wide_pattern(variants: Column, *, rare: bool) -> Column:
+    """The variants in every spelling that folds to them, for text as it is."""
+    wide, first = _letter_classes(rare)
     classes, firsts = literal_map(wide), literal_map(first)
     token = F.lit(r"(?s)" + "|".join(k for k in wide if len(k) == 2) + "|.")
 
     def widened(variant: Column) -> Column:
         pieces = F.regexp_extract_all(variant, token, F.lit(0))
-        return F.array_join(F.transform(pieces, lambda p: F.when(p == " ", r"\s+").otherwise(
-            F.coalesce(F.try_element_at(classes, p), F.concat(_escaped(p), F.lit(r"\p{M}*+"))))), "")
+        return F.array_join(F.transform(pieces, lambda p: F.coalesce(
+            F.try_element_at(classes, p), F.when(p == " ", r"\s+").otherwise(F.concat(_escaped(p), F.lit(r"\p{M}*+"))))), "")
 
-    heads = F.transform(variants, lambda v: F.left(v, F.lit(1)))
-    near = _bounded_pattern(plain, F.transform(heads, _escaped), False)
-    wide_heads = F.transform(heads, lambda h: F.coalesce(F.try_element_at(firsts, h), _escaped(h)))
-    return F.struct(near.alias("folded"), F.concat(F.lit("(?i)"), near).alias("ascii"), _bounded_pattern(F.transform(variants, widened), wide_heads, True).alias("wide"))
+    heads = F.transform(variants, lambda v: let(F.left(v, F.lit(1)), lambda h: F.coalesce(F.try_element_at(firsts, h), _escaped(h))))
+    return _bounded_pattern(F.transform(variants, widened), heads, True)
 
 
 def with_identity(docs: DataFrame, people: DataFrame, owner: str, *, name: str = "name", email: str = "email") -> DataFrame:
@@ -184,7 +212,13 @@ def with_identity(docs: DataFrame, people: DataFrame, owner: str, *, name: str =
 
 def mask_identity(text: Column, identity: Column) -> Column:
     """Every spelling of the identity as the mask, whatever its case and accents; other text unchanged."""
-    wide = F.when(leaks(text, identity), F.regexp_replace(text, identity["wide"], F.lit(MASK))).otherwise(text)
+
+    def rest(common: Column) -> Column:
+        """Spellings in rare characters are left to a second, larger pattern that hardly any row needs."""
+        needed = common.rlike(_rare_chars()) & leaks(common, identity)
+        return F.when(needed, F.regexp_replace(common, wide_pattern(identity["variants"], rare=True), F.lit(MASK))).otherwise(common)
+
+    wide = F.when(leaks(text, identity), let(F.regexp_replace(text, identity["wide"], F.lit(MASK)), rest)).otherwise(text)
     masked = F.when(is_ascii(text), F.regexp_replace(text, identity["ascii"], F.lit(MASK))).otherwise(wide)
     return F.when(identity["folded"].isNull(), text).otherwise(masked)
 
