@@ -89,9 +89,8 @@ def stop_reason(
     if outcome:
         reason = F.coalesce(F.when(F.col(outcome) != "ok", F.col(outcome)), reason)
     marked = log.withColumn("_last", announced).withColumn("_stale", stale).withColumn("_reason", reason)
-    stops = marked.groupBy(*by).agg(
-        F.min(F.when(F.col("_reason").isNotNull(), F.struct(F.col(page).alias("page"), F.col("_reason").alias("reason")))).alias("_stop"))
-    reached = marked.join(stops, list(by)) if by else marked.withColumn("_one", F.lit(1)).join(stops.withColumn("_one", F.lit(1)), "_one")
+    first = F.min(F.when(F.col("_reason").isNotNull(), F.struct(F.col(page).alias("page"), F.col("_reason").alias("reason"))))
+    reached = marked.withColumn("_stop", first.over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     walked = reached.where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop.page")))
     return walked.groupBy(*by, F.col("_stop.page").alias("page"), F.col("_stop.reason").alias("reason")).agg(
         F.count_if(F.col(cards) > 0).alias("pages"), F.sum(new).alias("offers"))

@@ -198,11 +198,9 @@ def cursor_page(
     _bounded("limit", limit, 1, MAX_LIMIT)
     end = page + PAGES_PER_CALL - 1
     near = pages.where(F.col("page").between(page, end))
-    last_read = near.agg(F.coalesce(F.min(F.when(~F.col("has_next"), F.col("page"))), F.lit(end)).alias("_end"))
-    rows = (
-        listing.where(F.col("page").between(page, end)).withColumn("_one", F.lit(1))
-        .join(F.broadcast(last_read.withColumn("_one", F.lit(1))), "_one").where(F.col("page") <= F.col("_end")).drop("_one", "_end")
-    )
+    # One value each; scalar subqueries instead of joins with one-row tables.
+    last_read = near.agg(F.coalesce(F.min(F.when(~F.col("has_next"), F.col("page"))), F.lit(end)).alias("_end")).scalar()
+    rows = listing.where(F.col("page").between(page, end) & (F.col("page") <= last_read))
     order = [F.col("page"), F.col("pos")]
     if key is None:
         first = F.lit(True)
@@ -216,13 +214,9 @@ def cursor_page(
     )
     counts = rows.groupBy("page").agg(F.count("*").alias("_count"))
     facts = near.join(counts, "page", "left").withColumn("_count", F.coalesce("_count", F.lit(0)))
-    cut = kept.agg(
-        F.max(F.when(F.col("rank") == limit, F.col("page"))).alias("_full"),
-        F.max(F.when(F.col("rank") == limit + 1, F.struct("page", "pos"))).alias("_after"),
-    )
-    by_page = facts.withColumn("_one", F.lit(1)).join(cut.withColumn("_one", F.lit(1)), "_one").join(
-        last_read.withColumn("_one", F.lit(1)), "_one")
-    by_page = by_page.withColumn("_stop", F.coalesce("_full", "_end")).where(F.col("page") <= F.col("_stop"))
+    full = kept.agg(F.max(F.when(F.col("rank") == limit, F.col("page")))).scalar()
+    after = kept.agg(F.max(F.when(F.col("rank") == limit + 1, F.struct("page", "pos")))).scalar()
+    by_page = facts.withColumns({"_full": full, "_after": after}).withColumn("_stop", F.coalesce(F.col("_full"), last_read)).where(F.col("page") <= F.col("_stop"))
     same_page = F.col("_after.page") == F.col("_full")
     more = F.max(F.when(F.col("page") == F.col("_stop"), F.col("has_next")))
     start_count = F.coalesce(F.max(F.when(F.col("page") == page, F.col("_count"))), F.lit(0))
@@ -313,18 +307,14 @@ def related_roles(titles: DataFrame, queries: DataFrame | None, role: str, n: in
     """One row ``(role, resolved_name, similar, suggestions, warnings)``; `queries` None is a failed part."""
     similar = similar_roles(titles, role, n).agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("o"), "role"))), lambda s: s["role"]).alias("similar"))
-    frames = [resolved_name(titles, role), similar]
-    warnings: list[str] = []
-    if queries is None:
-        warnings.append("query suggestions unavailable")
-    else:
-        frames.append(suggest(queries, role, MAX_RELATED_SUGGESTIONS).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(
-                F.col("popularity").isNull().alias("u"), (-F.col("popularity")).alias("o"), "query"))), lambda s: s["query"]).alias("suggestions")))
-    row = reduce(lambda a, b: a.join(b, "_one"), [f.withColumn("_one", F.lit(1)) for f in frames])
-    suggestions = F.col("suggestions") if queries is not None else F.array().cast("array<string>")
-    return row.select(F.lit(role).alias("role"), "resolved_name", "similar", suggestions.alias("suggestions"),
-                      F.lit(warnings).cast("array<string>").alias("warnings"))
+    suggestions, warnings = F.array().cast("array<string>"), ["query suggestions unavailable"]
+    if queries is not None:
+        most_popular = F.struct(F.col("popularity").isNull().alias("u"), (-F.col("popularity")).alias("o"), "query")
+        suggestions, warnings = suggest(queries, role, MAX_RELATED_SUGGESTIONS).agg(
+            F.transform(F.array_sort(F.collect_list(most_popular)), lambda s: s["query"])).scalar(), []
+    return similar.select(
+        F.lit(role).alias("role"), resolved_name(titles, role).scalar().alias("resolved_name"), "similar", suggestions.alias("suggestions"),
+        F.lit(warnings).cast("array<string>").alias("warnings"))
 
 
 # ---- areas --------------------------------------------------------------------------------------
@@ -354,7 +344,8 @@ def resolve_area(texts: DataFrame, areas: DataFrame, *, text: str = "text") -> D
     candidate; plus up to three other candidates in server order. ``area_id`` NULL means not found.
 
     Candidates are areas whose name starts with the text. The area dimension is indexed once by every
-    prefix of its names, so that the texts need one equality join only.
+    prefix of its names, so that the texts need one equality join only; the lists of that index are bounded
+    by the number of areas, never by the number of texts.
     """
     order = F.struct(F.coalesce(-F.col("offer_count"), F.lit(0)).alias("o"), F.col("id").alias("id"))
     named = areas.withColumn("_name", fold(F.col("name"))).withColumn("_order", order)
@@ -397,15 +388,17 @@ def company_profile(companies: DataFrame, offers: DataFrame, slug: str, *, page:
     """
     size = COMPANY_JOBS_PAGE_SIZE
     theirs = offers.where(F.col("company_slug") == slug)
-    total = theirs.agg(F.count("*").alias("active_offers")).withColumn(
-        "page", F.least(F.lit(_bounded("page", page, 1)), F.greatest(F.ceil(F.col("active_offers") / size), F.lit(1))).cast("int"))
-    top = theirs.orderBy(*_sort_keys(order)).limit(page * size).withColumn(
+    total = theirs.agg(F.count("*")).scalar()
+    # At most the rows up to the asked page: one value, so the company needs no join.
+    top = theirs.orderBy(*_sort_keys(order)).limit(_bounded("page", page, 1) * size).withColumn(
         "pos", F.row_number().over(Window.orderBy(*_sort_keys(order))) - 1)
+    listed = top.agg(F.array_sort(F.collect_list(F.struct("pos", F.col("slug").alias("offer_slug"), "title")))).scalar()
+    served = F.least(F.lit(page), F.greatest(F.ceil(F.col("active_offers") / size), F.lit(1))).cast("int")
     head = companies.where(F.col("slug") == slug).select(F.col("slug").alias("company_slug"), "name", "location")
+    known = head.withColumns({"active_offers": total, "_listed": listed}).withColumn("page", served)
+    mine = F.filter("_listed", lambda o: F.floor(o["pos"] / size) + 1 == F.col("page"))
     return (
-        head.join(total.withColumn("company_slug", F.lit(slug)), "company_slug")
-        .join(top.select("company_slug", F.col("slug").alias("offer_slug"), "title", "pos"), "company_slug", "left")
-        .where(F.col("pos").isNull() | (F.floor(F.col("pos") / size) + 1 == F.col("page")))
+        known.select("*", F.inline_outer(mine)).drop("_listed")
         .withColumn("has_more", F.col("page") * size < F.col("active_offers"))
         .withColumn("note", F.when(F.col("page") < page, F.concat(
             F.lit(f"page {page} is past the last page ("), F.col("page").cast("string"), F.lit(")"))))

@@ -36,7 +36,7 @@ def r3_stop_reason(spark, folder):
     """Five crawls of the same listing that stop for different reasons (one per region)."""
     from pyspark.sql import Window
 
-    numbered = page_log(spark, folder).where(F.col("page") <= 20000)
+    numbered = page_log(spark, folder)
     runs = table(spark, folder, "region").select(F.col("r_regionkey").alias("run"))
     log = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run")).join(runs, "run")
     original = F.col("_page")

@@ -60,9 +60,9 @@ def k2_write_csv(spark, folder):
     lines = spark.read.text(path).select(F.when(F.contains(line, F.lit("slug,title")), line).alias("h"), line.rlike(",'=1\\+").alias("q"), line.rlike(",=1\\+").alias("f"))
     # The text reader drops the mark at the start of a file, so it is looked for in the bytes.
     mark = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.hex(F.substring("content", 1, 3)).alias("mark")).where(F.col("mark") != "")
-    marked = mark.agg(F.when(F.min(F.col("mark") == "EFBBBF"), "\ufeff").otherwise("").alias("m")).withColumn("_one", F.lit(1))
-    counted = lines.agg(F.max("h").alias("h"), F.count_if("q").alias("quoted"), F.count_if("f").alias("formulas")).withColumn("_one", F.lit(1))
-    return counted.join(marked, "_one").select(F.concat("m", F.ltrim(F.replace("h", F.lit("\ufeff"), F.lit("")))).alias("header"), "quoted", "formulas")
+    marked = mark.agg(F.when(F.min(F.col("mark") == "EFBBBF"), "\ufeff").otherwise("")).scalar()
+    counted = lines.agg(F.max("h").alias("h"), F.count_if("q").alias("quoted"), F.count_if("f").alias("formulas"))
+    return counted.select(F.concat(marked, F.ltrim(F.replace("h", F.lit("\ufeff"), F.lit("")))).alias("header"), "quoted", "formulas")
 
 
 @query("s1_skipped_lines", "SELECT count(*) FILTER (WHERE o_orderkey % 3 = 1) AS skipped FROM orders")

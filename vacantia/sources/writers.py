@@ -92,16 +92,16 @@ def to_envelope(
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
     fields, hint = KINDS[kind]
-    one = F.lit(1).alias("_one")
-    frame = meta.select("*", one) if meta is not None else items.sparkSession.range(1).select(one)
+    frame = meta if meta is not None else items.sparkSession.range(1).select()
     meta_columns = [c for c in (meta.columns if meta is not None else []) if c != "notes"]
     data = [F.col(c) for c in meta_columns]
     if items is not None:
         row = F.struct(*[F.col(c) for c in items.columns if c not in order])
         sort = F.struct(*order) if order else F.lit(0)
-        bundled = items.agg(F.transform(F.array_sort(F.collect_list(F.struct(sort.alias("o"), row.alias("r")))), lambda s: s["r"]).alias(fields[0] if fields else "results"))
-        frame = frame.join(bundled.withColumn("_one", F.lit(1)), "_one")
-        data.append(F.col(fields[0] if fields else "results"))
+        name = fields[0] if fields else "results"
+        bundled = items.agg(F.transform(F.array_sort(F.collect_list(F.struct(sort.alias("o"), row.alias("r")))), lambda s: s["r"]))
+        frame = frame.withColumn(name, bundled.scalar())
+        data.append(F.col(name))
     data += [c.alias(n) for n, c in (lists or {}).items()]
     none = F.array().cast("array<string>")
     notes = F.concat(warnings if warnings is not None else none, F.col("notes") if meta is not None and "notes" in meta.columns else none)
