@@ -75,7 +75,8 @@ def extract_cards(
     linked = F.transform(of_role(F.col("mine"), "link"), lambda h: attr(h, "href"))
     href = F.try_element_at(F.filter(linked, lambda h: h.rlike(r"/job_offers/[^/?#\s]+")), F.lit(1))
     slug = F.coalesce(slug_from_href(href), clean_slug(attr(F.col("card"), layout.slug_attr)))
-    cards = anchored(table, "card").withColumn("slug", slug).where(F.col("slug").isNotNull())
+    # Exploding the slug drops cards without one and computes it once; a filter would be pushed down and repeat it.
+    cards = anchored(table, "card").select("*", F.explode(F.array_compact(F.array(slug))).alias("slug"))
     mine = F.col("mine")
     age = F.filter(of_role(mine, "span"), lambda h: F.lower(h["own"]).startswith("hace"))
     rows = cards.withColumns({
@@ -129,9 +130,15 @@ def _strict_card(mine: Column, slug: Column, today: Column, portal: Portal) -> l
     ]
 
 
-def _card_frame(table: DataFrame, frame: str, carry: Sequence[str], today: Column, portal: Portal) -> DataFrame:
-    """The cards inside the results frame `frame` of an element table anchored on cards."""
-    cards = anchored(table.withColumn("hits", inside(F.col("hits"), frame)), "card").where(F.array_contains(F.map_keys(F.col("card.attrs")), CARDS.slug_attr))
+def _sound_hits(frame: str) -> Column:
+    """The hits of a page's frame, none (NULL) when the page has a violation. Exploding them drops such pages;
+    a filter would be pushed below the verdict and compute it again for every use."""
+    return F.when(F.col("violation").isNull(), inside(F.col("hits"), frame))
+
+
+def _card_frame(judged: DataFrame, frame: str, carry: Sequence[str], today: Column, portal: Portal) -> DataFrame:
+    """The cards inside the results frame `frame` of sound pages of an element table anchored on cards."""
+    cards = anchored(judged.withColumn("hits", _sound_hits(frame)), "card").where(F.array_contains(F.map_keys(F.col("card.attrs")), CARDS.slug_attr))
     return cards.select(*carry, "pos", *_strict_card(F.col("mine"), attr(F.col("card"), CARDS.slug_attr), today, portal))
 
 
@@ -190,7 +197,7 @@ def extract_search_page(
     report = judged.select(
         *carry, f["total"].alias("total"), f["nav"]["last_page"].alias("last_page"), f["nav"]["has_next"].alias("has_next"),
         effective_location(first_of(hits, "area")).alias("effective_location"), related_pills(hits).alias("related_roles"), f["cards"].alias("cards"), "violation")
-    return Extracted(_card_frame(judged.where(F.col("violation").isNull()), "frame", carry, today, portal), report)
+    return Extracted(_card_frame(judged, "frame", carry, today, portal), report)
 
 
 AREA_OPTIONS = "array<struct<id:string,display_path:string,area_type_label:string>>"
@@ -376,7 +383,7 @@ def extract_companies(pages: DataFrame, *, carry: Sequence[str] = ("page_id",),
     judged = known.withColumn("violation", _verdict(missing))
     mine = F.col("mine")
     tags = company_tags(all_texts(mine, "tag"))
-    cards = anchored(judged.where(F.col("violation").isNull()), "card").withColumn("slug", slug_from_link(attr(F.col("card"), "href"), "company", portal))
+    cards = anchored(judged.withColumn("hits", F.when(F.col("violation").isNull(), F.col("hits"))), "card").withColumn("slug", slug_from_link(attr(F.col("card"), "href"), "company", portal))
     rows = cards.select(
         *carry, "pos", "slug", build_url(F.col("slug"), "company", portal).alias("url"), first_of(mine, "name")["text"].alias("name"),
         first_text(mine, "location").alias("location"), tags["sector"].alias("sector"), tags["size"].alias("size"),
@@ -405,7 +412,7 @@ def extract_company_page(
         *carry, first_of(hits, "h1")["text"].alias("name"), some(location["text"]).alias("location"),
         offer_count(first_of(hits, "offers")["text"]).alias("active_offers"), F.col("_nav.has_next").alias("has_more"),
         F.when(F.col("_nav.has_next"), F.col("page") + 1).alias("next_page"), "violation")
-    return Extracted(_card_frame(judged.where(F.col("violation").isNull()), "jobs_frame", carry, today, portal), report)
+    return Extracted(_card_frame(judged, "jobs_frame", carry, today, portal), report)
 
 
 # ---- private pages ------------------------------------------------------------------------------
