@@ -62,7 +62,7 @@ def f6_search_offers(spark, folder):
 
 @query("r9_list_meta", f"""
 WITH {OFFERS}, {FOUND}, t AS (SELECT count(*) AS total, greatest(CAST(ceil(count(*) / 15.0) AS INT), 1) AS last_page FROM found)
-SELECT total, 2 AS page, 3 AS offset, least(last_page, CASE WHEN total > 15 THEN (15 + 3 + 39) // 15 + 1 ELSE 2 END) AS last_fetched_page,
+SELECT total, 2 AS page, 3 AS offset, greatest(2, least(last_page, (15 + 3 + 39) // 15 + 1)) AS last_fetched_page,
   CASE WHEN last_page > 2 THEN 15 END AS per_page, last_page, total > 58 AS has_more, CASE WHEN total > 58 THEN 4 END AS next_page, CASE WHEN total > 58 THEN 13 END AS next_offset,
   CASE WHEN total <= 15 THEN 'page 2 is past the last page' || CASE WHEN last_page < 2 THEN ' (' || last_page || ')' ELSE '' END WHEN total <= 18 THEN 'page 2 has only ' || (total - 15) || ' results; offset 3 skipped them all' ELSE '' END AS notes FROM t""")
 def r9_list_meta(spark, folder):
