@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +21,10 @@ SETTINGS = {
 }
 
 
+#: Applications that have the package.
+_shipped: set[str] = set()
+
+
 def local_session(cpus: str = "8") -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("vacantia")
@@ -34,11 +41,27 @@ def local_session(cpus: str = "8") -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (shared by all executors), for written tables.
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share, for written tables.
 
-    Only where that setting is absent, as in local tests, is a local temporary folder used.
+    Only a local master, whose one process sees its own disk, may go without that setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it by name; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "vacantia.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
