@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, repeats, simhash
+from vacantia.llm import decontaminate, licenses, quality, repeats, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,16 @@ def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes covered by 400-byte strings that start more than once."""
     found = repeats.find_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality counts, the base rule, and risk-controlled cutoffs fitted on the labels."""
+    found = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed").alias("failed"))
+
+
+@query
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and signatures."""
+    return licenses.summary(licenses.scan(table(spark, folder, "documents")))
