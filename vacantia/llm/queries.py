@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, licenses, quality, repeats, simhash
+from vacantia.llm import decontaminate, licenses, pii, quality, repeats, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,9 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and signatures."""
     return licenses.summary(licenses.scan(table(spark, folder, "documents")))
+
+
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data spans."""
+    return pii.summary(pii.find(table(spark, folder, "documents")))
