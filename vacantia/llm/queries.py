@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, licenses, pii, quality, repeats, simhash
+from vacantia.llm import decontaminate, licenses, linededup, pii, quality, repeats, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,35 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data spans."""
     return pii.summary(pii.find(table(spark, folder, "documents")))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated multi-line chunks removed; what stays of each document."""
+    found = linededup.dedupe_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_kept_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+CHECKS["op10_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines
+), rolled AS (
+  SELECT *, coalesce((lag(h) OVER w * 31 + h) % 3 = 0, false) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1 AS is_last FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ended AS (
+  SELECT *, (c AND NOT coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY i), false)) OR is_last AS e FROM rolled
+), numbered AS (
+  SELECT *, coalesce(sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended
+), chunk AS (
+  SELECT doc_id, k, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, k
+), judged AS (
+  SELECT *, n > 1 AND regexp_matches(t, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, first) > 1 AS gone FROM chunk
+), kept AS (
+  SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n) FILTER (gone), 0) AS n_removed_lines,
+         coalesce(string_agg(t, chr(10) ORDER BY first) FILTER (NOT gone), '') AS text FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed_chunks, 0)::BIGINT AS n_removed_chunks,
+       coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, length(coalesce(k.text, ''))::BIGINT AS n_kept_chars, md5(coalesce(k.text, '')) AS kept_md5
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
