@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, licenses, linededup, pii, quality, repeats, simhash
+from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,24 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0):
        coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, length(coalesce(k.text, ''))::BIGINT AS n_kept_chars, md5(coalesce(k.text, '')) AS kept_md5
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+
+@query
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages by cross-parsing, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    learned = language.training_sample(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, learned)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_phrases")
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Optimal length buckets and token-budget batches."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts for page urls."""
+    return urls.judge(table(spark, folder, "pages"))
