@@ -223,7 +223,7 @@ def links(nodes: DataFrame, radius: int, ratio: float | None = None, shard: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, n_words: int = 1, radius: int = 2, ratio: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """`id_col`, `carry`, ``bits``, ``n_shingles`` and ``component_id`` for every row of `docs`.
+    """`id_col`, `carry`, ``bits``, ``n_shingles``, ``group`` and ``component_id`` for every row of `docs`.
 
     ``component_id`` is the smallest id reachable over links of at most `radius` differing bits, the row's own
     included; ids of null count for nothing, so it is null only if the whole group has none. Null and blank texts
@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(nodes, radius, ratio))
     grouped = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = written(grouped.join(lowest, "root").select("node", "component_id"), "members")
-    return rows.join(members, "node").select(id_col, *carry, "bits", "n_shingles", "component_id")
+    members = written(grouped.join(lowest, "root").select("node", F.col("root").alias("group"), "component_id"), "members")
+    return rows.join(members, "node").select(id_col, *carry, "bits", "n_shingles", "group", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -252,14 +252,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound = int(64 * n_words * (np.arccos(2 * similarity / (1 + similarity)) / np.pi) + np.sqrt(16 * n_words) * 0.5)
     key = "_hash"
     kept = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    worded = kept.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    found = near_duplicates(worded, id_col, text_col, width, n_words, bound, similarity, (key,))
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(key).alias("h"))).alias("s"))
-    stays = best.select(F.col("s.id").alias("_id"), F.col("s.h").alias("_h"))
-    return _keep(docs, kept, stays, id_col, text_col, key)
-
-
-def _keep(docs: DataFrame, kept: DataFrame, stays: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    blank = kept.where(~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop(key)
-    chosen = kept.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_h")), "left_semi")
-    return chosen.dropDuplicates([id_col, key]).select(*docs.columns).union(blank.select(*docs.columns))
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = near_duplicates(kept.where(has_words), id_col, text_col, width, n_words, bound, similarity, (key,))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(key).alias("h"))).alias("s"))
+    chosen = kept.where(has_words).join(best.select(F.col("s.h").alias(key)), key, "left_semi").dropDuplicates([key, id_col])
+    return chosen.select(*docs.columns).union(docs.where(~has_words))
