@@ -1,7 +1,7 @@
 """URL verdicts from host rules and from path templates learned for each host. DataFrame functions only.
 
 Paths become trees of templates, host by host and level by level: runs of digits are wildcards at once, and where one
-place has many different children that are nearly all rare, these become one wildcard. Sibling branches of the same
+place has many different rare children, these become one wildcard. Sibling branches of the same
 shape whose labelled shares of bad pages don't differ beyond chance are merged and share their evidence. A template is
 rejected if its smoothed share of bad labels is high enough.
 """
@@ -48,11 +48,11 @@ def _at(parts: Column, level: int, value: Column) -> Column:
     return F.when(F.size(parts) > level, F.transform(parts, lambda x, i: F.when(i == level, value).otherwise(x))).otherwise(parts)
 
 
-def templates(urls: DataFrame, depth: int = 6, many: int = 20, rare: float = 2.0, similar: float = 1.96, least: int = 5) -> DataFrame:
+def templates(urls: DataFrame, depth: int = 6, many: int = 20, rare: int = 2, similar: float = 1.96, least: int = 5) -> DataFrame:
     """``(host, parts, template, n, bad, labelled)`` for each ``(host, path, bad)``; bad is 1, 0 or null (no label).
 
-    A place with at least `many` different children, each seen `rare` times or less on average, is a wildcard. A
-    branch joins its merged siblings if it has `least` labels and its share of bad ones is within `similar` standard
+    At a place with at least `many` different children seen `rare` times or less, those are one wildcard; more frequent
+    children stay as they are. A branch joins its merged siblings if it has `least` labels and its share of bad ones is within `similar` standard
     errors of theirs. Equal paths are added up first, so a hot host costs no more rows than it has kinds of paths.
     """
     rows = urls.groupBy("host", _segments(F.col("path"), depth).alias("parts")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad"), F.count("bad").alias("labelled")).withColumn("tree", F.col("parts"))
@@ -60,9 +60,10 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 20, rare: float = 2.0
     for level in range(depth):
         above = F.array_join(F.slice("tree", 1, level), "/") if level else F.lit("")
         here = rows.withColumn("_up", above).withColumn("_seg", F.get("tree", F.lit(level)))
-        children = here.where("_seg is not null").groupBy("host", "_up", "_seg").agg(F.sum("n").alias("n"))
-        wild = children.groupBy("host", "_up").agg(F.count("*").alias("k"), F.sum("n").alias("m")).where((F.col("k") >= many) & (F.col("m") <= rare * F.col("k"))).select("host", "_up", F.lit(True).alias("_wild"))
-        rows = written(here.join(wild, ["host", "_up"], "left").withColumn("tree", F.when(F.col("_wild"), _at(F.col("tree"), level, F.lit("*"))).otherwise(F.col("tree"))).drop("_up", "_seg", "_wild"), "level")
+        children = here.where("_seg is not null").groupBy("host", "_up", "_seg").agg(F.sum("n").alias("n")).where(F.col("n") <= rare)
+        variable = children.groupBy("host", "_up").agg(F.count("*").alias("k")).where(F.col("k") >= many)
+        wild = children.join(variable, ["host", "_up"]).select("host", "_up", "_seg", F.lit(True).alias("_wild"))
+        rows = written(here.join(wild, ["host", "_up", "_seg"], "left").withColumn("tree", F.when(F.col("_wild"), _at(F.col("tree"), level, F.lit("*"))).otherwise(F.col("tree"))).drop("_up", "_seg", "_wild"), "level")
     evidence = rows.groupBy("host", "tree").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).withColumn("merged", F.col("tree"))
     evidence = written(evidence, "evidence")
     for level in range(depth):
