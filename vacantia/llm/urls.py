@@ -52,8 +52,8 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 20, rare: int = 2, si
     """``(host, parts, template, n, bad, labelled)`` for each ``(host, path, bad)``; bad is 1, 0 or null (no label).
 
     At a place with at least `many` different children seen `rare` times or less, those are one wildcard; more frequent
-    children stay as they are. A branch joins its merged siblings if it has `least` labels and its share of bad ones is within `similar` standard
-    errors of theirs. Equal paths are added up first, so a hot host costs no more rows than it has kinds of paths.
+    children stay as they are. A branch joins its siblings if it has `least` labels and its share of bad ones is within `similar` standard errors
+    of theirs together; branches with mostly bad labels (wildcard ``*!``) and the others (``*``) are pooled apart. Equal paths are added up first, so a hot host costs no more rows than it has kinds of paths.
     """
     rows = urls.groupBy("host", _segments(F.col("path"), depth).alias("parts")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad"), F.count("bad").alias("labelled")).withColumn("tree", F.col("parts"))
     rows = written(rows, "paths")  # each level reads the one before twice, so levels are written
@@ -67,13 +67,14 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 20, rare: int = 2, si
     evidence = rows.groupBy("host", "tree").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).withColumn("merged", F.col("tree"))
     evidence = written(evidence, "evidence")
     for level in range(depth):
-        shape = _at(F.col("merged"), level, F.lit("*"))
-        branches = evidence.groupBy("host", "merged").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("m")).where((F.col("m") >= least) & (F.size("merged") > level)).withColumn("shape", shape)
+        # siblings of mostly bad and of mostly good labels are pooled apart, under different wildcards
+        counted = evidence.groupBy("host", "merged").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("m")).where((F.col("m") >= least) & (F.size("merged") > level))
+        branches = counted.withColumn("shape", _at(F.col("merged"), level, F.when(2 * F.col("b") > F.col("m"), "*!").otherwise("*")))
         pooled = branches.groupBy("host", "shape").agg(F.sum("b").alias("sb"), F.sum("m").alias("sm"), F.count("*").alias("k")).where("k > 1")
         p = F.col("sb") / F.col("sm")
         error = F.sqrt(F.col("m") * p * (1 - p))
-        joined = branches.join(pooled, ["host", "shape"]).where(F.abs(F.col("b") - F.col("m") * p) <= similar * error).select("host", "merged", F.lit(True).alias("_join"))
-        evidence = written(evidence.join(joined, ["host", "merged"], "left").withColumn("merged", F.when(F.col("_join"), shape).otherwise(F.col("merged"))).drop("_join"), "merged")
+        joined = branches.join(pooled, ["host", "shape"]).where(F.abs(F.col("b") - F.col("m") * p) <= similar * error).select("host", "merged", "shape")
+        evidence = written(evidence.join(joined, ["host", "merged"], "left").withColumn("merged", F.coalesce("shape", "merged")).drop("shape"), "merged")
     total = evidence.groupBy("host", "merged").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     named = rows.select("host", "parts", "tree").join(evidence.select("host", "tree", "merged"), ["host", "tree"]).join(total, ["host", "merged"])
     return named.select("host", "parts", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "n", "bad", "labelled")
