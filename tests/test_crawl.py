@@ -120,3 +120,11 @@ def test_attempt_outcomes(spark):
     got = {r.request_id: tuple(r)[1:] for r in C.attempt_outcomes(df).collect()}
     assert got == {"a": (2, 200, "ok", 0), "b": (2, 429, "blocked", 1), "c": (1, 503, "blocked", 0), "d": (1, 404, "http_error", 0),
                    "e": (2, 500, "error", 0)}
+
+
+def test_backoff_and_network_errors(spark):
+    rows = [("f", 0, 503, None, 0.0), ("f", 1, 503, None, 2.5), ("f", 2, 200, None, 5.5), ("g", 0, None, None, 0.0), ("g", 1, None, None, 1.0),
+            ("h", 4, 500, 400.0, 0.0), ("i", 0, 503, 9.0, 0.0), ("i", 1, 200, None, 8.0)]
+    df = spark.createDataFrame(rows, "request_id string, attempt int, status int, retry_after double, s double").withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("bigint")))
+    got = {r.request_id: tuple(r)[1:] for r in C.attempt_outcomes(df).collect()}
+    assert got == {"f": (3, 200, "ok", 1), "g": (2, None, "error", 1), "h": (1, 500, "error", 0), "i": (2, 200, "ok", 1)}

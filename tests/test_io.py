@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import quality as Q
-from vacantia.schemas import FIELDS, OFFER
+from vacantia.schemas import FIELDS, KINDS, OFFER
 from vacantia.sources import readers as R
 from vacantia.sources import writers as W
 
@@ -98,7 +98,7 @@ def test_envelope_and_flat_csv(spark):
     doc = json.loads(W.to_envelope("job_search", items, meta, order=["rank"], warnings=F.array(F.lit("w"), F.lit("n"))).first()[0])
     assert doc == {"schema_version": 2, "kind": "job_search", "data": {"page": 1, "offset": 0, "results": [{"slug": "a", "labels": ["x", "y"]}, {"slug": "b", "labels": None}]}, "warnings": ["w", "n"]}
     empty = json.loads(W.to_envelope("company_list", items.limit(0), meta, order=["rank"]).first()[0])
-    assert empty["warnings"] == ["n", "No companies matched (not an error)."]
+    assert empty["warnings"] == ["n", KINDS["company_list"][1]]
     later = json.loads(W.to_envelope("company_list", items.limit(0), meta.withColumn("page", F.lit(2)), order=["rank"]).first()[0])
     assert later["warnings"] == ["n"]
     with pytest.raises(ValueError):

@@ -14,6 +14,7 @@ RETRY_STATUS = (403, 429, 500, 502, 503, 504)
 BLOCK_STATUS = (403, 429)
 BACKOFF_BASE_S = 2.0
 RETRY_AFTER_MAX_S = 300.0
+MAX_RETRIES = 4
 MAX_PER_HOUR = 240
 HOUR_US = 3_600_000_000
 DETAIL_FIELDS = ("description", "salary_min", "salary_max", "published_at", "valid_through", "external_id")
@@ -217,26 +218,30 @@ def spacing_violations(log: DataFrame, *, key: str = "key", ts: str = "ts", min_
 
 def attempt_outcomes(
     log: DataFrame, *, request: str = "request_id", attempt: str = "attempt", status: str = "status",
-    retry_after: str = "retry_after", ts: str = "ts", delay_s: float = 2.0,
+    retry_after: str = "retry_after", ts: str = "ts", delay_s: float = 2.0, max_retries: int = MAX_RETRIES,
 ) -> DataFrame:
     """Per logical request: attempts, final status, outcome (ok, http_error, blocked, error) and how many
-    retries came earlier than the backoff (2·2^n s) or the Retry-After of the attempt before asked for.
+    retries came earlier than the backoff (2·2^n s) or, where the attempt before named one, its Retry-After
+    (at least the delay between requests).
 
-    Attempts are matched to the one before by an equi join on (request, attempt), so no request id has
-    to fit in one task.
+    A null status is a network error: it is retried like a retryable status, and as the last attempt it is
+    an error. A Retry-After over the limit blocks a request that still had retries left. Attempts are matched
+    to the one before by an equi join on (request, attempt), so no request id has to fit in one task.
     """
     narrow = log.select(request, attempt, status, retry_after, micros(F.col(ts)).alias("_us"))
-    wait = F.coalesce(
-        F.greatest(F.col(retry_after), F.lit(delay_s)), BACKOFF_BASE_S * F.pow(F.lit(2.0), F.col(attempt)))
-    before = narrow.where(F.col(status).isin(*RETRY_STATUS)).select(
+    retried = F.col(status).isNull() | F.col(status).isin(*RETRY_STATUS)
+    asked = F.when(F.col(status).isNotNull(), F.col(retry_after))
+    wait = F.when(asked.isNotNull(), F.greatest(asked, F.lit(delay_s))).otherwise(BACKOFF_BASE_S * F.pow(F.lit(2.0), F.col(attempt)))
+    before = narrow.where(retried).select(
         request, (F.col(attempt) + 1).alias(attempt), F.col("_us").alias("_prev"), wait.alias("_wait"))
     early = (F.col("_us") - F.col("_prev")) < F.col("_wait") * 1_000_000
-    last = F.max_by(F.struct(status, retry_after), F.col(attempt))
+    last = F.max_by(F.struct(status, retry_after, attempt), F.col(attempt))
     grouped = narrow.join(before, [request, attempt], "left").groupBy(request).agg(
         F.count("*").alias("attempts"), last.alias("_last"), F.count_if(early).alias("early_retries"))
     final = F.col(f"_last.{status}")
+    told_off = (F.col(f"_last.{retry_after}") > RETRY_AFTER_MAX_S) & (F.col(f"_last.{attempt}") < max_retries)
     outcome = (
-        F.when(final.isin(*RETRY_STATUS) & (F.col(f"_last.{retry_after}") > RETRY_AFTER_MAX_S), "blocked")
+        F.when(final.isNull(), "error").when(final.isin(*RETRY_STATUS) & told_off, "blocked")
         .when(final.isin(*BLOCK_STATUS), "blocked").when(final.isin(*RETRY_STATUS), "error")
         .when(final >= 400, "http_error").otherwise("ok")
     )

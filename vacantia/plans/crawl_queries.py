@@ -119,13 +119,21 @@ def h2_spacing_violations(spark, folder):
 
 @query("h3_attempt_outcomes", f"""
 WITH {REQUESTS},
-p AS (SELECT *, lag(us) OVER a AS prev, lag(status) OVER a AS pstatus, lag(retry_after) OVER a AS pafter FROM requests_v WINDOW a AS (PARTITION BY request_id ORDER BY attempt))
-SELECT request_id, count(*) AS attempts, arg_max(status, attempt) AS final_status,
-  CASE WHEN arg_max(status, attempt) = 429 THEN 'blocked' WHEN arg_max(status, attempt) IN (500, 503) THEN 'error' ELSE 'ok' END AS outcome,
-  count(*) FILTER (WHERE pstatus IN (429, 500, 503) AND us - prev < 1000000 * CASE WHEN pafter IS NOT NULL THEN greatest(pafter, 2.0) ELSE 2.0 * pow(2.0, attempt - 1) END) AS early_retries
-FROM p GROUP BY request_id""")
+t AS (SELECT request_id, attempt, retry_after * 5 AS retry_after, CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN NULL ELSE status END AS status,
+  epoch_us(date_trunc('day', ts)) + CAST((attempt * 3.5 + event_id % 5) * 1000000 AS BIGINT) AS us FROM requests_v),
+p AS (SELECT *, lag(us) OVER a AS prev, lag(status) OVER a AS pstatus, lag(retry_after) OVER a AS pafter FROM t WINDOW a AS (PARTITION BY request_id ORDER BY attempt)),
+l AS (SELECT request_id, count(*) AS attempts, max(attempt) AS n,
+  count(*) FILTER (WHERE prev IS NOT NULL AND (pstatus IS NULL OR pstatus IN (429, 500, 503)) AND us - prev < 1000000 * CASE WHEN pstatus IS NOT NULL AND pafter IS NOT NULL THEN greatest(pafter, 2.0) ELSE 2.0 * pow(2.0, attempt - 1) END) AS early_retries
+  FROM p GROUP BY request_id)
+SELECT l.request_id, attempts, t.status AS final_status, early_retries,
+  CASE WHEN t.status IS NULL THEN 'error' WHEN t.status IN (429, 500, 503) AND retry_after > 300 AND n < 4 THEN 'blocked' WHEN t.status = 429 THEN 'blocked' WHEN t.status IN (500, 503) THEN 'error' ELSE 'ok' END AS outcome
+FROM l JOIN t ON t.request_id = l.request_id AND t.attempt = l.n""")
 def h3_attempt_outcomes(spark, folder):
-    return cr.attempt_outcomes(requests(spark, folder))
+    """Attempts a few seconds apart, some of them lost to network errors."""
+    log = requests(spark, folder).withColumns({
+        "status": F.when((F.col("event_type") == "view") & (F.col("event_id") % 7 == 0), None).otherwise(F.col("status")), "retry_after": F.col("retry_after") * 5,
+        "ts": F.expr("date_trunc('day', ts) + make_dt_interval(0, 0, 0, cast(attempt * 3.5 + event_id % 5 as decimal(18, 6)))")})
+    return cr.attempt_outcomes(log)
 
 
 @query("h4_stream_budget", f"""
@@ -136,22 +144,27 @@ run AS (
   SELECT n.key, n.event_id, n.us, n.i, len(list_filter(run.recent, lambda t: t > n.us - 3600000000)) < 1,
     CASE WHEN len(list_filter(run.recent, lambda t: t > n.us - 3600000000)) < 1 THEN list_append(list_filter(run.recent, lambda t: t > n.us - 3600000000), n.us)
       ELSE list_filter(run.recent, lambda t: t > n.us - 3600000000) END
-  FROM run JOIN n ON n.key = run.key AND n.i = run.i + 1)
-SELECT event_id AS request_id, admitted, len(recent) AS used, CASE WHEN NOT admitted THEN CAST(ceil((recent[1] + 3600000000 - us) / 60000000.0) AS BIGINT) END AS next_slot_min FROM run""")
+  FROM run JOIN n ON n.key = run.key AND n.i = run.i + 1),
+w AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 AS mark FROM events)
+SELECT event_id AS request_id, admitted, len(recent) AS used, CASE WHEN NOT admitted THEN CAST(ceil((recent[1] + 3600000000 - us) / 60000000.0) AS BIGINT) END AS next_slot_min
+FROM run, w WHERE us // 1000 * 1000 + 1000 <= mark""")
 def h4_stream_budget(spark, folder):
-    """Exact admission with one request per hour and user, as a stateful stream over the event files."""
+    """Exact admission with one request per hour and user, as a stateful stream over the event files; what the watermark (a day behind) has passed."""
     events = jobs.read_stream(spark, folder, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("request_id"), "ts")
-    done = jobs.run_available(jobs.stream_budget(events, max_per_hour=1))
+    done = jobs.run_available(jobs.stream_budget(events, max_per_hour=1, late="1 day"))
     return done.select("request_id", "admitted", "used", "next_slot_min")
 
 
-@query("h5_stream_offers", "SELECT 'user-' || user_id AS slug, event_type, count(*) > 0 AS seen FROM events GROUP BY 1, 2")
+@query("h5_stream_offers", """
+WITH b AS (SELECT 'user-' || user_id AS slug, event_type, epoch_us(ts) // 86400000000 * 86400000000 AS bucket_us, min(event_id) AS event_id FROM events GROUP BY ALL),
+w AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 AS mark FROM events)
+SELECT slug, event_type, event_id FROM b, w WHERE bucket_us + 86400000000 <= mark""")
 def h5_stream_offers(spark, folder):
-    """First-wins dedupe of arriving cards (a user's events of one type repeat one card)."""
+    """First-wins dedupe of arriving cards per day: the smallest event of a user's events of one type."""
     slug = F.concat_ws("/", F.concat(F.lit("user-"), F.col("user_id").cast("string")), "event_type")
-    stream = jobs.read_stream(spark, folder, "events").select(slug.alias("slug"), "ts")
-    kept = jobs.run_available(jobs.stream_offers(stream, horizon="40 days").select("slug"))
-    return kept.select(F.substring_index("slug", "/", 1).alias("slug"), F.substring_index("slug", "/", -1).alias("event_type"), F.lit(True).alias("seen"))
+    stream = jobs.read_stream(spark, folder, "events").select(slug.alias("slug"), "ts", "event_id")
+    kept = jobs.run_available(jobs.stream_offers(stream, order=["event_id"], horizon="1 day", late="1 day"))
+    return kept.select(F.substring_index("slug", "/", 1).alias("slug"), F.substring_index("slug", "/", -1).alias("event_type"), "event_id")
 
 
 @query("h6_stream_page_stats", """

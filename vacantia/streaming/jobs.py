@@ -15,6 +15,7 @@ from vacantia.session import work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField("us", T.LongType())])
+PENDING = T.StructType([T.StructField("us", T.LongType()), T.StructField("request_id", T.LongType())])
 ADMISSION = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("request_id", T.LongType()), T.StructField("us", T.LongType()),
     T.StructField("admitted", T.BooleanType()), T.StructField("used", T.IntegerType()), T.StructField("next_slot_min", T.IntegerType()),
@@ -22,25 +23,49 @@ ADMISSION = T.StructType([
 
 
 class HourlyAdmission(StatefulProcessor):
-    """Rolling-hour budget of one key. The state is the admitted requests of the last hour, so it never
-    holds more than the budget; refused requests leave no trace."""
+    """Rolling-hour budget of one key, decided in event-time order whatever the batches.
+
+    Requests wait until the watermark has passed them. Then they are taken in order of time and id, so the answers
+    don't depend on how files fell into batches. The state is what waits (as much as the lateness allows) and the
+    admitted requests of the last hour (never more than the budget); a timer clears a key an hour after its last.
+    """
 
     def __init__(self, max_per_hour: int) -> None:
         self.max_per_hour = max_per_hour
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", STATE)
+        self.waiting = handle.getListState("waiting", PENDING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # One key's share of one micro-batch; the source's batch limits bound it.
+        fresh = [(row.us, row.request_id) for row in rows]
+        self.waiting.appendList(fresh)
+        self.handle.registerTimer(min(us for us, _ in fresh) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
         recent = sorted(row[0] for row in self.recent.get()) if self.recent.exists() else []
-        for row in sorted(rows, key=lambda r: (r.us, r.request_id)):
-            recent = [t for t in recent if t > row.us - HOUR_US]
+        # a request at `us` is settled once the watermark has passed its whole millisecond
+        ready = [w for w in waiting if w[0] // 1000 * 1000 + 1000 <= mark]
+        left = waiting[len(ready):]
+        for us, request_id in ready:
+            recent = [t for t in recent if t > us - HOUR_US]
             admitted = len(recent) < self.max_per_hour
-            minutes = None if admitted else math.ceil((recent[0] + HOUR_US - row.us) / 60_000_000)
+            minutes = None if admitted else math.ceil((recent[0] + HOUR_US - us) / 60_000_000)
             if admitted:
-                recent.append(row.us)
-            yield Row(key=key[0], request_id=row.request_id, us=row.us, admitted=admitted, used=len(recent), next_slot_min=minutes)
+                recent.append(us)
+            yield Row(key=key[0], request_id=request_id, us=us, admitted=admitted, used=len(recent), next_slot_min=minutes)
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+            recent = [t for t in recent if t > mark - HOUR_US]
+            if recent:
+                self.handle.registerTimer((recent[-1] + HOUR_US) // 1000 + 1)
         if recent:
             self.recent.put([(t,) for t in recent])
         else:
@@ -50,17 +75,25 @@ class HourlyAdmission(StatefulProcessor):
         pass
 
 
-def stream_budget(stream: DataFrame, *, key: str = "key", request: str = "request_id", ts: str = "ts", max_per_hour: int = MAX_PER_HOUR) -> DataFrame:
-    """Each request admitted or refused by the rolling-hour budget of its key, in time order per batch."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    narrow = stream.select(F.col(key).cast("string").alias("key"), F.col(request).cast("bigint").alias("request_id"), micros(F.col(ts)).alias("us"))
-    return narrow.groupBy("key").transformWithState(
-        statefulProcessor=HourlyAdmission(min(max_per_hour, MAX_PER_HOUR)), outputStructType=ADMISSION, outputMode="Append", timeMode="None")
+def stream_budget(stream: DataFrame, *, key: str = "key", request: str = "request_id", ts: str = "ts", max_per_hour: int = MAX_PER_HOUR, late: str = "1 day") -> DataFrame:
+    """Each request admitted or refused by the rolling-hour budget of its key, in event-time order.
 
+    `late` is how far a request may arrive behind the newest one; a decision is emitted once the watermark, that far
+    behind, has passed it. The state store must be RocksDB (`run_available` sees to that).
+    """
+    timed = stream.select(
+        F.col(key).cast("string").alias("key"), F.col(request).cast("bigint").alias("request_id"), micros(F.col(ts)).alias("us"),
+        F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithState(
+        statefulProcessor=HourlyAdmission(min(max_per_hour, MAX_PER_HOUR)), outputStructType=ADMISSION, outputMode="Append", timeMode="EventTime")
 
-def stream_offers(stream: DataFrame, *, key: str = "slug", ts: str = "ts", horizon: str = "1 day") -> DataFrame:
-    """Cards as they arrive, repeats of a key within the horizon dropped."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
+
+def stream_offers(stream: DataFrame, *, key: str = "slug", ts: str = "ts", order: list[str] | None = None, horizon: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The first card of each key in each `horizon` of time: the one with the smallest `order` columns (by default its
+    time), whichever arrived first. A period is emitted once the watermark, `late` behind the newest card, passes it."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    first = F.min_by(F.struct(*[c for c in stream.columns if c != key]), F.struct(*(order or [ts])))
+    return timed.groupBy(F.window(ts, horizon), key).agg(first.alias("first")).select(key, "first.*")
 
 
 def stream_page_stats(
@@ -76,16 +109,23 @@ def stream_page_stats(
 def read_stream(spark: SparkSession, folder: str, table: str, *, files_per_batch: int = 64) -> DataFrame:
     """A Parquet table as a stream of files, a bounded number per micro-batch."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    # as a pattern, the path may be one file or a folder of them
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{table}.parque[t]")
 
 
 def run_available(stream: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """Run a stream over all data there is, into a written table, and read that back."""
     spark = stream.sparkSession
     folder = work_folder(spark)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKSDB)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start(f"{folder}/table"))
+    if before is None:
+        spark.conf.unset(setting)
+    else:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return spark.read.schema(schema or stream.schema).parquet(f"{folder}/table")
