@@ -128,3 +128,17 @@ def test_backoff_and_network_errors(spark):
     df = spark.createDataFrame(rows, "request_id string, attempt int, status int, retry_after double, s double").withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("bigint")))
     got = {r.request_id: tuple(r)[1:] for r in C.attempt_outcomes(df).collect()}
     assert got == {"f": (3, 200, "ok", 1), "g": (2, None, "error", 1), "h": (1, 500, "error", 0), "i": (2, 200, "ok", 1)}
+
+
+def test_hourly_budget_with_ties_and_a_busy_hour(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", None]), rng.randrange(9000) * 500_000) for _ in range(800)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, key string, us bigint").withColumn("ts", F.timestamp_micros("us"))
+    got = {r.i: r for r in C.hourly_budget(df, max_per_hour=100).collect()}
+    assert len(got) == len(rows)
+    for i, (key, us) in enumerate(rows):
+        inside = [t for k, t in rows if k == key and us - 3_600_000_000 < t <= us]
+        assert got[i].demand == len(inside)
+        assert got[i].next_slot_min == (-(-(min(inside) + 3_600_000_000 - us) // 60_000_000) if len(inside) > 100 else None)

@@ -2,6 +2,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vacantia.operators import jsonld as J
 
@@ -68,3 +69,15 @@ def test_objects_in_page_order(spark):
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     rows = J.jsonld_objects(df).selectExpr("pos", "variant_get(ld, '$.n', 'int') n").orderBy("pos").collect()
     assert [(r.pos, r.n) for r in rows] == [(i, i + 1) for i in range(6)]
+
+
+def test_any_depth(spark):
+    def nested(n, kind):
+        body = '{"@type":"JobPosting","title":"deep"}'
+        for i in range(n):
+            body = f'{{"@type":"W{i}","@graph":[{body}]}}' if kind == "graph" else f"[1,{body}]"
+        return f'<script type="application/ld+json">{body}</script>'
+
+    pages = spark.createDataFrame([(k, n, nested(n, k)) for k in ("graph", "list") for n in (0, 1, 2, 3, 4, 9, 40)], "kind string, n int, html string")
+    got = {(r.kind, r.n): r.c for r in J.jsonld_objects(pages).groupBy("kind", "n").agg(F.count("*").alias("c")).collect()}
+    assert got == {(k, n): (n + 1 if k == "graph" else 1) for k in ("graph", "list") for n in (0, 1, 2, 3, 4, 9, 40)}

@@ -79,3 +79,13 @@ def test_strip_control_chars(spark):
     df = spark.sql("select 'a\\u0007b\\tc' s, array('x\\u009by', null) a, named_struct('t', 'p\\u007f', 'n', 1) st, 5 n")
     row = text.strip_control_chars(df).first()
     assert (row.s, row.a, row.st.t, row.st.n, row.n) == ("ab\tc", ["xy", None], "p", 1, 5)
+
+
+def test_fold_beyond_the_first_planes(evaluate):
+    import unicodedata
+
+    from vacantia.functions.folding import fold
+
+    words = ["한국어 각 가 힣", "\U0002F800\U0002FA1D", "ｶﾞﾞ", "Ünïcödé ﬁ", "가b각"]
+    plain = [" ".join("".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).casefold().split()) for w in words]
+    assert evaluate(fold, words) == plain

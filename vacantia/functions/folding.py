@@ -6,7 +6,8 @@ the driver from ``unicodedata`` and handed to ``translate``: one-to-one pairs fi
 to delete. The few hundred characters that expand to several letters (``ß``, ligatures, fractions)
 are rewritten first, and only in rows that hold one. Pure-ASCII rows take the ``lower`` branch.
 
-Left out: Hangul syllables stay composed, and a capital sigma at a word end becomes the plain one.
+Hangul syllables are taken apart by rule instead of by table. Left out: a capital sigma at a word end becomes the plain
+one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 
 #: Everything Python's ``str.split()`` treats as white space but the plain space, as a Java character class.
 NOT_PLAIN_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0[[^\x00-\xff]&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
-LAST_CODE_POINT = 0x1FFFF
+#: The last code point with a decomposition is below this one; Hangul syllables are decomposed by rule.
+LAST_CODE_POINT = 0x2FFFF
+HANGUL = (0xAC00, 0xD7A3)
+LEADS, VOWELS, TAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
 
 def let(value: Column, body) -> Column:
@@ -56,7 +60,7 @@ def fold_tables(casefold: bool) -> tuple[str, str, dict[str, str], str]:
     marks: list[str] = []
     expansions: dict[str, str] = {}
     for point in range(LAST_CODE_POINT + 1):
-        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
+        if 0xD800 <= point <= 0xDFFF or HANGUL[0] <= point <= HANGUL[1]:
             continue
         char = chr(point)
         plain = _decompose(char)
@@ -77,19 +81,26 @@ def is_ascii(text: Column) -> Column:
     return F.length(text) == F.octet_length(text)
 
 
+def _jamo(syllable: Column) -> Column:
+    """The two or three letters of a Hangul syllable."""
+    n = F.ascii(syllable) - HANGUL[0]
+    part = lambda letters, at: F.substring(F.lit(letters), at.cast("int"), F.lit(1))
+    return F.concat(part(LEADS, F.floor(n / 588) + 1), part(VOWELS, F.floor(n % 588 / 28) + 1), F.when(n % 28 > 0, part(TAILS, n % 28)).otherwise(""))
+
+
 def _folded(text: Column, casefold: bool) -> Column:
     source, target, expansions, _ = fold_tables(casefold)
     near = {c: plain for c, plain in expansions.items() if c <= "\xff"}
     far = {c: plain for c, plain in expansions.items() if c > "\xff"}
     # Looked at for characters beyond Latin-1 only, so that most text is passed over quickly.
-    points = _java_class(sorted(map(ord, far)))
+    points = _java_class([*sorted(map(ord, far)), *HANGUL]).replace(f"\\x{{{HANGUL[0]:x}}}\\x{{{HANGUL[1]:x}}}", f"\\x{{{HANGUL[0]:x}}}-\\x{{{HANGUL[1]:x}}}")
     rare = f"[[^\\x00-\\xff]&&{points}]"
     table = literal_map(far)
 
     def rewritten(t: Column) -> Column:
         pieces = F.regexp_extract_all(t, F.lit(f"(?s){rare}|[^{points[1:-1]}]+"), F.lit(0))
         return F.array_join(F.transform(pieces, lambda piece: F.when(
-            F.length(piece) == 1, F.coalesce(F.try_element_at(table, piece), piece)).otherwise(piece)), "")
+            F.length(piece) == 1, F.coalesce(F.try_element_at(table, piece), F.when(F.ascii(piece).between(*HANGUL), _jamo(piece)), piece)).otherwise(piece)), "")
 
     def folded(t: Column) -> Column:
         expanded = t

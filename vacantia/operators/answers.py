@@ -223,8 +223,8 @@ def _summary(text: Column) -> Column:
     most_letters = max(sum(c.isalpha() for c in h) for h in headings)
 
     def is_heading(line: Column) -> Column:
-        # Folding never loses letters, so a line with more of them than any heading need not be folded.
-        short = F.when(F.length(line) <= 60, True).otherwise(F.length(F.regexp_replace(line, r"\P{L}+", "")) <= most_letters)
+        # Folding keeps every ASCII letter, so a line with more of them than any heading need not be folded.
+        short = F.length(F.regexp_replace(line, "[^A-Za-z]+", "")) <= most_letters
         bare = F.btrim(F.regexp_replace(normalize(line), ":+$", ""))
         return line.rlike(LABEL_VALUE) | F.when(short, bare.isin(*headings)).otherwise(False)
 

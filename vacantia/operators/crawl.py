@@ -174,14 +174,14 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
 
 
-def _in_hours(log: DataFrame, us: str, reach: Column) -> DataFrame:
-    """Rows with their hour `_hour`; those within `reach` of the hour's end once more in the next hour as
-    context (`_own` false). A busy key is thereby split by the hour instead of filling one task."""
-    hour = F.floor(F.col(us) / HOUR_US)
-    near_end = (hour + 1) * HOUR_US - F.col(us) <= reach
+def _in_blocks(log: DataFrame, us: str, reach: int, width: int) -> DataFrame:
+    """Rows with their block of time `_block`; those within `reach` of the block's end once more in the next one as
+    context (`_own` false). A busy key is thereby split by time instead of filling one task."""
+    block = F.floor(F.col(us) / width)
+    near_end = (block + 1) * width - F.col(us) <= reach
     places = F.array_compact(F.array(
-        F.struct(hour.alias("_hour"), F.lit(True).alias("_own")),
-        F.when(near_end, F.struct((hour + 1).alias("_hour"), F.lit(False).alias("_own"))),
+        F.struct(block.alias("_block"), F.lit(True).alias("_own")),
+        F.when(near_end, F.struct((block + 1).alias("_block"), F.lit(False).alias("_own"))),
     ))
     return log.select("*", F.inline(places))
 
@@ -190,29 +190,42 @@ def hourly_budget(log: DataFrame, *, key: str = "key", ts: str = "ts", max_per_h
     """Per request: demand in the trailing hour (itself included), whether that is over budget, and the
     minutes until the oldest request of the hour leaves the window.
 
+    Demand is a running total of arrivals and departures an hour later, so the work is linear in the requests, and no
+    task needs a whole key or a whole hour of one. The oldest request still in the window is the one whose rank is the
+    request's own less the demand. Requests without a time have no demand.
+
     This counts demand; which requests an exact limiter admits depends on earlier refusals and is the
     stateful `stream_budget`.
     """
     cap = min(max_per_hour, MAX_PER_HOUR)
-    rows = _in_hours(log.withColumn("_us", micros(F.col(ts))), "_us", F.lit(HOUR_US))
-    trailing = Window.partitionBy(key, "_hour").orderBy("_us").rangeBetween(-(HOUR_US - 1), 0)
+    rows = log.withColumn("_us", micros(F.col(ts))).withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("\0")))
+    times = rows.where("_us is not null").groupBy("_key", "_us").agg(F.count("*").alias("_n"))
+    width = 1 << 21  # two seconds a block
+    ranked = running_total(times, "_us", "_n", "_rank", by=["_key"], width=width)
+    changes = times.union(times.select("_key", F.col("_us") + HOUR_US, -F.col("_n"))).groupBy("_key", "_us").agg(F.sum("_n").alias("_d"))
+    demand = running_total(changes, "_us", "_d", "demand", by=["_key"], width=width).select("_key", "_us", "demand")
+    oldest = ranked.select("_key", (F.col("_rank") - F.col("_n")).alias("_start"), F.col("_us").alias("_oldest"))
+    known = ranked.join(demand, ["_key", "_us"]).withColumn("_start", F.col("_rank") - F.col("demand")).join(oldest, ["_key", "_start"]).select("_key", "_us", "demand", "_oldest")
     return (
-        rows.withColumn("demand", F.count("*").over(trailing)).withColumn("_oldest", F.min("_us").over(trailing))
-        .where("_own").withColumn("over_budget", F.col("demand") > cap)
+        rows.join(known, ["_key", "_us"], "left").withColumn("over_budget", F.col("demand") > cap)
         .withColumn("next_slot_min", F.when(
             F.col("over_budget"), F.ceil((F.col("_oldest") + HOUR_US - F.col("_us")) / 60_000_000)))
-        .drop("_us", "_hour", "_own", "_oldest")
+        .select(*log.columns, "demand", "over_budget", "next_slot_min")
     )
 
 
 def spacing_violations(log: DataFrame, *, key: str = "key", ts: str = "ts", min_gap_s: float = 1.5) -> DataFrame:
-    """Requests sent less than `min_gap_s` after the previous one of the same key, with the gap."""
+    """Requests sent less than `min_gap_s` after the previous one of the same key, with the gap.
+
+    Only the gap before a request matters, so a key is cut into blocks of a few gaps, each with the last gap of the
+    block before as context.
+    """
     gap = int(min_gap_s * 1_000_000)
-    rows = _in_hours(log.withColumn("_us", micros(F.col(ts))), "_us", F.lit(gap))
-    previous = F.lag("_us").over(Window.partitionBy(key, "_hour").orderBy("_us", F.col("_own")))
+    rows = _in_blocks(log.withColumn("_us", micros(F.col(ts))), "_us", gap, max(4 * gap, 10_000_000))
+    previous = F.lag("_us").over(Window.partitionBy(key, "_block").orderBy("_us", F.col("_own")))
     return (
         rows.withColumn("gap_us", F.col("_us") - previous).where(F.col("_own") & (F.col("gap_us") < gap))
-        .drop("_us", "_hour", "_own")
+        .drop("_us", "_block", "_own")
     )
 
 

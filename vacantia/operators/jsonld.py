@@ -52,6 +52,24 @@ def _flat(v: Column, depth: int) -> Column:
     return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")), typed)
 
 
+def _walked(v: Column, most: Column) -> Column:
+    """The same objects of a value nested to any depth: a list of values still to be looked at, the first of which is
+    replaced by what it holds. Each step is paid for by a character of the block, of which there are `most`."""
+    none = F.array().cast("array<variant>")
+    start = F.struct(F.array(v).alias("todo"), none.alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def open_up(head: Column) -> Column:
+            rest = F.slice(acc["todo"], F.lit(2), F.greatest(F.lit(0), F.size(acc["todo"]) - 1))
+            graph = F.coalesce(F.try_variant_get(head, '$["@graph"]', "array<variant>"), none)
+            items = F.when(is_object(head), graph).when(is_list(head), _get(head, "$", "array<variant>")).otherwise(none)
+            return F.struct(F.concat(items, rest).alias("todo"), F.when(is_object(head), F.array_append(acc["done"], head)).otherwise(acc["done"]).alias("done"))
+
+        return F.when(F.size(acc["todo"]) == 0, acc).otherwise(let(acc["todo"][0], open_up))
+
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)["done"]
+
+
 def parse_block(body: Column) -> Column:
     """One block as a variant, NULL when malformed. Raw control characters, which may sit inside strings,
     become spaces only when the block does not parse without that; anything after the value is an error."""
@@ -72,8 +90,14 @@ def jsonld_objects(pages: DataFrame, *, html: str = "html") -> DataFrame:
 def page_objects(html: Column) -> Column:
     """All JSON-LD objects of one page as an array, for jobs that stay one row per page."""
     blocks = F.regexp_extract_all(html, F.lit(LD_BLOCK), F.lit(1))
-    parsed = F.filter(F.transform(blocks, lambda b: parse_block(F.btrim(b))), lambda v: v.isNotNull())
-    return F.flatten(F.transform(parsed, lambda v: _flat(v, NESTING)))
+
+    def objects(block: Column) -> Column:
+        # without a list in a list, and with one @graph at most, nothing is nested deeper than NESTING
+        graphs = F.size(F.split(block, '"@graph"')) > 2
+        deep = graphs | block.rlike(r"[\[,]\s*\[") | block.rlike(r"\\u0040graph|@\\u")
+        return let(parse_block(F.btrim(block)), lambda v: F.when(v.isNull(), F.array().cast("array<variant>")).when(deep, _walked(v, F.length(block))).otherwise(_flat(v, NESTING)))
+
+    return F.flatten(F.transform(blocks, objects))
 
 
 def all_of_type(objects: Column, kind: str) -> Column:

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia.functions.urls import is_strict_slug
+from vacantia.operators.html import Sel, element_table
+from vacantia.operators.jsonld import all_of_type, page_objects
 from vacantia.schemas import ENUMS
 
-# ---- fixed values: anchors every kind of page must show ------------------------------------------
+_OFFERS = Sel(tag="turbo-frame", id="job_offers_results")
+_COMPANIES = Sel(tag="turbo-frame", id="companies_marketplace_results")
+# ---- fixed values: anchors every kind of page must show; one of the elements, or (None) a JSON-LD JobPosting -----
 ANCHORS = {
-    "search": (("turbo-frame#job_offers_results", r"(?i)<turbo-frame\b[^>]*\bid=[\"']?job_offers_results\b"),
-               (".job-offers-results-count b", r"(?is)class=[\"'][^\"']*\bjob-offers-results-count\b[^>]*>.{0,2000}?<b\b")),
-    "companies": (("turbo-frame#companies_marketplace_results", r"(?i)<turbo-frame\b[^>]*\bid=[\"']?companies_marketplace_results\b"),
-                  ("b.text-primary", r"(?i)<b\b[^>]*class=[\"'][^\"']*\btext-primary\b")),
-    "company": (("h1", r"(?i)<h1\b"), ("turbo-frame#company_job_offers_results", r"(?i)<turbo-frame\b[^>]*\bid=[\"']?company_job_offers_results\b")),
-    "job": (("JSON-LD JobPosting or .job-offer-show-title h1", r"(?is)application/ld\+json[^>]*>.*?JobPosting|class=[\"'][^\"']*\bjob-offer-show-title\b"),),
+    "search": (("turbo-frame#job_offers_results", (_OFFERS,)), (".job-offers-results-count b", (Sel(tag="b", under=Sel(cls="job-offers-results-count", under=_OFFERS)),))),
+    "companies": (("turbo-frame#companies_marketplace_results", (_COMPANIES,)), ("b.text-primary", (Sel(tag="b", cls="text-primary", under=_COMPANIES),))),
+    "company": (("h1", (Sel(tag="h1"),)), ("turbo-frame#company_job_offers_results", (Sel(tag="turbo-frame", id="company_job_offers_results"),))),
+    "job": (("JSON-LD JobPosting or .job-offer-show-title h1", (None, Sel(tag="h1", under=Sel(cls="job-offer-show-title")), Sel(tag="h1", cls="job-offer-show-title"))),),
 }
 
 
@@ -55,9 +59,18 @@ def anchor_report(pages: DataFrame, *, kind: str = "kind", html: str = "html", a
     ``blocked`` instead of ``site_changed`` on challenge pages. Pages with all anchors are ``ok``."""
     from vacantia.operators.extract import _challenge
 
-    missing = F.array_compact(F.array(*[
-        F.when((F.col(kind) == k) & ~F.col(html).rlike(pattern), name) for k, rules in anchors.items() for name, pattern in rules]))
+    places = [(k, name, [(f"{k}.{i}.{j}", sel) for j, sel in enumerate(found)]) for k, rules in anchors.items() for i, (name, found) in enumerate(rules)]
+    keep = [replace(sel, role=role) for _, _, found in places for role, sel in found if sel is not None]
     blocked = challenged if challenged is not None else _challenge(F.col(html))
-    judged = pages.select(F.col(kind).alias("kind"), F.try_element_at(missing, F.lit(1)).alias("anchor"), blocked.alias("_blocked"))
+    posting = F.contains(html, F.lit("ld+json")) & (F.size(all_of_type(page_objects(F.col(html)), "JobPosting")) > 0)
+    facts = pages.select(F.col(kind).alias("kind"), F.col(html).alias("html"), F.coalesce(blocked, F.lit(False)).alias("_blocked"), F.coalesce(posting, F.lit(False)).alias("_posting"))
+    table = element_table(facts, keep, carry=["kind", "_blocked", "_posting"]).withColumn("_roles", F.transform("hits", lambda h: h["role"]))
+
+    def shown(found: list) -> Column:
+        tests = [F.col("_posting") if sel is None else F.array_contains("_roles", role) for role, sel in found]
+        return reduce(lambda x, y: x | y, tests)
+
+    missing = F.array_compact(F.array(*[F.when((F.col("kind") == k) & ~shown(found), name) for k, name, found in places]))
+    judged = table.select("kind", F.try_element_at(missing, F.lit(1)).alias("anchor"), "_blocked")
     verdict = F.when(F.col("anchor").isNull(), "ok").when(F.col("_blocked"), "blocked").otherwise("site_changed")
     return judged.groupBy("kind", "anchor", verdict.alias("verdict")).agg(F.count("*").alias("pages"))

@@ -16,6 +16,9 @@ FORMULA_START = r"^[=+\-@\t\r]"
 SUFFIXES = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}
 BOM = "﻿"
 
+#: Results of one call at most.
+MAX_ITEMS = 150
+
 
 def offer_columns(df: DataFrame) -> DataFrame:
     """The 18 offer columns in their order, absent ones NULL, dates as ISO text."""
@@ -80,6 +83,11 @@ def write_list_csv(df: DataFrame, kind: str, path: str, *, mode: str = "errorife
     _write_csv(strip_control_chars(flatten_for_csv(df, kind)), path, mode)
 
 
+def row_type(items: DataFrame, order) -> str:
+    """The type of one item without its ordering columns."""
+    return items.select(*[c for c in items.columns if c not in order]).schema.simpleString()
+
+
 def to_envelope(
     kind: str, items: DataFrame | None = None, meta: DataFrame | None = None, *, order: Sequence[str] = (), warnings: Column | None = None,
     lists: dict[str, Column] | None = None,
@@ -87,7 +95,7 @@ def to_envelope(
     """One row ``(document)``: ``{"schema_version", "kind", "data", "warnings"}`` with every key present.
 
     `items` (at most the 150 results of a call) become the kind's list field; `meta` is its one row of
-    list metadata, whose `notes` join `warnings`. An empty first page gets the hint of its kind.
+    list metadata, whose `notes` join `warnings`; more items are an error. An empty first page gets the hint of its kind.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
@@ -99,7 +107,10 @@ def to_envelope(
         row = F.struct(*[F.col(c) for c in items.columns if c not in order])
         sort = F.struct(*order) if order else F.lit(0)
         name = fields[0] if fields else "results"
-        bundled = items.agg(F.transform(F.array_sort(F.collect_list(F.struct(sort.alias("o"), row.alias("r")))), lambda s: s["r"]))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(sort.alias("o"), row.alias("r")))), lambda s: s["r"])
+        too_many = F.raise_error(F.lit(f"an envelope holds at most {MAX_ITEMS} items")).cast(f"array<{row_type(items, order)}>")
+        # one row over the bound is enough to know, so no more are ever gathered
+        bundled = items.limit(MAX_ITEMS + 1).agg(F.when(F.count("*") > MAX_ITEMS, too_many).otherwise(listed))
         frame = frame.withColumn(name, bundled.scalar())
         data.append(F.col(name))
     data += [c.alias(n) for n, c in (lists or {}).items()]
