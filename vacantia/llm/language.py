@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +31,22 @@ def training_sample(labelled: DataFrame, lang: str = "lang", id_col: str = "doc_
     """For each language a text of at most `CHARACTERS`, from at most `ROWS` rows: whole texts in hash order, as long as
     they fit. A bounded model input: the choice looks at ids and sizes first, then reads the chosen texts only."""
     key = F.xxhash64(F.lit("language"), id_col, text_col)
-    ranked = labelled.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang).alias("lang"), key.alias("k"), F.length(text_col).alias("n")).where(F.col("n").between(40, CHARACTERS // 3))
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("r") <= ROWS).collect()
-    room: dict[str, int] = {}
+    fits = labelled.where(F.col(lang).isNotNull() & F.length(text_col).between(40, CHARACTERS // 3)).select(F.col(lang).alias("lang"), key.alias("k"), F.length(text_col).alias("n"))
+    sizes = {r["lang"]: r["count"] for r in fits.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages don't fit the model")
+    # hashes are even, so a share of them gives each language about twice the rows wanted, whatever its size
+    share = F.lit(0.0)
+    for name, n in sizes.items():
+        share = F.when(F.col("lang") == name, min(1.0, 2 * ROWS / n)).otherwise(share)
+    drawn = fits.where(F.col("k").cast("double") / 2.0**64 + 0.5 <= share).collect()
+    room, taken = {name: CHARACTERS for name in sizes}, dict.fromkeys(sizes, 0)
     chosen = []
-    for row in sorted(first, key=lambda r: (r["lang"], r["r"])):
-        room.setdefault(row["lang"], CHARACTERS)
-        if row["n"] + 1 <= room[row["lang"]]:
+    for row in sorted(drawn, key=lambda r: (r["lang"], r["k"])):
+        if taken[row["lang"]] < ROWS and row["n"] + 1 <= room[row["lang"]]:
             room[row["lang"]] -= row["n"] + 1
+            taken[row["lang"]] += 1
             chosen.append(row["k"])
-    if len(room) > LANGUAGES:
-        raise ValueError(f"{len(room)} languages; at most {LANGUAGES} fit the model")
     if not chosen:
         return {}
     # bounded by ROWS for each language, so small enough to be sent to all executors

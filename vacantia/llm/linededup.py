@@ -73,7 +73,8 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.transform(F.filter(hashed, lambda c: c.t.rlike(_WORD)), lambda c: F.struct(c["first"].alias("first"), c.n.alias("n"), F.xxhash64(c.t).alias("h")))
 
     found = written(keyed.select("_row", F.explode(let(lines, listed)).alias("c")).select("_row", "c.*"), "chunks")
-    repeated = found.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    # written, so that the join below may split a chunk that very many rows share
+    repeated = written(found.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "repeated")
     marked = found.join(repeated, "h", "left_semi").distinct().groupBy("_row").agg(F.collect_list(F.struct("first", "n", "h")).alias("repeated"))
     # the one time the texts cross the network; rows without a repeated chunk are finished here
     joined = written(keyed.join(marked, "_row", "left"), "marked")

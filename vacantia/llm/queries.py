@@ -37,10 +37,34 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        "spans",
     )
 
 
+_NORMAL = r"trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+CHECKS["op8_decontaminate"] = f"""
+WITH items AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, string_split({_NORMAL}, ' ') AS w FROM benchmark WHERE {_NORMAL} <> ''
+), windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM items)
+), texts AS (
+  SELECT doc_id, CASE WHEN {_NORMAL} = '' THEN [] ELSE string_split({_NORMAL}, ' ') END AS w FROM documents
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts), sizes WHERE i + n - 1 <= len(w)
+), found AS (
+  SELECT doc_id, item, g.n, i FROM grams g JOIN windows v ON v.n = g.n AND v.t = g.t
+), hits AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 @query
 def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes covered by 400-byte strings that start more than once."""
