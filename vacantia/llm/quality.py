@@ -2,8 +2,9 @@
 
 Every text gets the counts below. A rule rejects a text if a ratio of counts is over a cutoff. For each stratum and
 ratio, cutoffs of a fixed grid are tried on the labelled good rows of that stratum: a cutoff is certified if the exact
-one-sided binomial (Clopper-Pearson) upper bound of its false rejection rate is at most `risk`, at a level divided by
-the number of all tests (Bonferroni). The sharpest certified cutoff is used; without one, the ratio rejects nothing.
+one-sided binomial (Clopper-Pearson) upper bound of its false rejection rate is at most the ratio's even share of
+`risk`, at a level divided by the number of all tests (Bonferroni). The sharpest certified cutoff is used; without one,
+the ratio rejects nothing. So all ratios together falsely reject at most `risk` of a stratum's good rows.
 """
 
 from __future__ import annotations
@@ -108,15 +109,15 @@ def log_tail(k: Column, n: Column, p: float) -> Column:
 def certify(holdout: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """``(stratum, ratio, cutoff)``: the sharpest certified cutoff of each ratio in each stratum.
 
-    `holdout` has the measured good rows. A stratum of null is one of its own. The chance that any cutoff of any stratum
-    rejects more than `risk` of its good rows is at most `delta`.
+    `holdout` has the measured good rows. A stratum of null is one of its own. The chance that the cutoffs of any stratum
+    together reject more than `risk` of its good rows is at most `delta`.
     """
     flags = [F.count_if(ratio(name) > cut).alias(f"{name}@{i}") for name, cuts in GRID.items() for i, cut in enumerate(cuts)]
     counted = written(holdout.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *flags), "holdout")
     tests = F.array(*[F.struct(F.lit(name).alias("ratio"), F.lit(cut).alias("cutoff"), F.col(f"{name}@{i}").alias("k")) for name, cuts in GRID.items() for i, cut in enumerate(cuts)])
     rows = counted.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
     n_tests = max(1, counted.count()) * sum(map(len, GRID.values()))
-    passed = rows.where(log_tail(F.col("k"), F.col("n"), risk) <= math.log(delta / n_tests))
+    passed = rows.where(log_tail(F.col("k"), F.col("n"), risk / len(RATIOS)) <= math.log(delta / n_tests))
     return passed.groupBy("stratum", "ratio").agg(F.min("cutoff").alias("cutoff"))
 
 

@@ -79,6 +79,38 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed").alias("failed"))
 
 
+def _quality_sql(risk: float = 0.02, delta: float = 0.05) -> str:
+    """The counts, the base rule and the certified cutoffs; the binomial tail by the log-gamma function."""
+    ratios = ", ".join(f"CASE WHEN {bottom} > 0 THEN {top} / {bottom}::DOUBLE ELSE 0.0 END AS r_{name}" for name, (top, bottom) in quality.RATIOS.items())
+    grid = ", ".join(f"('{name}', {cut}::DOUBLE)" for name, cuts in quality.GRID.items() for cut in cuts)
+    value = "CASE ratio " + " ".join(f"WHEN '{name}' THEN r_{name}" for name in quality.RATIOS) + " END"
+    n_cells, p = sum(map(len, quality.GRID.values())), risk / len(quality.RATIOS)
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, regexp_extract_all(x, '[^ 	-]+') AS l FROM t)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, l[i:i + 2]) AS n FROM w WHERE i + 2 <= len(l)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, lang, len(regexp_extract_all(x, '[^ 	-]+'))::BIGINT AS n_words, length(regexp_replace(x, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+    (length(x) - length(translate(x, '#*$%&|<>', '')))::BIGINT AS n_symbols, (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_capitals,
+    (length(x) - length(replace(x, '!', '')))::BIGINT AS n_exclamations, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^ 	-]')) AS ls FROM t) t LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratios} FROM m),
+good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+grid(ratio, cutoff) AS (VALUES {grid}),
+tried AS (SELECT lang, ratio, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM good, grid GROUP BY ALL),
+strata AS (SELECT greatest(1, count(DISTINCT coalesce(lang, chr(0)))) AS s FROM good),
+terms AS (SELECT *, unnest(range(0, k + 1)) AS j FROM tried),
+tails AS (SELECT lang, ratio, cutoff, n, k, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln(1 - {p!r}))) AS tail FROM terms GROUP BY ALL),
+cuts AS (SELECT lang, ratio, min(cutoff) AS cutoff FROM tails, strata WHERE tail <= {delta!r} / ({n_cells} * s) GROUP BY ALL),
+failing AS (SELECT doc_id, string_agg(ratio, ',' ORDER BY ratio) AS failed FROM f JOIN cuts ON f.lang IS NOT DISTINCT FROM cuts.lang WHERE {value} > cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM f LEFT JOIN failing USING (doc_id)
+"""
+
+
+CHECKS["op6_quality"] = _quality_sql()
+
+
 @query
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and signatures."""
