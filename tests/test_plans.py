@@ -35,3 +35,9 @@ def test_dedupe_shuffles_once_and_combines_first(spark):
     cards = spark.read.parquet(f"{FOLDER}/lineitem.parquet").selectExpr("l_orderkey slug", "l_linenumber page", "l_partkey pos")
     plan = C.dedupe_first(cards, "slug", ["page", "pos"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_min_by" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["x5_merge_posting", "x8_extract_search_page", "x10_extract_companies", "x11_extract_company_page"])
+def test_one_parse_a_page_and_no_page_comes_back(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -156,9 +156,14 @@ class Extracted:
     pages: DataFrame
 
 
+def _challenged(pages: DataFrame) -> DataFrame:
+    """`pages` with the challenge test done, so that no page has to come back from the element pass for it."""
+    return pages.withColumn("_challenged", F.coalesce(_challenge(F.col("html")), F.lit(False)))
+
+
 def _verdict(missing: Column) -> Column:
     """The missing anchor, or ``blocked`` when the page is a challenge instead."""
-    return F.when(missing.isNotNull() & _challenge(F.col("html")), "blocked").otherwise(missing)
+    return F.when(missing.isNotNull() & F.col("_challenged"), "blocked").otherwise(missing)
 
 
 def extract_search_page(
@@ -170,7 +175,7 @@ def extract_search_page(
         *CARDS.keep, *LISTING_KEEP, JOB_FRAME, Sel("area", tag="input", id="locations"),
         Sel("pill", tag="a", cls="similar-role-suggestion-pill", attr="data-role-name"),
     )
-    table = element_table(pages, keep, anchor=CARDS.card, carry=[*carry, "html"])
+    table = element_table(_challenged(pages), keep, anchor=CARDS.card, carry=[*carry, "_challenged"])
     hits = F.col("hits")
 
     def facts(scoped: Column) -> Column:
@@ -292,11 +297,11 @@ def extract_postings(
     gives location, labels, modality, vacancies, age and sections. Both halves come from the same row, so
     merging needs no join. `warning` marks pages without JSON-LD; `violation` those with neither a title
     nor a posting."""
-    table = element_table(pages, JOB_KEEP, carry=[*carry, "html"])
+    table = element_table(_challenged(pages).withColumn("_blocks", jsonld.page_blocks(F.col("html"))), JOB_KEEP, carry=[*carry, "_challenged", "_blocks"])
     hits = F.col("hits")
     header = let(first_of(hits, "block"), lambda block: F.coalesce(F.try_element_at(F.filter(
         of_role(hits, "card"), lambda c: (c["pre"] <= block["pre"]) & (c["end"] >= block["end"])), F.lit(-1)), block))
-    objects = jsonld.page_objects(F.col("html"))
+    objects = jsonld.block_objects(F.col("_blocks"))
     step = table.withColumns({"_objects": objects, "_header": header}).withColumns({
         "_ld": jsonld.of_type(F.col("_objects"), "JobPosting"), "_crumbs": jsonld.of_type(F.col("_objects"), "BreadcrumbList"),
         "_mine": within(hits, F.col("_header.pre"), F.col("_header.end")),
@@ -365,7 +370,7 @@ COMPANY_KEEP = (
 
 def extract_companies(pages: DataFrame, *, carry: Sequence[str] = ("page_id",), portal: Portal = DEFAULT) -> Extracted:
     """Directory pages -> company cards (loading skeletons are not links and never match)."""
-    table = element_table(pages, COMPANY_KEEP, anchor=COMPANY_CARD, carry=[*carry, "html"])
+    table = element_table(_challenged(pages), COMPANY_KEEP, anchor=COMPANY_CARD, carry=[*carry, "_challenged"])
     scoped = table.withColumns({"_frame": first_of(F.col("hits"), "company_frame").isNotNull(), "hits": inside(F.col("hits"), "company_frame")})
 
     def facts(hits: Column) -> Column:
@@ -396,22 +401,23 @@ def extract_companies(pages: DataFrame, *, carry: Sequence[str] = ("page_id",),
 def extract_company_page(
     pages: DataFrame, today: Column, *, carry: Sequence[str] = ("page_id", "page"), portal: Portal = DEFAULT,
 ) -> Extracted:
-    """Company pages -> its job cards (`rows`) and name, location, offer count, paging (`pages`)."""
+    """Company pages -> its job cards (`rows`) and name, location, offer count, paging, cards (`pages`)."""
     keep = (
         *CARDS.keep, *LISTING_KEEP, COMPANY_JOBS_FRAME, Sel("h1", tag="h1"), Sel("caption", tag="span", under=Sel(tag="div", cls="text-caption")),
         Sel("gray", tag="div", cls="text-gray"), Sel("offers", tag="h2", cls="subsection-header", under=Sel(id="section-job-offers")),
     )
-    table = element_table(pages, keep, anchor=CARDS.card, carry=[*carry, "html"])
+    table = element_table(_challenged(pages), keep, anchor=CARDS.card, carry=[*carry, "_challenged"])
     hits = F.col("hits")
     gray = F.filter(of_role(hits, "gray"), lambda g: F.array_contains(g["classes"], "text-caption"))
     location = let(gray, lambda areas: F.try_element_at(F.filter(
         of_role(hits, "caption"), lambda s: F.exists(areas, lambda g: (s["pre"] > g["pre"]) & (s["pre"] <= g["end"]))), F.lit(1)))
     missing = F.when(first_of(hits, "h1").isNull(), "h1").when(first_of(hits, "jobs_frame").isNull(), "turbo-frame#company_job_offers_results")
     judged = table.withColumns({"_nav": let(inside(hits, "jobs_frame"), pagination), "violation": _verdict(missing)})
+    slugged = let(inside(hits, "jobs_frame"), lambda scoped: F.filter(of_role(scoped, "card"), lambda h: F.array_contains(F.map_keys(h["attrs"]), CARDS.slug_attr)))
     report = judged.select(
         *carry, first_of(hits, "h1")["text"].alias("name"), some(location["text"]).alias("location"),
         offer_count(first_of(hits, "offers")["text"]).alias("active_offers"), F.col("_nav.has_next").alias("has_more"),
-        F.when(F.col("_nav.has_next"), F.col("page") + 1).alias("next_page"), "violation")
+        F.when(F.col("_nav.has_next"), F.col("page") + 1).alias("next_page"), F.size(slugged).alias("cards"), "violation")
     return Extracted(_card_frame(judged, "jobs_frame", carry, today, portal), report)
 
 

@@ -89,7 +89,16 @@ def jsonld_objects(pages: DataFrame, *, html: str = "html") -> DataFrame:
 
 def page_objects(html: Column) -> Column:
     """All JSON-LD objects of one page as an array, for jobs that stay one row per page."""
-    blocks = F.regexp_extract_all(html, F.lit(LD_BLOCK), F.lit(1))
+    return block_objects(page_blocks(html))
+
+
+def page_blocks(html: Column) -> Column:
+    """The texts of a page's JSON-LD blocks: all of the page that a job on its objects has to carry along."""
+    return F.regexp_extract_all(html, F.lit(LD_BLOCK), F.lit(1))
+
+
+def block_objects(blocks: Column) -> Column:
+    """The objects of :func:`page_blocks`."""
 
     def objects(block: Column) -> Column:
         # without a list in a list, and with one @graph at most, nothing is nested deeper than NESTING

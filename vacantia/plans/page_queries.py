@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from vacantia.operators import extract as ex
 from vacantia.operators import jsonld as jl
 from vacantia.operators import quality as qu
 from vacantia.operators.html import Sel, all_texts, attr, element_table, first_text, of_role
-from vacantia.plans.derived import COMPANIES, OFFERS, companies, day, detail_pages, listing_pages, spread, table
+from vacantia.plans.derived import COMPANIES, OFFERS, companies, day, detail_pages, listing_pages, pick, spread, table
 from vacantia.plans.registry import query
 
 PAGE_DAY = "2026-09-24"
@@ -172,8 +174,7 @@ def x11_extract_company_page(spark, folder):
         '</h1><div class="text-caption text-gray"><span>Lima</span></div><div id="section-job-offers"><h2 class="subsection-header">29 ofertas activas</h2></div>'))
     pages = listing_pages(spark, folder).withColumn("html", F.concat(head, F.replace("html", F.lit("job_offers_results"), F.lit("company_job_offers_results"))))
     out = ex.extract_company_page(pages, day(PAGE_DAY))
-    jobs = out.rows.groupBy("page_id").agg(F.count("*").alias("jobs"))
-    return out.pages.select("page_id", "name", "location", "active_offers", "has_more", "next_page").join(jobs, "page_id")
+    return out.pages.select("page_id", "name", "location", "active_offers", "has_more", "next_page", F.col("cards").cast("bigint").alias("jobs"))
 
 
 def private_pages(spark, folder) -> DataFrame:
@@ -236,8 +237,25 @@ def s6_read_json_api(spark, folder):
     return out.pages.join(out.rows, "page_id", "left").select((F.col("page_id") % 5).alias("kind"), "page_id", "name", "offer_count", "violation")
 
 
+#: For each further kind of page: a sound one, one without its first anchor, one with an anchor in the wrong place, a challenge.
+ANCHOR_PAGES = {
+    "companies": ['<turbo-frame id="companies_marketplace_results"><b class="text-primary">5</b></turbo-frame>', '<b class="text-primary">5</b>', '<turbo-frame id="companies_marketplace_results"></turbo-frame><b class="text-primary">5</b>', "<p>captcha</p>"],
+    "company": ['<h1>E</h1><turbo-frame id="company_job_offers_results"></turbo-frame>', '<turbo-frame id="company_job_offers_results"></turbo-frame>', '<h1>E</h1><div id="company_job_offers_results"></div>', "<h2>captcha</h2>"],
+    "job": ['<script type="application/ld+json">{"@graph":[{"@graph":[[[{"@type":"JobPosting"}]]]}]}</script>', "<h1>x</h1>", '<script type="application/ld+json">{"@type":"Thing","name":"JobPosting"}</script>', "<p>captcha</p>"],
+}
+ANCHOR_NAMES = {"companies": ["turbo-frame#companies_marketplace_results", "b.text-primary"], "company": ["h1", "turbo-frame#company_job_offers_results"], "job": ["JSON-LD JobPosting or .job-offer-show-title h1"] * 2}
+ANCHOR_ROWS = " UNION ALL ".join(
+    f"SELECT '{kind}', CASE page_id % 4 WHEN 0 THEN NULL WHEN 2 THEN '{second}' ELSE '{first}' END, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 3 THEN 'blocked' ELSE 'site_changed' END, count(*) FROM p GROUP BY ALL"
+    for kind, (first, second) in ANCHOR_NAMES.items())
+
+
 @query("q2_anchor_report", f"""
 WITH {OFFERS}, p AS (SELECT DISTINCT offer_id // 15 AS page_id FROM offers_v)
-SELECT 'search' AS kind, CASE WHEN page_id % 5 IN (1, 3) THEN 'turbo-frame#job_offers_results' END AS anchor, CASE page_id % 5 WHEN 1 THEN 'site_changed' WHEN 3 THEN 'blocked' ELSE 'ok' END AS verdict, count(*) AS pages FROM p GROUP BY 2, 3""")
+SELECT 'search' AS kind, CASE WHEN page_id % 5 IN (1, 3) THEN 'turbo-frame#job_offers_results' END AS anchor, CASE page_id % 5 WHEN 1 THEN 'site_changed' WHEN 3 THEN 'blocked' ELSE 'ok' END AS verdict, count(*) AS pages FROM p GROUP BY 2, 3
+UNION ALL {ANCHOR_ROWS}""")
 def q2_anchor_report(spark, folder):
-    return qu.anchor_report(bad_pages(listing_pages(spark, folder)).withColumn("kind", F.lit("search")))
+    """Pages of all four kinds, each with its faults."""
+    pages = listing_pages(spark, folder)
+    search = bad_pages(pages).select(F.lit("search").alias("kind"), "html")
+    others = [pages.select(F.lit(kind).alias("kind"), pick(F.col("page_id"), html).alias("html")) for kind, html in ANCHOR_PAGES.items()]
+    return qu.anchor_report(reduce(DataFrame.union, others, search))
