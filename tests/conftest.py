@@ -23,8 +23,6 @@ def evaluate(spark):
 
     def run(fn, values, schema="string"):
         df = spark.createDataFrame(list(enumerate(values)), f"i int, v {schema}").repartition(1)
-        return [row[1] for row in sorted(df.select("i", fn(F.col("v")).alias("o")).collect())] if False else [
-            row["o"] for row in df.select("i", fn(F.col("v")).alias("o")).orderBy("i").collect()
-        ]
+        return [row["o"] for row in df.select("i", fn(F.col("v")).alias("o")).orderBy("i").collect()]
 
     return run

@@ -124,3 +124,22 @@ def test_contract(spark):
     assert sorted(tuple(r) for r in Q.anchor_report(pages).na.fill("-").collect()) == [
         ("company", "-", "ok", 1), ("company", "turbo-frame#company_job_offers_results", "site_changed", 1),
         ("job", "JSON-LD JobPosting or .job-offer-show-title h1", "site_changed", 1), ("search", "turbo-frame#job_offers_results", "blocked", 1)]
+
+
+def test_work_folder_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from vacantia import session
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.work_folder(Cluster())
+    Context.master = "local[4]"
+    assert session.work_folder(Cluster()).startswith("/tmp/spark-")
