@@ -57,6 +57,22 @@ def test_csv_shapes(spark, tmp_path, encoding, sep):
     assert (got.slug, got.title, got.company) == ("a-1", "Año", "Ñu")
 
 
+def test_csv_files_of_different_shape(spark, tmp_path):
+    """Encoding, mark, delimiter and header belong to the file, not to the folder."""
+    (tmp_path / "a.csv").write_bytes("slug,title\na,\"Ñandú, x\"\n".encode())
+    (tmp_path / "b.csv").write_bytes("\r\nTitle;Slug;company\r\nÑu;b;\"dos\r\nlíneas\"\r\n\r\nsola\r\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes("title\tslug\nč\tc\n".encode("utf-16"))
+    (tmp_path / "d.csv").write_bytes("slug;title\nd;ñ\n".encode("utf-8-sig"))
+    (tmp_path / "e.csv").write_bytes(b"")
+    (tmp_path / "f.csv").write_bytes(b"slug,title\n")
+    rows = R.read_rows_csv(spark, str(tmp_path), ["slug", "title", "company", "absent"]).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([
+        ("a", "Ñandú, x", None, None), ("b", "Ñu", "dos\r\nlíneas", None), (None, "sola", None, None), ("c", "č", None, None), ("d", "ñ", None, None)], key=str)
+    assert sorted(R.read_rows_csv(spark, str(tmp_path)).columns) == ["company", "slug", "title"]
+    offers = R.read_offers_csv(spark, str(tmp_path))
+    assert offers.schema.simpleString() == OFFER.simpleString() and {r.slug: r.title for r in offers.collect()} == {"a": "Ñandú, x", "b": "Ñu", "": "sola", "c": "č", "d": "ñ"}
+
+
 def test_sniff():
     assert [R.sniff_delimiter(h) for h in ('a,b;c', 'a;b', '"a;b;c",d', 'a\tb', 'a', 'a;b;c,d')] == [",", ";", ",", "\t", ",", ";"]
 

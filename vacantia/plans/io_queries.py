@@ -77,9 +77,15 @@ def s1_skipped_lines(spark, folder):
 
 @query("s2_read_offers_csv", f"WITH {OFFERS} SELECT slug, {RECORD.format(q=chr(39) * 3 + chr(39) + ' || ')} FROM offers_v")
 def s2_read_offers_csv(spark, folder):
-    path = f"{work_folder(spark)}/offers.csv"
-    wr.write_csv(records(spark, folder), path)
-    return shown(rd.read_offers_csv(spark, path))
+    """Files of two shapes in one input: UTF-8 with a mark, and Windows-1252 with semicolons, columns turned round."""
+    base = work_folder(spark)
+    rows = records(spark, folder)
+    # The line separator U+2028 has no place in Windows-1252, so such rows go to the first folder.
+    wide = F.coalesce(F.contains("description", F.lit("\u2028")), F.lit(False)) | F.col("slug").endswith("0")
+    wr.write_csv(rows.where(wide), f"{base}/marked")
+    other = wr.formula_safe(wr.offer_columns(rows.where(~wide)))
+    other.select(*reversed(other.columns)).write.options(header=True, sep=";", encoding="ISO-8859-1", nullValue="", emptyValue="", quote='"', escape='"').csv(f"{base}/plain")
+    return shown(rd.read_offers_csv(spark, f"{base}/*"))
 
 
 @query("s3_read_offers_envelope", f"WITH {OFFERS} SELECT slug, title, salary_min FROM offers_v")

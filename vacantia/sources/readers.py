@@ -1,12 +1,15 @@
-"""Readers of listings and captured pages. File shape (encoding, delimiter) is read from the head of the
-input; the rows themselves are always read by Spark with an explicit schema."""
+"""Readers of listings and captured pages. Text lines are read by Spark with an explicit schema; the shape of a CSV
+(encoding, delimiter, header) is decided for every file on its own, in the task that reads the file."""
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +17,15 @@ from pyspark.sql import types as T
 from vacantia.functions.folding import normalize_space
 from vacantia.functions.urls import listed_slug
 from vacantia.operators.crawl import dedupe_first
-from vacantia.schemas import COMPANY_KEYS, OFFER, PAGE, REQUIRED_TEXT, SLUG_KEYS, TITLE_KEYS
+from vacantia.schemas import COMPANY_KEYS, FIELDS, OFFER, PAGE, REQUIRED_TEXT, SLUG_KEYS, TITLE_KEYS
 
 # ---- fixed values -------------------------------------------------------------------------------
 BYTE_ORDER_MARKS = (("FFFE0000", "UTF-32"), ("0000FEFF", "UTF-32"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16"), ("FEFF", "UTF-16"))
 DELIMITERS = (",", ";", "\t")
-#: Windows-1252 is read as ISO-8859-1, whose characters 0x80-0x9f stand for these.
-WINDOWS = "ISO-8859-1"
-C1_CHARS = "".join(map(chr, range(0x80, 0xA0)))
-WINDOWS_CHARS = "".join(bytes([b]).decode("cp1252", errors="replace") for b in range(0x80, 0xA0))
+CSV_FALLBACK = "cp1252"
+
+#: Rows of one batch of a CSV file.
+BATCH = 4096
 
 
 def _head(spark: SparkSession, path: str) -> str:
@@ -31,15 +34,10 @@ def _head(spark: SparkSession, path: str) -> str:
     return row["head"] if row else ""
 
 
-def detect_encoding(spark: SparkSession, path: str, fallback: str | None = None) -> str:
-    """By byte-order mark, else UTF-8, else `fallback` when some line is not valid UTF-8."""
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """By byte-order mark, else UTF-8. Files of text lines read together share one encoding."""
     head = _head(spark, path)
-    for mark, encoding in BYTE_ORDER_MARKS:
-        if head.startswith(mark):
-            return encoding
-    if fallback and not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
-        return fallback
-    return "UTF-8"
+    return next((encoding for mark, encoding in BYTE_ORDER_MARKS if head.startswith(mark)), "UTF-8")
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -47,15 +45,7 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     if encoding == "UTF-8":
         return spark.read.text(path).select(F.regexp_replace("value", "\\r$", "").alias("value"))
     reader = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").option("lineSep", "\n")
-    return _windows(reader.csv(path), encoding).select(F.regexp_replace("value", "^﻿|\\r$", "").alias("value"))
-
-
-def _windows(df: DataFrame, encoding: str) -> DataFrame:
-    """Text columns of an ISO-8859-1 read as Windows-1252; other encodings as they are."""
-    if encoding != WINDOWS:
-        return df
-    table = str.maketrans(C1_CHARS, WINDOWS_CHARS)
-    return df.select(*[F.translate(F.col(f"`{c}`"), C1_CHARS, WINDOWS_CHARS).alias(c.translate(table)) for c in df.columns])
+    return reader.csv(path).select(F.regexp_replace("value", "^﻿|\\r$", "").alias("value"))
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -84,22 +74,80 @@ def sniff_delimiter(header: str) -> str:
     return max(DELIMITERS, key=bare.count)
 
 
-def read_rows_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV as text columns with lower-case names: mark tolerated, delimiter sniffed, Windows-1252 fallback."""
-    encoding = detect_encoding(spark, path, fallback=WINDOWS)
-    first = _lines(spark, path, encoding).where(F.trim("value") != "").first()
-    delimiter = sniff_delimiter(first["value"]) if first else ","
-    df = spark.read.csv(path, sep=delimiter, header=True, multiLine=True, quote='"', escape='"', encoding=encoding, inferSchema=False)
-    df = _windows(df, encoding)
-    return df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
+def decode_listing(data: bytes) -> str:
+    """The text of one file: by its byte-order mark, else UTF-8, else Windows-1252."""
+    head = data[:4].hex().upper()
+    marked = next((encoding for mark, encoding in BYTE_ORDER_MARKS if head.startswith(mark)), None)
+    if marked:
+        return data.decode(marked, errors="replace").removeprefix("\ufeff")
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode(CSV_FALLBACK, errors="replace")
+
+
+def csv_rows(data: bytes) -> tuple[list[str], Iterator[list[str]]]:
+    """The lower-case column names of one CSV file, and its rows."""
+    text = decode_listing(data)
+    first = next((line for line in re.split(r"\r\n|\r|\n", text) if line.strip()), "")
+    csv.field_size_limit(1 << 31)
+    rows = (row for row in csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(first)) if row)
+    return [name.strip().lower() for name in next(rows, [])], rows
+
+
+def _csv_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """The column names of all files of an input, those of the most frequent header first."""
+    schema = T.StructType([T.StructField("names", T.ArrayType(T.StringType()))])
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([csv_rows(data.as_py())[0] for data in batch.column(0)], pa.list_(pa.string()))], names=["names"])
+
+    found = _csv_files(spark, path).mapInArrow(headers, schema).groupBy("names").agg(F.count("*").alias("n"))
+    ordered = found.orderBy(F.col("n").desc(), "names").collect()  # one row per distinct header
+    return list(dict.fromkeys(name for row in ordered for name in row["names"]))
+
+
+def read_rows_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The CSV files of an input as text columns with lower-case names.
+
+    Every file has its own encoding (byte-order mark, else UTF-8, else Windows-1252), delimiter and header, so files of
+    different shape may lie in one folder. `columns` are the names wanted: those a file lacks are NULL, others are
+    dropped, and nothing is read before the job runs. Without it the headers of all files are looked up first. Empty
+    cells are NULL. A file is read by one task and must be smaller than 2 GiB; the writers here stay far below that.
+    """
+    names = list(columns) if columns is not None else csv_columns(spark, path)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    types = pa.schema([(name, pa.string()) for name in names])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (cell.as_py() for batch in batches for cell in batch.column(0)):
+            header, rows = csv_rows(data)
+            place = {name: i for i, name in enumerate(header)}
+            at = [place.get(name) for name in names]
+            part: list[list[str | None]] = []
+            for row in rows:
+                part.append([row[i] or None if i is not None and i < len(row) else None for i in at])
+                if len(part) == BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], schema=types)
+                    part = []
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], schema=types)
+
+    if not names:
+        return spark.createDataFrame([], schema)
+    return _csv_files(spark, path).mapInArrow(parse, schema)
 
 
 def read_offers_csv(spark: SparkSession, path: str) -> DataFrame:
     """The 18-column offer CSV: '' is NULL, salaries are integers, unknown columns are dropped."""
-    rows = read_rows_csv(spark, path)
+    rows = read_rows_csv(spark, path, FIELDS)
     columns = [
-        F.lit(None).cast(f.dataType).alias(f.name) if f.name not in rows.columns
-        else F.when(F.btrim(f.name).rlike("^-?[0-9]+$"), F.btrim(f.name)).try_cast("bigint").alias(f.name) if isinstance(f.dataType, T.LongType)
+        F.when(F.btrim(f.name).rlike("^-?[0-9]+$"), F.btrim(f.name)).try_cast("bigint").alias(f.name) if isinstance(f.dataType, T.LongType)
         else (F.coalesce(F.col(f.name), F.lit("")) if f.name in REQUIRED_TEXT else F.nullif(F.col(f.name), F.lit(""))).alias(f.name)
         for f in OFFER.fields
     ]

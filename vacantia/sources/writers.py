@@ -16,6 +16,8 @@ FORMULA_START = r"^[=+\-@\t\r]"
 SUFFIXES = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}
 BOM = "﻿"
 
+#: Rows of one written file at most, so that any file can be read back by one task.
+FILE_ROWS = 500_000
 #: Results of one call at most.
 MAX_ITEMS = 150
 
@@ -29,7 +31,7 @@ def offer_columns(df: DataFrame) -> DataFrame:
 
 def write_jsonl(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """One object per line with every key present."""
-    offer_columns(df).write.mode(mode).option("ignoreNullFields", False).json(path)
+    offer_columns(df).write.mode(mode).option("ignoreNullFields", False).option("maxRecordsPerFile", FILE_ROWS).json(path)
 
 
 def formula_safe(df: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def formula_safe(df: DataFrame) -> DataFrame:
 
 def _write_csv(df: DataFrame, path: str, mode: str) -> None:
     marked = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-    (marked.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").option("quote", '"').option("escape", '"')
+    (marked.write.mode(mode).option("header", True).option("maxRecordsPerFile", FILE_ROWS).option("nullValue", "").option("emptyValue", "").option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
@@ -137,4 +139,4 @@ def error_envelope(code: Column, exit_code: Column, message: Column, hint: Colum
 
 
 def write_review_queue(records: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    records.write.mode(mode).option("ignoreNullFields", False).json(path)
+    records.write.mode(mode).option("ignoreNullFields", False).option("maxRecordsPerFile", FILE_ROWS).json(path)
