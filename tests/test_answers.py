@@ -111,3 +111,21 @@ def test_merge(spark):
     df = spark.sql("select map('titulo', 'A', 'comuna', '') u, map('titulo', 'B', 'comuna', 'C', 'idioma', 'D', 'otro', 'E') c")
     row = df.select(A.merge_profile(F.col("u"), F.col("c")).alias("m")).first().m
     assert row.profile == {"titulo": "A", "comuna": "C", "idioma": "D"} and row.seeded == ["comuna", "idioma"]
+
+
+def test_unique_labels_step_around_taken_names(spark):
+    import random
+
+    random.seed(3)
+    pool = ["x", "x (2)", "x (2) (2)", "x (3)", "", "(no label)", " (2)", "y", "y (02)"]
+    records = {1: ["x", "x", "x (2)"], 2: ["x (2)", "x", "x"], 3: [random.choice(pool) for _ in range(60)], 4: ["", "(no label)", ""], 5: ["y"] * 5}
+    rows = [(record, pos, label) for record, labels in records.items() for pos, label in enumerate(labels)]
+    got = {(r.record, r.pos): r.unique_label for r in A.unique_labels(spark.createDataFrame(rows, "record int, pos int, label string")).collect()}
+    for record, labels in records.items():
+        taken = []
+        for label in labels:
+            name, n = label or "(no label)", 2
+            while name in taken:
+                name, n = f"{label} ({n})", n + 1
+            taken.append(name)
+        assert [got[record, i] for i in range(len(labels))] == taken

@@ -142,3 +142,19 @@ def test_hourly_budget_with_ties_and_a_busy_hour(spark):
         inside = [t for k, t in rows if k == key and us - 3_600_000_000 < t <= us]
         assert got[i].demand == len(inside)
         assert got[i].next_slot_min == (-(-(min(inside) + 3_600_000_000 - us) // 60_000_000) if len(inside) > 100 else None)
+
+
+def test_robots_by_host(spark):
+    """Every host has its own file; the join gives what the one-host expression gives."""
+    texts = {
+        "a.example": ("User-agent: *\nDisallow: /p*q$\nDisallow: /x\nAllow: /x/y\n", 200), "b.example": ("User-agent: bot\nDisallow:\n", 200), "c.example": ("User-agent: *\nDisallow: /\n", 404),
+        "d.example": ("", 503), "e.example": (None, 200), "f.example": ("User-agent: *\nDisallow: /\nUser-agent: bot\nAllow: /ok\nDisallow: /\n", 200), "g.example": ("", 403)}
+    files = spark.createDataFrame([(h, s, t) for h, (t, s) in texts.items()] + [("h.example", None, None)], "host string, status int, body string")
+    paths = ["", "/", "/x", "/x/y", "/p1q", "/p1q?z", "/ok/1", "/x%2Fy"]
+    urls = spark.createDataFrame([(f"https://{h.upper()}{p}",) for h in (*texts, "h.example", "z.example") for p in paths], "url string")
+    got = {r.url: r.allowed for r in robots.robots_verdicts(urls, robots.robots_table(files, "bot/2.0")).collect()}
+    assert len(got) == 9 * len(paths) and all(got[f"https://Z.EXAMPLE{p}"] is None and got[f"https://H.EXAMPLE{p}"] is False for p in paths)
+    for host, (text, status) in texts.items():
+        each = [f"https://{host.upper()}{p}" for p in paths]
+        want = [r.o for r in spark.createDataFrame(list(enumerate(each)), "i int, u string").select("i", robots.robots_allowed(F.col("u"), text or "", "bot/2.0", status=status).alias("o")).orderBy("i").collect()]
+        assert [got[u] for u in each] == want, host

@@ -167,3 +167,24 @@ def test_json_bodies(spark):
     assert [(r.query, r.popularity) for r in X.read_json_api(hits, "suggestions").rows.collect()] == [("a", 3), ("b", None)]
     similar = spark.createDataFrame([(1, '{"items":["x"," ","y"],"resolved_name":"X"}', j)], "page_id int, body string, content_type string")
     assert [r.role for r in X.read_json_api(similar, "similar").rows.collect()] == ["x", "y"]
+
+
+def test_private_lists(spark):
+    cards = ('<body><header><a href="/job_offers/menu">m</a></header><div class="job-offer-card" data-scroll-restore-slug="a-1"><h2 class="job-offer-card__title">Uno</h2>'
+             '<p class="item-title">E</p></div><div class="job-offer-card" data-scroll-restore-slug="b-2"></div><a href="/job_offers/c-3">Tres</a></body>')
+    links = '<a href="/job_offers/c-3"><h3>Tres</h3> ver</a><a href="/job_offers/c-3">otra</a><a href="/job_offers/d-4"> </a><a href="/job_offers/e-5/save_later">x</a><a href="/job_offers/f-6">Seis</a>'
+    gone = '<header id="main-header"><a href="/users/sign_in">Entrar</a></header>' + cards
+    nav = '<nav class="pagination-nav"><a aria-label="Página 3">3</a><a aria-label="Página siguiente">s</a></nav>' + links
+    pages = df(spark, cards, links, gone, nav, "", None)
+    out = X.extract_private_list(pages, "saved_jobs", F.lit("2026-01-01").cast("date"))
+    rows = out.rows.orderBy("page_id", "pos").collect()
+    first = pages.orderBy("page_id").first().page_id
+    assert [(r.page_id - first, r.slug, r.title, r.company) for r in rows] == [
+        (0, "a-1", "Uno", "E"), (1, "c-3", "Tres", None), (1, "f-6", "Seis", None), (3, "c-3", "Tres", None), (3, "f-6", "Seis", None)]
+    facts = [(r.last_page, r.has_next, r.violation) for r in out.pages.orderBy("page_id").collect()]
+    assert facts == [(1, False, None), (1, False, None), (1, False, "AUTH_REQUIRED"), (3, True, None), (1, False, None), (1, False, None)]
+    assert {r.page_id - first for r in X.extract_private_list(pages, "applications").rows.collect()} == {0, 1, 3}
+    with pytest.raises(ValueError):
+        X.extract_private_list(pages, "inbox")
+    with pytest.raises(ValueError):
+        X.extract_private_list(pages, "saved_jobs")

@@ -85,6 +85,10 @@ def test_company_facts(evaluate):
     assert evaluate(N.offer_count, ["1.029 ofertas activas", "1 oferta activa", "Sin ofertas activas", "x"]) == [1029, 1, 0, None]
 
 
+def test_role_pills_are_composed(evaluate):
+    assert evaluate(N.role_pills, [["n\u0303andu\u0301 ", None], None], "array<string>")[0].pills == ["\u00f1and\u00fa", None]
+
+
 def test_role_pills(evaluate):
     rows = evaluate(N.role_pills, [[" analista "], ["a", ""], ["a,b"], ["x" * 51], ["y" * 50] * 11], "array<string>")
     assert [r.violation for r in rows] == [None, "empty role", "role holds a comma", "role too long", "roles too long together"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantia.functions.folding import fold, fold_literal, key, key_literal, let, literal_map, normalize_space
 from vacantia.functions.text import to_amount
@@ -213,8 +216,11 @@ def offer_count(text: Column) -> Column:
 
 
 def role_pills(roles: Column) -> Column:
-    """``struct(pills, violation)``: trimmed roles and the first rule they break, if any."""
-    pills = F.transform(roles, normalize_space_ends)
+    """``struct(pills, violation)``: composed (NFC), trimmed roles and the first rule they break, if any.
+
+    Spark has no composing function, so the role lists go through an Arrow-batched one.
+    """
+    pills = F.transform(_composed(roles), normalize_space_ends)
     broken = F.transform(pills, lambda p: F.when(p == "", "empty role").when(
         F.contains(p, F.lit(",")), "role holds a comma").when(F.length(p) > MAX_PILL_CHARS, "role too long"))
     too_big = F.when(F.octet_length(F.array_join(pills, ",")) > MAX_PILLS_BYTES, "roles too long together")
@@ -224,5 +230,10 @@ def role_pills(roles: Column) -> Column:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _composed(roles: pd.Series) -> pd.Series:
+    return roles.map(lambda each: None if each is None else [None if r is None else unicodedata.normalize("NFC", r) for r in each])
+
+
 def normalize_space_ends(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

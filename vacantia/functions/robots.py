@@ -1,5 +1,6 @@
-"""robots.txt as a Column: the rules are read once on the driver (a file of at most a few hundred
-lines) and become one expression over the URL, so a frontier of any size is checked without a join.
+"""robots.txt rules over URLs. For one host the rules are read once on the driver (a file of at most a few hundred
+lines) and become one expression, so a frontier of any size is checked without a join. For many hosts the captured
+files become a table with one row of rules per host, joined to the URLs by host.
 
 A URL is allowed only when two readings agree: longest match with wildcards (Allow wins ties), and
 the standard library's first-rule-in-file-order prefix match.
@@ -12,7 +13,8 @@ from functools import reduce
 from urllib.parse import unquote as unquote_text
 from urllib.robotparser import RobotFileParser
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.folding import let
@@ -62,35 +64,91 @@ def _longest_match(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return best.isNull() | (best % 2 == 1)
 
 
-def _first_match(target: Column, text: str, agent: str) -> Column:
+def prefixes_for(text: str, agent: str) -> list[tuple[bool, str]]:
+    """``(is allow, prefix)`` in file order, as the standard library reads the file; the prefix '' fits every path."""
     parser = RobotFileParser()
     parser.parse(text.splitlines())
     entry = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
-    votes = [
-        F.when(F.lit(True) if rule.path == "*" else target.startswith(unquote_text(rule.path)), F.lit(rule.allowance))
-        for rule in (entry.rulelines if entry else [])
-    ]
+    return [(rule.allowance, "" if rule.path == "*" else unquote_text(rule.path)) for rule in (entry.rulelines if entry else [])]
+
+
+def _first_match(target: Column, text: str, agent: str) -> Column:
+    votes = [F.when(target.startswith(prefix), F.lit(allow)) for allow, prefix in prefixes_for(text, agent)]
     return F.coalesce(*votes, F.lit(True))
 
 
+def _agent_token(agent: str) -> str:
+    return agent.split("/", 1)[0].strip()
+
+
+def _rule_path(url: Column) -> Column:
+    """The decoded path and query, which patterns are matched against."""
+    query, path = url_part(url, "query"), url_part(url, "path")
+    return F.concat(F.when(path == "", "/").otherwise(unquote(path)), F.when(query != "", F.concat(F.lit("?"), unquote(query))).otherwise(""))
+
+
+def _rule_target(url: Column) -> Column:
+    """What follows the host in the decoded URL, which prefixes are matched against."""
+    after_host = F.regexp_extract(unquote(url), r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?(.*)$", 1)
+    return F.when(after_host == "", "/").otherwise(after_host)
+
+
 def robots_allowed(url: Column, text: str, agent: str, *, status: int = 200) -> Column:
     """Whether `agent` may fetch `url`. 401/403 forbid all, other 4xx mean no rules, 5xx forbid all."""
-    token = agent.split("/", 1)[0].strip()
+    token = _agent_token(agent)
     if status in (401, 403) or status >= 500:
         return F.lit(False)
     if status >= 400:
         text = ""
-    query = url_part(url, "query")
-    path = url_part(url, "path")
-    full = F.concat(
-        F.when(path == "", "/").otherwise(unquote(path)), F.when(query != "", F.concat(F.lit("?"), unquote(query))).otherwise(""))
-    after_host = F.regexp_extract(unquote(url), r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?(.*)$", 1)
-    target = F.when(after_host == "", "/").otherwise(after_host)
-    return let(full, lambda p: _longest_match(p, rules_for(text, token))) & let(target, lambda t: _first_match(t, text, token))
+    longest = let(_rule_path(url), lambda p: _longest_match(p, rules_for(text, token)))
+    return longest & let(_rule_target(url), lambda t: _first_match(t, text, token))
+
+
+RULES = "host string, closed boolean, patterns array<struct<regex:string,vote:int>>, prefixes array<struct<prefix:string,allow:boolean>>"
+
+
+def robots_table(files: DataFrame, agent: str, *, host: str = "host", status: str = "status", body: str = "body") -> DataFrame:
+    """The rules for `agent` of every host from its captured robots file: one row per host (`files` has each host once).
+
+    ``patterns`` are regexes with their vote (twice the pattern's length, one more for Allow), ``prefixes`` the rules of
+    the second reading in file order. ``closed`` marks hosts whose file was refused or failed: 401, 403, 5xx or no
+    status; other 4xx mean no rules.
+    """
+    token = _agent_token(agent)
+
+    def read(batches):
+        for batch in batches:
+            hosts, codes, texts = (column.to_pylist() for column in batch.columns)
+            bodies = [(text or "") if code is not None and code < 400 else "" for code, text in zip(codes, texts, strict=True)]
+            rules = [[(allow, unquote_text(p)) for allow, p in rules_for(text, token)] for text in bodies]
+            patterns = [[{"regex": _pattern_regex(p), "vote": 2 * len(p) + allow} for allow, p in found if p] for found in rules]
+            prefixes = [[{"prefix": p, "allow": allow} for allow, p in prefixes_for(text, token)] for text in bodies]
+            closed = [code is None or code in (401, 403) or code >= 500 for code in codes]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(hosts, pa.string()), pa.array(closed, pa.bool_()),
+                pa.array(patterns, pa.list_(pa.struct([("regex", pa.string()), ("vote", pa.int32())]))),
+                pa.array(prefixes, pa.list_(pa.struct([("prefix", pa.string()), ("allow", pa.bool_())])))],
+                names=["host", "closed", "patterns", "prefixes"])
+
+    return files.select(F.lower(host).alias("host"), F.col(status).cast("int"), F.col(body).cast("string")).mapInArrow(read, RULES)
+
+
+def robots_verdicts(urls: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame:
+    """`urls` with ``allowed``, by the rules of each URL's own host; NULL where no file of the host was captured.
+
+    An equality join on the host with one row per host, so a URL stays one row however many rules its host has.
+    """
+    path, target = _rule_path(F.col(url)), _rule_target(F.col(url))
+    longest = let(path, lambda p: F.array_max(F.transform(F.filter("_r.patterns", lambda r: F.regexp_like(p, r["regex"])), lambda r: r["vote"])))
+    first = let(target, lambda t: F.try_element_at(F.filter("_r.prefixes", lambda r: F.startswith(t, r["prefix"])), F.lit(1)))
+    joined = urls.withColumn("_host", F.lower(url_part(F.col(url), "host"))).join(
+        rules.select(F.col("host").alias("_host"), F.struct("closed", "patterns", "prefixes").alias("_r")), "_host", "left")
+    agreed = F.coalesce(longest % 2 == 1, F.lit(True)) & F.coalesce(first["allow"], F.lit(True))
+    return joined.withColumn("allowed", F.when(F.col("_r").isNotNull(), ~F.col("_r.closed") & agreed)).drop("_host", "_r")
 
 
 def crawl_delay(text: str, agent: str) -> float | None:
     parser = RobotFileParser()
     parser.parse(text.splitlines())
-    delay = parser.crawl_delay(agent.split("/", 1)[0].strip())
+    delay = parser.crawl_delay(_agent_token(agent))
     return None if delay is None else float(delay)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from vacantia.operators.crawl import running_total
 
 # ---- fixed values: question rules, headings and texts the results must equal ---------------------
 PROFILE_KEYS = ("titulo", "experiencia", "comuna", "idioma", "edad", "licencia", "movilizacion")
+NO_LABEL = "(no label)"
 DEFAULT_GENERIC = "Puedo ampliar esta información en una entrevista."
 WORD = r"(?<![a-z0-9])"
 PAY_TOPIC = WORD + (
@@ -169,19 +171,42 @@ def unique_in_record(labels: Column) -> Column:
 
     def add(taken: Column, label: Column) -> Column:
         tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: F.when(n > 1, F.concat(label, F.lit(" ("), n.cast("string"), F.lit(")"))).when(
-            label == "", "(no label)").otherwise(label))
+            label == "", NO_LABEL).otherwise(label))
         return F.concat(taken, F.slice(F.array_except(tries, taken), 1, 1))
 
     return F.aggregate(labels, F.array().cast("array<string>"), add)
 
 
 def unique_labels(df: DataFrame, *, record: str = "record", label: str = "label", pos: str = "pos") -> DataFrame:
-    """Row form of :func:`unique_in_record` for records of any size: repeats are numbered in `pos` order by a
-    blocked running count. (A literal label ``x (2)`` next to two labels ``x`` is not looked at.)"""
-    numbered = running_total(df.withColumn("_one", F.lit(1)), pos, "_one", "_n", by=[record, label])
+    """Row form of :func:`unique_in_record` for records of any size, in `pos` order.
+
+    Only labels that differ by endings such as `` (2)`` can take each other's names. Where a record has one such label
+    only, its repeats are numbered by a blocked running count; the few mixed ones are walked through in order.
+    """
+    bare = F.regexp_replace(label, r"(?: \([0-9]+\))+$", "")
+    rows = df.withColumn("_root", F.when(bare == "", NO_LABEL).otherwise(bare))
+    mixed = rows.groupBy(record, "_root").agg((F.min(label) != F.max(label)).alias("_mixed"))
+    marked = rows.join(mixed, [record, "_root"]).withColumn("unique_label", F.lit(None).cast("string"))
+    numbered = running_total(marked.where(~F.col("_mixed")).withColumn("_one", F.lit(1)), pos, "_one", "_n", by=[record, label])
     name = F.when(F.col("_n") > 1, F.concat(F.col(label), F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).when(
-        F.col(label) == "", "(no label)").otherwise(F.col(label))
-    return numbered.withColumn("unique_label", name).drop("_one", "_n")
+        F.col(label) == "", NO_LABEL).otherwise(F.col(label))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, kind="stable")
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        names = []
+        for text in pdf[label]:
+            free = text or NO_LABEL
+            while free in taken:
+                following[text] = following.get(text, 1) + 1
+                free = f"{text} ({following[text]})"
+            taken.add(free)
+            names.append(free)
+        return pdf.assign(unique_label=names)
+
+    walked = marked.where("_mixed").groupBy(record, "_root").applyInPandas(walk, marked.schema)
+    return numbered.withColumn("unique_label", name).drop("_one", "_n").unionByName(walked).drop("_root", "_mixed").select(*df.columns, "unique_label")
 
 
 def review_queue(targets: DataFrame, prefilled: DataFrame, *, slug: str = "slug", pos: str = "pos") -> DataFrame:

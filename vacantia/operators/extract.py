@@ -479,7 +479,10 @@ BOX_KEEP = (
 def extract_applications(pages: DataFrame, *, carry: Sequence[str] = ("page_id",), portal: Portal = DEFAULT) -> DataFrame:
     """One row per offer link's box: title, company, applied text, status text as shown; pages without
     offer links fall back to ``.application-*`` boxes. Never deduplicated across pages."""
-    table = element_table(pages, BOX_KEEP, carry=carry)
+    return _application_rows(element_table(pages, BOX_KEEP, carry=carry), carry, portal)
+
+
+def _application_rows(table: DataFrame, carry: Sequence[str], portal: Portal) -> DataFrame:
     by_link = F.transform(_offer_links(F.col("hits"), portal), lambda s: F.struct(
         s["slug"].alias("slug"), s["hit"]["box"].alias("start"), s["hit"]["box_end"].alias("end"), s["hit"]["text"].alias("fallback")))
     by_class = F.transform(_class_boxes(F.col("hits"), "application"), lambda h: F.struct(
@@ -501,7 +504,10 @@ def extract_applications(pages: DataFrame, *, carry: Sequence[str] = ("page_id",
 
 def extract_cv_metadata(pages: DataFrame, *, carry: Sequence[str] = ("page_id",)) -> DataFrame:
     """CV names (file-name shaped leaf texts, one per box) with their updated text; else ``.cv-*`` headings."""
-    table = element_table(pages, BOX_KEEP, carry=carry)
+    return _cv_rows(element_table(pages, BOX_KEEP, carry=carry), carry)
+
+
+def _cv_rows(table: DataFrame, carry: Sequence[str]) -> DataFrame:
     hits = F.col("hits")
     files = F.filter(of_role(hits, "leaf"), lambda h: (F.length(h["text"]) <= 255) & h["text"].rlike(FILE_NAME) & ~h["chrome"])
     firsts = let(files, lambda named: let(F.transform(named, lambda h: h["box"]), lambda boxes: F.filter(named, lambda h, i: F.array_position(boxes, h["box"]) == i + 1)))
@@ -512,6 +518,60 @@ def extract_cv_metadata(pages: DataFrame, *, carry: Sequence[str] = ("page_id",)
     return rows.select(*carry, "pos", "_cv.name", _leaf_text(within(hits, F.col("_cv.start"), F.col("_cv.end")), UPDATED_TEXT).alias("updated_at_text"))
 
 
+SAVED_KEEP = (*CARDS.keep, *LINK_KEEP[1:])
+NAV_KEEP = LISTING_KEEP[3:]
+
+
+def _saved_rows(table: DataFrame, carry: Sequence[str], today: Column, portal: Portal) -> DataFrame:
+    """Search cards with a slug and a title, all fields; a page without any gives its offer links."""
+    hits = F.col("hits")
+    titled = F.transform(
+        F.filter(of_role(hits, "title"), lambda h: F.array_contains(h["classes"], "job-offer-card__title") & (h["text"] != "")), lambda h: h["anchor"])
+    sound = let(titled, lambda known: F.filter(of_role(hits, "card"), lambda h: F.coalesce(
+        is_strict_slug(attr(h, CARDS.slug_attr)), F.lit(False)) & F.array_contains(known, h["pre"])))
+
+    def entries(found: Column, is_card: bool, slug, hit) -> Column:
+        return F.transform(found, lambda e: F.struct(
+            F.lit(is_card).alias("card"), slug(e).alias("slug"), hit(e)["pre"].alias("start"), hit(e)["end"].alias("end"), hit(e)["text"].alias("text")))
+
+    cards = entries(sound, True, lambda h: attr(h, CARDS.slug_attr), lambda h: h)
+    links = entries(_offer_links(hits, portal), False, lambda s: s["slug"], lambda s: s["hit"])
+    chosen = table.withColumn("_cards", cards).withColumn("_entries", F.when(F.size("_cards") > 0, F.col("_cards")).otherwise(links))
+    rows = chosen.select(*carry, "hits", F.posexplode("_entries").alias("pos", "_e"))
+    mine = F.when(F.col("_e.card"), F.filter(hits, lambda h: h["anchor"] == F.col("_e.start"))).otherwise(F.slice(hits, 1, 0))
+    heading = first_of(within(hits, F.col("_e.start"), F.col("_e.end")), "heading")["text"]
+    link_title = F.when(~F.col("_e.card"), F.coalesce(some(heading), some(F.col("_e.text"))))
+    listed = rows.withColumn("_mine", mine).withColumn("_link_title", link_title)
+    fields = listed.select(*carry, "pos", "_link_title", *_strict_card(F.col("_mine"), F.col("_e.slug"), today, portal))
+    return fields.withColumn("title", F.coalesce("title", "_link_title")).drop("_link_title").where(F.col("title").isNotNull())
+
+
+PRIVATE_KEEP = {"saved_jobs": SAVED_KEEP, "applications": BOX_KEEP, "cvs": BOX_KEEP}
+
+
+def extract_private_list(
+    pages: DataFrame, kind: str, today: Column | None = None, *, carry: Sequence[str] = ("page_id",), portal: Portal = DEFAULT,
+) -> Extracted:
+    """Pages of a private list (``saved_jobs``, ``applications`` or ``cvs``) with their list facts.
+
+    `pages` has ``last_page`` and ``has_next`` of every page; `violation` is AUTH_REQUIRED where the site header asks to
+    sign in, so that an ended session never looks like an empty list. `today` dates the ages of saved cards.
+    """
+    if kind not in PRIVATE_KEEP:
+        raise ValueError(f"private lists are {', '.join(PRIVATE_KEEP)}")
+    if kind == "saved_jobs" and today is None:
+        raise ValueError("saved offers need the day of the capture")
+    marked = pages.withColumn("_anonymous", F.coalesce(is_anonymous(F.col("html")), F.lit(False)))
+    anchor = CARDS.card if kind == "saved_jobs" else None
+    table = element_table(marked, (*PRIVATE_KEEP[kind], *NAV_KEEP), anchor=anchor, carry=[*carry, "_anonymous"])
+    report = table.withColumn("_nav", pagination(F.col("hits"))).select(
+        *carry, "_nav.last_page", "_nav.has_next", F.when(F.col("_anonymous"), "AUTH_REQUIRED").alias("violation"))
+    sound = table.withColumn("hits", F.when(~F.col("_anonymous"), F.col("hits")))
+    if kind == "saved_jobs":
+        return Extracted(_saved_rows(sound, carry, today, portal), report)
+    return Extracted(_application_rows(sound, carry, portal) if kind == "applications" else _cv_rows(sound, carry), report)
+
+
 # ---- outcomes -----------------------------------------------------------------------------------
 def page_language(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([^\"'\s>]*)", 1)

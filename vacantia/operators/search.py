@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -152,13 +153,13 @@ def served_pages(
 ) -> DataFrame:
     """Pages `first_page` … of an ordered result, as a site serves them: ``page``, ``pos`` (0-based).
 
-    A top-k of ``(first_page + pages - 1) * per_page`` rows; the rest is never sorted or numbered.
+    A top-k that skips the pages before the first; only the rows of the pages served are numbered.
     """
-    top = found.orderBy(*_sort_keys(order)).limit((first_page + pages - 1) * per_page)
+    top = found.orderBy(*_sort_keys(order)).offset((first_page - 1) * per_page).limit(pages * per_page)
     number = F.row_number().over(Window.orderBy(*_sort_keys(order))) - 1
     return (
-        top.withColumn("_n", number).withColumn("page", F.floor(F.col("_n") / per_page).cast("int") + 1)
-        .withColumn("pos", (F.col("_n") % per_page).cast("int")).drop("_n").where(F.col("page") >= first_page)
+        top.withColumn("_n", number).withColumn("page", F.floor(F.col("_n") / per_page).cast("int") + first_page)
+        .withColumn("pos", (F.col("_n") % per_page).cast("int")).drop("_n")
     )
 
 
@@ -360,6 +361,80 @@ def resolve_area(texts: DataFrame, areas: DataFrame, *, text: str = "text") -> D
     return texts.withColumn("_prefix", fold(F.col(text))).join(index, "_prefix", "left").drop("_prefix")
 
 
+# ---- search by names and ids of places ------------------------------------------------------------
+def _area_label(area) -> str:
+    kind = f" [{area['area_type_label']}]" if area["area_type_label"] else ""
+    return f"{area['display_path']}{kind} ({area['id']})"
+
+
+def resolve_locations(areas: DataFrame, locations: Sequence[str], location_ids: Sequence[int] = ()) -> tuple[list, list, list[str]]:
+    """``(areas, alternatives, notes)`` of the places a search names, by name first and then by id, each area once.
+
+    A few rows for each place asked for come to the driver: they are parameters of the search, not data. A name or id
+    without an area raises LookupError.
+    """
+    if not locations and not location_ids:
+        return [], [], []
+    refs = areas.select(F.col("id").cast("bigint").alias("id"), "display_path", "area_type_label")
+    texts = areas.sparkSession.createDataFrame(list(enumerate(locations)), "ord int, text string")
+    found = resolve_area(texts, areas).select("ord", F.posexplode_outer(F.concat(F.array(F.col("area_id").cast("bigint")), F.coalesce(F.col("alternatives").cast("array<bigint>"), F.array().cast("array<bigint>")))).alias("n", "id"))
+    named = found.join(refs, "id", "left").orderBy("ord", "n").collect()
+    by_id = {row["id"]: row for row in refs.where(F.col("id").isin(*map(int, location_ids))).collect()} if location_ids else {}
+    chosen, alternatives, notes = {}, [], []
+    for i, text in enumerate(locations):
+        first, *others = [row for row in named if row["ord"] == i]
+        if first["id"] is None:
+            raise LookupError(f"no area matches {text.strip()!r}")
+        chosen.setdefault(first["id"], first)
+        alternatives += others
+        notes.append(f"Ubicación: {_area_label(first)}")
+        if others:
+            notes.append("Alternativas: " + "; ".join(map(_area_label, others)))
+    for area_id in location_ids:
+        if area_id not in by_id:
+            raise LookupError(f"no area has the id {area_id}")
+        chosen.setdefault(area_id, by_id[area_id])
+    return list(chosen.values()), alternatives, notes
+
+
+def search_jobs(
+    offers: DataFrame, areas: DataFrame, today: Column, *, roles: Sequence[str] = (), locations: Sequence[str] = (), location_ids: Sequence[int] = (),
+    countries: Sequence[str] = (), worldwide: bool = False, page: int = 1, offset: int = 0, limit: int = PAGE_SIZE, **filters,
+) -> CursorPage:
+    """A search whose places are names or ids of `areas` (id, name, display_path, area_type_label, offer_count,
+    visitor_country_match); a name is resolved as by :func:`resolve_area`.
+
+    `meta` also has ``query`` (what was searched), ``effective_location`` (the first area, NULL without one),
+    ``location_alternatives`` and ``related_roles`` (titles like the first role); the places chosen, and what else they
+    could have been, come first in ``notes``. `filters` are the other fields of :class:`SearchQuery`.
+    """
+    pills = tuple(unicodedata.normalize("NFC", role).strip() for role in roles)
+    if (locations or location_ids) and (countries or worldwide):
+        raise ValueError("choose one location mode: areas, countries, or worldwide")
+    chosen, others, notes = resolve_locations(areas, locations, location_ids)
+    query = SearchQuery(roles=pills, areas=tuple(a["display_path"] for a in chosen), countries=tuple(dict.fromkeys(countries)), worldwide=worldwide, **filters)
+    result = search_page(offers, query, today, page=page, offset=offset, limit=limit)
+
+    def ref(area) -> Column:
+        return F.struct(F.lit(area["id"]).cast("bigint").alias("id"), F.lit(area["display_path"]).alias("display_path"), F.lit(area["area_type_label"]).cast("string").alias("area_type_label"))
+
+    ref_type = "struct<id:bigint,display_path:string,area_type_label:string>"
+    echo = F.struct(
+        F.lit(list(pills)).cast("array<string>").alias("roles"), F.lit([a["id"] for a in chosen]).cast("array<bigint>").alias("location_ids"),
+        F.lit(list(query.countries)).cast("array<string>").alias("countries"), F.lit(query.location_mode in ("countries", "worldwide")).alias("worldwide"),
+        F.lit(query.posted_within).cast("string").alias("posted_within"), F.lit(list(query.job_types)).cast("array<string>").alias("job_types"),
+        F.lit(query.min_salary).cast("bigint").alias("min_salary"), F.lit(query.max_salary).cast("bigint").alias("max_salary"), F.lit(query.currency).cast("string").alias("currency"))
+    related = F.array().cast("array<string>")
+    if pills:
+        like = similar_roles(offers, pills[0])
+        related = F.coalesce(like.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("o"), "role"))), lambda r: r["role"])).scalar(), related)
+    meta = result.meta.withColumns({
+        "query": echo, "effective_location": ref(chosen[0]) if chosen else F.lit(None).cast(ref_type),
+        "location_alternatives": F.array(*map(ref, others)).cast(f"array<{ref_type}>"), "related_roles": related,
+        "notes": F.concat(F.lit(notes).cast("array<string>"), "notes")})
+    return CursorPage(result.items, meta)
+
+
 # ---- lookups ------------------------------------------------------------------------------------
 def get_by_slug(requested: DataFrame, offers: DataFrame, *, order: str = "ord", texts: Sequence[str] = (), cap: int | None = 4000) -> DataFrame:
     """Requested slugs (repeats dropped, first wins) with their offer; `found` false is the not-found list.
@@ -384,25 +459,20 @@ def saved_with_details(saved: DataFrame, offers: DataFrame, n: int = 10, *, orde
 def company_profile(companies: DataFrame, offers: DataFrame, slug: str, *, page: int = 1, order: Sequence[str] = ("posted_at desc", "slug asc")) -> DataFrame:
     """One company with one page (20) of its offers; a page past the last is served as the last.
 
-    The page needed is the top-k of its last row, not a ranking of every offer of the company.
+    The company's offers are counted first, so that only the rows of the page served are ever gathered.
     """
     size = COMPANY_JOBS_PAGE_SIZE
     theirs = offers.where(F.col("company_slug") == slug)
-    total = theirs.agg(F.count("*")).scalar()
-    # At most the rows up to the asked page: one value, so the company needs no join.
-    top = theirs.orderBy(*_sort_keys(order)).limit(_bounded("page", page, 1) * size).withColumn(
-        "pos", F.row_number().over(Window.orderBy(*_sort_keys(order))) - 1)
+    total = theirs.count()
+    served = min(_bounded("page", page, 1), max(1, -(-total // size)))
+    start = (served - 1) * size
+    top = theirs.orderBy(*_sort_keys(order)).offset(start).limit(size).withColumn("pos", F.row_number().over(Window.orderBy(*_sort_keys(order))) - 1 + start)
     listed = top.agg(F.array_sort(F.collect_list(F.struct("pos", F.col("slug").alias("offer_slug"), "title")))).scalar()
-    served = F.least(F.lit(page), F.greatest(F.ceil(F.col("active_offers") / size), F.lit(1))).cast("int")
     head = companies.where(F.col("slug") == slug).select(F.col("slug").alias("company_slug"), "name", "location")
-    known = head.withColumns({"active_offers": total, "_listed": listed}).withColumn("page", served)
-    mine = F.filter("_listed", lambda o: F.floor(o["pos"] / size) + 1 == F.col("page"))
-    return (
-        known.select("*", F.inline_outer(mine)).drop("_listed")
-        .withColumn("has_more", F.col("page") * size < F.col("active_offers"))
-        .withColumn("note", F.when(F.col("page") < page, F.concat(
-            F.lit(f"page {page} is past the last page ("), F.col("page").cast("string"), F.lit(")"))))
-    )
+    known = head.withColumns({"active_offers": F.lit(total).cast("bigint"), "page": F.lit(served), "_listed": listed})
+    note = f"page {page} is past the last page ({served})" if served < page else None
+    return known.select("*", F.inline_outer("_listed")).drop("_listed").withColumns(
+        {"has_more": F.lit(served * size < total), "note": F.lit(note).cast("string")})
 
 
 # ---- rollups ------------------------------------------------------------------------------------

@@ -152,6 +152,17 @@ def r16_unique_labels(spark, folder):
     return an.unique_labels(rows).select("pos", "unique_label")
 
 
+@query("r16_mixed_labels", """
+WITH t AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 = 0 AS literal, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 = 0 ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey AS record, count(*) AS labels, count(*) AS names, count(*) FILTER (WHERE literal) AS literals FROM t GROUP BY 1""")
+def r16_mixed_labels(spark, folder):
+    """Records where every fourth label is the literal name of a repeat: all names differ."""
+    k = F.col("o_orderkey")
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("record"), k.alias("pos"), F.when(k % 4 == 0, "x (2)").otherwise("x").alias("label"))
+    return an.unique_labels(rows).groupBy("record").agg(
+        F.count("*").alias("labels"), F.count_distinct("unique_label").alias("names"), F.count_if(F.col("label") == "x (2)").alias("literals"))
+
+
 CV_TEXT = """d AS (SELECT doc_id, lang, source, regexp_extract(text, '^([^\\n]*)', 1) AS line, text FROM documents)""".replace("\\\\", "\\")
 
 

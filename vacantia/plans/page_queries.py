@@ -212,6 +212,43 @@ def x14_extract_cv_metadata(spark, folder):
     return ex.extract_cv_metadata(pages)
 
 
+def saved_pages(spark, folder) -> DataFrame:
+    """Saved offers of ten orders each: pages of cards, pages of bare links, and pages of an ended session."""
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    card = F.concat(
+        F.lit('<div class="job-offer-card" data-scroll-restore-slug="offer-'), s, F.lit('"><h2 class="job-offer-card__title">'), "o_orderpriority", F.lit('</h2><p class="item-title">Empresa '), F.col("o_custkey").cast("string"),
+        F.lit('</p><span class="tag-navy">Remoto</span></div>'))
+    link = F.concat(F.lit('<li><a href="/job_offers/offer-'), s, F.lit('"><h3>'), "o_orderpriority", F.lit("</h3> ver</a></li>"))
+    shape = F.floor(k / 10) % 3
+    rows = table(spark, folder, "orders").withColumn("page_id", F.floor(k / 10))
+    item = F.struct(k.alias("k"), F.when(shape == 1, link).otherwise(card).alias("html"))
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    header = F.when(F.col("page_id") % 3 == 2, '<header id="main-header"><a href="/users/sign_in">Entrar</a></header>').otherwise("")
+    nav = F.lit('<nav class="pagination-nav"><a aria-label="Página 7">7</a><a aria-label="Página siguiente">x</a></nav>')
+    return pages.select("page_id", F.concat(
+        header, F.lit('<div class="job-offer-card"><h2>esqueleto</h2></div>'), F.array_join(F.transform("items", lambda c: c["html"]), ""), F.when(F.col("page_id") % 2 == 0, nav).otherwise("")).alias("html"))
+
+
+@query("x12_saved_jobs", """
+SELECT page_id, n - 1 AS pos, slug, title, CASE WHEN shape = 0 THEN company END AS company, CASE WHEN shape = 0 THEN 'remote' END AS modality
+FROM (SELECT o_orderkey // 10 AS page_id, o_orderkey // 10 % 3 AS shape, row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) AS n, 'offer-' || o_orderkey AS slug,
+  o_orderpriority AS title, 'Empresa ' || o_custkey AS company FROM orders) WHERE shape < 2""")
+def x12_saved_jobs(spark, folder):
+    rows = ex.extract_private_list(saved_pages(spark, folder), "saved_jobs", day(PAGE_DAY)).rows
+    return rows.select("page_id", "pos", "slug", "title", "company", "modality")
+
+
+@query("x13_private_pages", """
+SELECT DISTINCT kind, o_orderkey // 10 AS page_id, CASE WHEN o_orderkey // 10 % 2 = 0 THEN 7 ELSE 1 END AS last_page, o_orderkey // 10 % 2 = 0 AS has_next,
+  CASE WHEN o_orderkey // 10 % 3 = 2 THEN 'AUTH_REQUIRED' END AS violation FROM orders, (SELECT unnest(['saved_jobs', 'applications', 'cvs']) AS kind)""")
+def x13_private_pages(spark, folder):
+    """The list facts of private pages of every kind."""
+    pages = saved_pages(spark, folder)
+    reports = [ex.extract_private_list(pages, kind, day(PAGE_DAY)).pages.withColumn("kind", F.lit(kind)) for kind in ex.PRIVATE_KEEP]
+    return reduce(DataFrame.union, reports)
+
+
 def statuses(k: Column) -> Column:
     return F.array(*map(F.lit, (200, 404, 500, 302, 403, 429, 410)))[(k % 7).cast("int")]
 

@@ -164,6 +164,30 @@ def j4_resolve_area(spark, folder):
     return found.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: a.cast("string")), ";"))
 
 
+PLACES = f"""{AREAS}, p AS (SELECT a.id, a.name, a.visitor, a.offer_count, r_name || '/' || n.n_name AS path FROM areas_v a JOIN nation n ON n.n_nationkey = a.id JOIN region ON n_regionkey = r_regionkey),
+named AS (SELECT *, row_number() OVER (ORDER BY name <> 'Ñuñoa', NOT visitor, offer_count DESC, id) AS best, row_number() OVER (ORDER BY offer_count DESC, id) AS server FROM p WHERE starts_with(strip_accents(lower(name)), 'nunoa')),
+alt AS (SELECT *, row_number() OVER (ORDER BY server) AS o FROM named WHERE best > 1),
+chosen AS (SELECT id, path, 0 AS ord FROM named WHERE best = 1 UNION ALL SELECT id, path, 1 FROM p WHERE id = 3),
+found AS (SELECT o.* FROM offers_v o WHERE regexp_matches(lower(title), '{WORD}small') AND EXISTS (SELECT 1 FROM chosen c WHERE o.area_path = c.path OR starts_with(o.area_path, c.path || '/')))"""
+
+
+@query("f6_search_jobs", f"""
+WITH {PLACES} SELECT (SELECT count(*) FROM found) AS total, 'small' AS roles, (SELECT string_agg(id, ';' ORDER BY ord) FROM chosen) AS location_ids, (SELECT path FROM chosen WHERE ord = 0) AS effective_location,
+  (SELECT string_agg(id, ';' ORDER BY o) FROM alt WHERE o <= 3) AS alternatives,
+  'Ubicación: ' || (SELECT path || ' [País] (' || id || ')' FROM chosen WHERE ord = 0) || '|Alternativas: ' || (SELECT string_agg(path || ' [País] (' || id || ')', '; ' ORDER BY o) FROM alt WHERE o <= 3) AS notes,
+  (SELECT string_agg(slug, ';' ORDER BY posted_at DESC, slug) FROM (SELECT slug, posted_at FROM found ORDER BY posted_at DESC, slug LIMIT 30)) AS slugs""")
+def f6_search_jobs(spark, folder):
+    """A search by the name of one place and the id of another: the page with its echo, notes and alternatives."""
+    region = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("id"), F.concat_ws("/", "r_name", "n_name").alias("display_path"), F.lit("País").alias("area_type_label"))
+    out = se.search_jobs(offers(spark, folder), areas(spark, folder).join(region, "id"), day(TODAY), roles=["small "], locations=["NUNOA"], location_ids=[3], limit=30)
+    slugs = out.items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "slug"))), lambda r: r["slug"]), ";")).scalar()
+    ids = F.transform("location_alternatives", lambda a: a["id"].cast("string"))
+    return out.meta.select(
+        "total", F.array_join("query.roles", ";").alias("roles"), F.array_join(F.col("query.location_ids").cast("array<string>"), ";").alias("location_ids"), F.col("effective_location.display_path").alias("effective_location"),
+        F.array_join(ids, ";").alias("alternatives"), F.array_join("notes", "|").alias("notes"), F.nullif(slugs, F.lit("")).alias("slugs"))
+
+
 @query("r15_find_areas", f"WITH {AREAS} SELECT id, name, offer_count FROM areas_v WHERE starts_with(strip_accents(lower(name)), 'santi') ORDER BY offer_count DESC, id LIMIT 10")
 def r15_find_areas(spark, folder):
     return se.find_areas(areas(spark, folder), "SANTI", 10).select("id", "name", "offer_count")

@@ -274,6 +274,19 @@ def j7_robots_match(spark, folder):
         F.count("*").alias("urls"), F.count_if(ro.robots_allowed(F.col("url"), rules, "my-crawler")).alias("allowed"))
 
 
+@query("j7_robots_join", r"""
+WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS p FROM pages)
+SELECT page_id, host, CASE length(host) % 4 WHEN 0 THEN NOT regexp_matches(p, '^/.*\.html$') WHEN 1 THEN NOT starts_with(p, '/en/') OR starts_with(p, '/en/4') WHEN 2 THEN false END AS allowed FROM u""")
+def j7_robots_join(spark, folder):
+    """A frontier of many hosts, each judged by its own captured file; the hosts of one length have none."""
+    host = F.lower(ur.url_part(F.col("url"), "host"))
+    kind = F.length("host") % 4
+    body = F.when(kind == 0, "User-agent: *\nDisallow: /*.html$\n").when(kind == 1, "User-agent: other\nDisallow: /\n\nUser-agent: my-crawler\nAllow: /en/4\nDisallow: /en/\n")
+    pages = table(spark, folder, "pages").withColumn("host", host)
+    files = pages.select("host").distinct().where(kind < 3).select("host", F.when(kind == 2, 503).otherwise(200).alias("status"), body.alias("body"))
+    return ro.robots_verdicts(pages, ro.robots_table(files, "my-crawler/1.0")).select("page_id", "host", "allowed")
+
+
 @query("g8_listing_frontier", """
 SELECT n_nationkey, page, 'https://jobs.example.com/job_offers?countries%5B%5D=' || n_name || '&countries%5B%5D=Per%C3%BA&worldwide=1' || CASE WHEN n_nationkey % 2 = 0 THEN '&date=last_week' ELSE '' END ||
   CASE WHEN page > 1 THEN '&page=' || page ELSE '' END AS url
