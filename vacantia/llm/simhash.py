@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 from vacantia.llm.common import components, written
 
 SEED = 42
-#: Fingerprints the shared part of the tree is fitted on, the rows wanted in a shard, and those compared at once.
-SAMPLE, SHARD, LEAF = 8192, 16384, 192
+#: Fingerprints the shared part of the tree is fitted on, the rows wanted in a shard, those compared at once, and the
+#: pairs compared in full at once.
+SAMPLE, SHARD, LEAF, PAIRS = 8192, 16384, 192, 1 << 16
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
-_ODD = [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -40,18 +40,27 @@ def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
     return np.fromiter(map(_hash, grams), np.uint64, len(grams))
 
 
+def _further(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """`hashes` in column 0, and in each further column a mix of them with multipliers of its own."""
+    out = np.empty((len(hashes), n_words), np.uint64)
+    out[:, 0] = hashes
+    folded = hashes ^ (hashes >> np.uint64(29))
+    for w in range(1, n_words):
+        mixed = folded * np.uint64(_hash(f"a{w}") | 1)
+        out[:, w] = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_hash(f"b{w}") | 1)
+    return out
+
+
 def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     """The majority bits of `hashes` as `n_words` 64-bit words; further words hash the hashes again."""
-    out = np.zeros(n_words, np.uint64)
-    for w in range(n_words if len(hashes) else 0):
-        h = hashes if not w else (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_ODD[w])
-        h = h if not w else (h ^ (h >> np.uint64(32))) * np.uint64(_ODD[-w])
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            part = np.ascontiguousarray(h[at : at + (1 << 16)])
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[w] = np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    counts = np.zeros(64 * n_words, np.int64)
+    for at in range(0, len(hashes), 32 * 255):
+        part = _further(hashes[at : at + 32 * 255], n_words)
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        # sums of at most 255 rows fit the bytes they are made of
+        for row in range(0, len(bits), 255):
+            counts += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = 3, n_words: int = 1) -> DataFrame:
@@ -141,7 +150,12 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _compare(bits: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, ratio: float | None, parent: np.ndarray) -> None:
-    """Unite every row of `x` with the rows of `y` in the radius (and with sizes in the ratio)."""
+    """Unite every row of `x` with the rows of `y` in the radius (and with sizes in the ratio).
+
+    The first words are compared for all pairs, so many that unlike texts already differ by more than the radius there;
+    the rest only where they do not.
+    """
+    lead = min(bits.shape[1], int(np.ceil((2 * radius + 4 * np.sqrt(2 * radius)) / 64)))
     if ratio:
         x, y = x[np.argsort(size[x], kind="stable")], y[np.argsort(size[y], kind="stable")]
     for at in range(0, len(x), 128):
@@ -151,10 +165,13 @@ def _compare(bits: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, r
         for to in range(0, len(other), 1 << 14):
             block = other[to : to + (1 << 14)]
             near = np.zeros((len(part), len(block)), np.int16)
-            for w in range(bits.shape[1]):
+            for w in range(lead):
                 near += np.bitwise_count(bits[part, w][:, None] ^ bits[block, w][None, :])
             i, j = np.nonzero(near <= radius)
             i, j = part[i], block[j]
+            if lead < bits.shape[1] and len(i):
+                close = np.concatenate([_distance(bits[i[k : k + PAIRS]], bits[j[k : k + PAIRS]]) <= radius for k in range(0, len(i), PAIRS)])
+                i, j = i[close], j[close]
             if ratio:
                 fits = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
                 i, j = i[fits], j[fits]
@@ -241,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(members, "node").select(id_col, *carry, "bits", "n_shingles", "group", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 4, similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 8, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each near-duplicate group, all columns kept.
 
     Rows link when their shingle multisets have an estimated Jaccard similarity of `similarity` or more: with J the
