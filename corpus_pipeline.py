@@ -19,10 +19,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Repeated multi-line chunks go, and documents of which no word is left; ``n_chars`` follows the text."""
-    found = linededup.dedupe_lines(docs)
-    emptied = (F.col("n_removed_chunks") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n_chars = F.when(F.col("n_removed_chunks") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    """Repeated chunks and passages of over 50 words go, and documents left without a word; ``n_chars`` follows the text."""
+    found = linededup.dedupe_passages(docs, words=50)
+    emptied = (F.col("n_removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return found.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars.cast("bigint")).select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, urls
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -425,6 +426,59 @@ def test_line_dedup(docs_of):
         assert g.n_lines == (0 if t is None else t.count("\n") + 1)
 
 
+def test_planted_passages_go_whole(spark, docs_of):
+    """Passages of one to five lines between differing neighbours, beside a common line, and after one that overlaps."""
+    passages = [[prose(100 * n + 10 * k + i, 60 // n + 1) for i in range(n)] for n in range(1, 6) for k in range(8)]
+    common = "a common line"
+    texts = ["\n".join([prose(5000 + i, 9), *p, prose(6000 + i, 9)]) for i, p in enumerate(passages)]
+    texts += ["\n".join([prose(7000 + i, 9), *([common] if i % 2 else []), *p, prose(8000 + i, 9)]) for i, p in enumerate(passages)]
+    texts.append("\n".join([common, *passages[-2][:4], "", passages[-1][0]]))  # four lines have 52 words, the others too few
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs_of(texts), "").collect()}
+    n = len(passages)
+    for i in range(n):
+        assert got[i] == texts[i]
+        assert got[n + i] == "\n".join([prose(7000 + i, 9), *([common] if i % 2 else []), prose(8000 + i, 9)])
+    assert got[2 * n] == "\n".join([common, "", passages[-1][0]])
+
+
+def brute_passages(texts, words=50):
+    """The lines of each text in a window of over `words` words that occurred before."""
+    seen, gone = set(), [set() for _ in texts]
+    for d, t in enumerate(texts):
+        ls = t.split("\n")
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                text = "\n".join(ls[i:j])
+                if len(SPACE_WORD.findall(text)) > words and ls[i].strip() and ls[j - 1].strip():
+                    if text in seen:
+                        gone[d] |= set(range(i, j))
+                    seen.add(text)
+    return gone
+
+
+def test_passages_against_all_windows(docs_of, monkeypatch):
+    monkeypatch.setattr(linededup, "chunks", lambda lines: F.transform(lines, lambda x, i: F.struct(i.alias("first"), F.lit(1).alias("n"))))
+    r = random.Random(8)
+    pool = [prose(i, r.choice([3, 12, 30, 55])) for i in range(30)] + ["", " "]
+    texts = []
+    for i in range(60):
+        a = r.randrange(28)
+        texts.append("\n".join([*(r.choice(pool) for _ in range(r.randint(0, 4))), prose(900 + i, 7), *pool[a : a + r.randint(1, 7)], *(r.choice(pool) for _ in range(r.randint(0, 3)))]))
+    got = {x.doc_id: x for x in linededup.dedupe_passages(docs_of(texts)).collect()}
+    gone = brute_passages(texts)
+    assert sum(map(len, gone)) > 50
+    for d, t in enumerate(texts):
+        assert got[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
+
+
+def test_passages_of_odd_rows(spark, odd):
+    got = linededup.dedupe_passages(odd)
+    assert got.columns == [*odd.columns, "n_removed_lines"] and got.count() == odd.count()
+    texts = {(r.doc_id, r.text) for r in got.collect()}
+    assert {(1, None), (None, "a b c d"), (None, None), (2, ""), (6, "same row\nsame row\nagain")} <= texts and (5, "") in texts
+    assert linededup.dedupe_passages(odd.where("1 = 0")).collect() == []
+
+
 # all of them on odd tables
 
 
