@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version on small fixtures, and on odd tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -212,6 +213,32 @@ def test_representatives(docs_of):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("blocks", [{}, {"rows": 4, "shingles": 1500}])
+def test_representatives_follow_exact_similarity(docs_of, monkeypatch, blocks):
+    """Families of texts around a similarity of 0.8, some with a repeated half: exactly the exact groups lose rows."""
+    r = random.Random(12)
+    texts = []
+    for k in range(40):
+        words = prose(k, r.choice([30, 120, 400]), 5000).split()
+        for _ in range(6):
+            w = list(words)
+            for _ in range(round(len(w) * r.uniform(0.0, 0.045))):
+                w[r.randrange(len(w))] = f"n{r.random()}"
+            texts.append(" ".join(w + w[: len(w) // 2] * (r.random() < 0.2)))
+    r.shuffle(texts)
+    if blocks:
+        monkeypatch.setattr(simhash, "verified_links", functools.partial(simhash.verified_links, **blocks))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    group, similar = list(range(len(texts))), set()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            similar.add((i, j))
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    assert 50 < len(similar) and 50 < len(set(group)) < len(texts) - 50
+    assert sorted(x.doc_id for x in simhash.representatives(docs_of(texts)).collect()) == sorted(set(group))
+
+
 # 5 packing
 
 

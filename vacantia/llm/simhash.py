@@ -7,6 +7,8 @@ triangle bound really prunes. Every fingerprint goes to its own shard, and also
 within the radius could be in, so no pair is lost. Inside a shard the same tree is grown further, in memory, down to
 small leaves whose pairs are compared. Shards above `SHARD` rows are compared in blocks of rows, by several tasks. A
 task returns a spanning forest of the links it found, never all pairs of a group.
+
+`representatives` takes such groups as candidates only; their texts are then compared by their shingle sets.
 """
 
 from __future__ import annotations
@@ -63,10 +65,10 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = 3, n_words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = 3, n_words: int = 1, distinct: bool = False) -> DataFrame:
     """`carry`, ``bits`` (array of bigint, the fingerprint's words) and ``n_shingles`` for each row.
 
-    A null or blank text has fingerprint zero and no shingles. Texts are read whole; extra columns are not carried.
+    With `distinct`, each different shingle counts once. A null or blank text has fingerprint zero and no shingles. Texts are read whole; extra columns are not carried.
     """
     schema = docs.select(*carry).schema.add("bits", T.ArrayType(T.LongType())).add("n_shingles", T.LongType())
 
@@ -76,6 +78,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
             bits, counts = np.zeros((batch.num_rows, n_words), np.int64), np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text.as_py() or b"", width)
+                hashes = np.unique(hashes) if distinct else hashes
                 bits[i], counts[i] = fingerprint(hashes, n_words).view(np.int64), len(hashes)
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_words)
             lists = pa.ListArray.from_arrays(ends, pa.array(bits.reshape(-1)))
@@ -258,19 +261,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(members, "node").select(id_col, *carry, "bits", "n_shingles", "group", "component_id")
 
 
+def _similar(bits: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """For each row the root of its group, from all pairs of a row of `left` and one of `right` with similar sets.
+
+    `sets` has the different shingles of each row as small numbers. Pairs outside the radius, and pairs already in one
+    group, are not counted out.
+    """
+    size = np.array([len(x) for x in sets])
+    parent, marked = np.arange(len(sets)), np.zeros(max((int(x.max()) + 1 for x in sets if len(x)), default=1), bool)
+    symmetric = np.array_equal(left, right)
+    right = right[np.argsort(size[right], kind="stable")]
+    left = right if symmetric else left
+    sorted_size = size[right]
+
+    def roots(rows: np.ndarray) -> np.ndarray:
+        while not np.array_equal(up := parent[rows], rows):
+            rows = up
+        return rows
+
+    for k, row in enumerate(left):
+        low = k + 1 if symmetric else np.searchsorted(sorted_size, similarity * size[row] - 1e-9)
+        found = right[low : np.searchsorted(sorted_size, size[row] / similarity + 1e-9, side="right")]
+        found = found[_distance(bits[found], bits[row]) <= radius]
+        root = roots(np.array([row]))
+        found = found[roots(found) != root]
+        if not len(found):
+            continue
+        marked[sets[row]] = True
+        starts = np.concatenate([[0], np.cumsum(size[found])[:-1]])
+        shared = np.add.reduceat(marked[np.concatenate([sets[x] for x in found])], starts, dtype=np.int64)
+        marked[sets[row]] = False
+        ends = roots(found[shared >= similarity * (size[row] + size[found] - shared) - 1e-9])
+        if len(ends):
+            parent[np.append(ends, root)] = min(int(root[0]), int(ends.min()))
+    return roots(parent)
+
+
+def verified_links(texts: DataFrame, radius: int, similarity: float, width: int, rows: int = 2048, shingles: int = 1 << 20) -> DataFrame:
+    """Links ``(a, b)`` between texts ``(node, text, bits, n_shingles, group)`` whose shingle sets are really similar.
+
+    Only members of one group are compared. Small groups share tasks of about `shingles` shingles; a group above that or
+    above `rows` members is cut into blocks, and each pair of blocks is a task. A task returns a spanning forest.
+    """
+    sizes = written(texts.groupBy("group").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w")).where("m > 1"), "sizes")
+    total = sizes.agg(F.sum("w")).first()[0] or 0
+    blocks = F.greatest(F.ceil(F.col("m") / rows), F.ceil(F.col("w") / shingles)).cast("int")
+    task = F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(max(16, 2 * total // shingles))))
+    dealt = texts.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("task", task)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
+    dealt = dealt.withColumn("pair", pair).select("node", "text", "bits", "group", "own", "blocks", "task", "pair.i", "pair.j")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t.encode(), width)) for t in pdf["text"]]
+        ends = np.cumsum([len(x) for x in sets])
+        numbers = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], ends[:-1])
+        bits = np.array(pdf["bits"].tolist(), np.int64).view(np.uint64)
+        node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = [], []
+        for at in pdf.groupby("group", sort=False).indices.values():
+            home = own[at]
+            root = _similar(bits[at], [numbers[k] for k in at], np.flatnonzero(home == i), np.flatnonzero(home == j), radius, similarity)
+            linked = root != np.arange(len(at))
+            a.append(node[at[linked]])
+            b.append(node[at[root[linked]]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return written(dealt.groupBy(F.col("blocks") > 1, "task", "i", "j").applyInPandas(compare, "a bigint, b bigint"), "verified")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 8, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each near-duplicate group, all columns kept.
 
-    Rows link when their shingle multisets have an estimated Jaccard similarity of `similarity` or more: with J the
-    similarity, the angle between two shingle vectors is acos(2J / (1 + J)), and fingerprints differ in that share of
-    pi. The row with the smallest id stays (ties: smallest text hash; one of equal rows). Rows without words have
-    nothing to compare, are no near-duplicates, and stay.
+    Rows link when the Jaccard similarity of their sets of different shingles is `similarity` or more, counted exactly.
+    Fingerprints of the sets only find candidates: with J the similarity, the angle between two sets is at most
+    acos(2J / (1 + J)), fingerprints differ in that share of pi, and the radius is four standard errors above. The row
+    with the smallest id stays (ties: smallest text hash; one of equal rows). Rows without words have nothing to
+    compare, are no near-duplicates, and stay.
     """
-    bound = int(64 * n_words * (np.arccos(2 * similarity / (1 + similarity)) / np.pi) + np.sqrt(16 * n_words) * 0.5)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bound = int(64 * n_words * share + 4 * np.sqrt(64 * n_words * share * (1 - share)))
     key = "_hash"
     kept = docs.withColumn(key, F.xxhash64(id_col, text_col))
     has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    found = near_duplicates(kept.where(has_words), id_col, text_col, width, n_words, bound, similarity, (key,))
-    best = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(key).alias("h"))).alias("s"))
-    chosen = kept.where(has_words).join(best.select(F.col("s.h").alias(key)), key, "left_semi").dropDuplicates([key, id_col])
+    worded = kept.where(has_words)
+    rows = written(fingerprints(worded.select(F.col(id_col).alias("id"), F.col(key).alias("h"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")), "text", ("id", "h", "node"), width, n_words, True), "fingerprints")
+    texts = rows.groupBy("node").agg(F.min("h").alias("h"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles")).withColumn("print", F.xxhash64("bits", "n_shingles"))
+    texts = written(texts, "texts")
+    prints = written(texts.groupBy(F.col("print").alias("node")).agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles")), "prints")
+    near = components(links(prints, bound, similarity)).select(F.col("node").alias("print"), F.col("root"))
+    grouped = written(texts.join(near, "print", "left").withColumn("group", F.coalesce("root", "print")).drop("print", "root"), "grouped")
+    several = grouped.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
+    wanted = written(grouped.join(several, "group", "left_semi"), "wanted")
+    # one row's text for each different text that has a candidate
+    found = worded.select(F.col(key).alias("h"), F.col(text_col).alias("text")).join(wanted, "h").dropDuplicates(["h", "node"])
+    roots = components(verified_links(written(found, "candidates"), bound, similarity, width))
+    best = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("s"))
+    chosen = worded.join(best.select(F.col("s.h").alias(key)), key, "left_semi").dropDuplicates([key, id_col])
     return chosen.select(*docs.columns).union(docs.where(~has_words))
