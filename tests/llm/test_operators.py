@@ -337,6 +337,14 @@ def test_templates_generalise_merge_and_reject(spark):
     assert {got[i].verdict for i in range(84, 96)} == {"block"}
 
 
+def test_templates_stay_when_all_rows_repeat(spark):
+    rows = [(f"http://h.io/user-{chr(97 + i // 26)}{chr(97 + i % 26)}/buy", 1 if i < 20 else None) for i in range(60)]
+    rows += [(f"http://h.io/{s}/{i}", int(i < bad)) for s, bad in (("news", 1), ("blog", 3)) for i in range(12)]
+    once, tenfold = ({(r.path, r.template, r.verdict, r.purity, r.labelled) for r in urls.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows * n)], "page_id bigint, url string, bad int"), bad_col="bad", rules=()).collect()} for n in (1, 10))
+    assert once == tenfold
+    assert {v for path, _, v, _, _ in once if path.endswith("/buy")} == {"block"}
+
+
 # 8 decontamination
 
 

@@ -1,7 +1,7 @@
 """URL verdicts from host rules and from path templates learned for each host. DataFrame functions only.
 
 Paths become trees of templates, host by host and level by level: runs of digits are wildcards at once, and where one
-place has many different rare children, these become one wildcard. Sibling branches of the same
+place has many different children of few paths each, these become one wildcard. Sibling branches of the same
 shape whose labelled shares of bad pages don't differ beyond chance are merged and share their evidence. A template is
 rejected if its smoothed share of bad labels is high enough.
 """
@@ -51,16 +51,18 @@ def _at(parts: Column, level: int, value: Column) -> Column:
 def templates(urls: DataFrame, depth: int = 6, many: int = 20, rare: int = 2, similar: float = 1.96, least: int = 5) -> DataFrame:
     """``(host, parts, template, n, bad, labelled)`` for each ``(host, path, bad)``; bad is 1, 0 or null (no label).
 
-    At a place with at least `many` different children seen `rare` times or less, those are one wildcard; more frequent
-    children stay as they are. A branch joins its siblings if it has `least` labels and its share of bad ones is within `similar` standard errors
+    Each different path counts once, with its share of bad labels, however often it occurs: repeating all rows changes
+    `n` alone. At a place with at least `many` different children of `rare` different paths or less, those are one
+    wildcard; children of more paths stay as they are. A branch joins its siblings if it has `least` labels and its share of bad ones is within `similar` standard errors
     of theirs together; branches with mostly bad labels (wildcard ``*!``) and the others (``*``) are pooled apart. Equal paths are added up first, so a hot host costs no more rows than it has kinds of paths.
     """
-    rows = urls.groupBy("host", _segments(F.col("path"), depth).alias("parts")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad"), F.count("bad").alias("labelled")).withColumn("tree", F.col("parts"))
+    paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("bad").alias("bad"))
+    rows = paths.groupBy("host", _segments(F.col("path"), depth).alias("parts")).agg(F.sum("n").alias("n"), F.count("*").alias("paths"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"), F.count("bad").alias("labelled")).withColumn("tree", F.col("parts"))
     rows = written(rows, "paths")  # each level reads the one before twice, so levels are written
     for level in range(depth):
         above = F.array_join(F.slice("tree", 1, level), "/") if level else F.lit("")
         here = rows.withColumn("_up", above).withColumn("_seg", F.get("tree", F.lit(level)))
-        children = here.where("_seg is not null").groupBy("host", "_up", "_seg").agg(F.sum("n").alias("n")).where(F.col("n") <= rare)
+        children = here.where("_seg is not null").groupBy("host", "_up", "_seg").agg(F.sum("paths").alias("n")).where(F.col("n") <= rare)
         variable = children.groupBy("host", "_up").agg(F.count("*").alias("k")).where(F.col("k") >= many)
         wild = children.join(variable, ["host", "_up"]).select("host", "_up", "_seg", F.lit(True).alias("_wild"))
         rows = written(here.join(wild, ["host", "_up", "_seg"], "left").withColumn("tree", F.when(F.col("_wild"), _at(F.col("tree"), level, F.lit("*"))).otherwise(F.col("tree"))).drop("_up", "_seg", "_wild"), "level")
@@ -86,7 +88,7 @@ def judge(pages: DataFrame, url_col: str = "url", bad_col: str | None = None, ru
     Where a rule fits, it decides. Elsewhere a template with `least` labels or more whose smoothed share of bad ones,
     ``(bad + weight * prior) / (labelled + weight)``, reaches `purity` blocks; all others allow. Labels come from
     `bad_col` (1 bad, 0 good, null unknown); without it, the rules' own verdicts are the labels. A url that is null or
-    has no ``://`` has an empty host and path and is allowed. Repeated rows repeat, and count as often as they occur.
+    has no ``://`` has an empty host and path and is allowed. Repeated rows repeat; as evidence a path counts once.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     parsed = pages.select(*carry, host.alias("host"), path.alias("path"), *([F.col(bad_col).alias("_bad")] if bad_col else []))
