@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, urls
+from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, tokenfile, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,14 +87,18 @@ def _quality_sql(risk: float = 0.02, delta: float = 0.05) -> str:
     n_cells, p = sum(map(len, quality.GRID.values())), risk / len(quality.RATIOS)
     return rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
-w AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, regexp_extract_all(x, '[^ 	-]+') AS l FROM t)),
+w AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, regexp_extract_all(x, '[^ 	-
+]+') AS l FROM t)),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, l[i:i + 2]) AS n FROM w WHERE i + 2 <= len(l)),
 r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY doc_id),
 m AS (
-  SELECT t.doc_id, lang, len(regexp_extract_all(x, '[^ 	-]+'))::BIGINT AS n_words, length(regexp_replace(x, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+  SELECT t.doc_id, lang, len(regexp_extract_all(x, '[^ 	-
+]+'))::BIGINT AS n_words, length(regexp_replace(x, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
     (length(x) - length(translate(x, '#*$%&|<>', '')))::BIGINT AS n_symbols, (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_capitals,
     (length(x) - length(replace(x, '!', '')))::BIGINT AS n_exclamations, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^ 	-]')) AS ls FROM t) t LEFT JOIN r USING (doc_id)),
+  FROM (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^ 	-
+]')) AS ls FROM t) t LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratios} FROM m),
 good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
 grid(ratio, cutoff) AS (VALUES {grid}),
@@ -174,3 +178,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts for page urls."""
     return urls.judge(table(spark, folder, "pages"))
+
+
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids written to files in the order of documents, and read back."""
+    files = tokenfile.write_ids(table(spark, folder, "documents"))
+    return tokenfile.read_documents(spark, files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
