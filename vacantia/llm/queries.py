@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, tokenfile, urls
+from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, tokenfile, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,3 +185,45 @@ def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids written to files in the order of documents, and read back."""
     files = tokenfile.write_ids(table(spark, folder, "documents"))
     return tokenfile.read_documents(spark, files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants of frequent words, with every 199th run of a document misspelt."""
+    words = variants.count_words(table(spark, folder, "documents"), drop_every=199)
+    return variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+CHECKS["op13_variants"] = r"""
+WITH RECURSIVE codes AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS code FROM (SELECT unnest(range(256))::BIGINT AS i)
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+  SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), summed AS (
+  SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, code[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM counted, codes
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM summed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), less AS (
+  SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places
+), masked AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || chr(0) || substr(word, i + 1) AS mask FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM masked a JOIN masked b ON a.mask = b.mask AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON l.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), walk(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM formed f JOIN walk ON walk.word = f.word JOIN formed e ON e.word = walk.root WHERE e.form IS NULL
+"""
