@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, tokenfile, urls, variants
+from vacantia.llm import decontaminate, language, licenses, linededup, packing, pii, quality, repeats, simhash, tokenfile, urls, variants, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,6 +180,12 @@ def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings projected on up to 16 whitened components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids written to files in the order of documents, and read back."""
