@@ -4,7 +4,7 @@
 one frequency table, counted over all documents and scaled to a power of two. A block is coded on its own: up to 1,024
 interleaved coder states ("lanes"; id ``i`` belongs to lane ``i % lanes``) share one stream of 32-bit words. Every
 `SEGMENT` ids a checkpoint keeps the lanes' states, the place in the stream and a CRC-32 of the ids, so segments decode
-on their own, in any order, and damage is noticed where it is. `read_documents` and `read_range` read the files back.
+on their own, in any order, and damage is noticed where it is. `read_documents`, `read_ids` and `read_range` read the files back.
 
 A folder of files holds three tables: ``blocks`` (Parquet as the container: one row per block, its index of documents
 and its payload in the format of `encode_block`), ``parts`` (where each part of the sorted stream starts) and ``table``
@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from vacantia.session import work_folder
 
 #: Ids in a block and between checkpoints, most lanes, and the coder's lower state bound.
 BLOCK, SEGMENT, LANES, LOW = 1 << 20, 1 << 18, 1024, np.uint64(1 << 31)
-#: Distinct pieces a task remembers before it starts anew, and characters tokenised at once.
-PIECES, CHARACTERS = 400_000, 4_000_000
+#: Distinct pieces a worker remembers before it starts anew, and bytes of text tokenised at once.
+PIECES, BYTES = 400_000, 1_000_000
 HEAD = struct.Struct("<4sHHIIQI")
 MAGIC, VERSION = b"RANS", 1
 _WORD32 = np.uint64(32)
@@ -82,9 +83,9 @@ def encode_block(ids: np.ndarray, table: Frequencies, segment: int = SEGMENT) ->
     lanes = int(min(LANES, max(16, 1 << max(0, (n // 64).bit_length() - 1))))
     per = max(1, segment // lanes)
     steps, mask = -(-n // lanes), (1 << 32) - 1
-    width, start = table.width[ids], table.start[ids]
-    if n and (int(ids.max()) >= len(table.width) or not width.all()):
+    if n and (int(ids.max()) >= len(table.width) or not table.width[ids].all()):
         raise ValueError("an id is missing from the frequency table")
+    width, start = table.width[ids], table.start[ids]
     limit, shift = width << np.uint64(63 - table.bits), np.uint64(table.bits)
     state, words, marks, count = np.full(lanes, LOW), [], [], 0
     for step in range(steps - 1, -1, -1):
@@ -151,16 +152,21 @@ def _decode(stream: np.ndarray, place: int, state: np.ndarray, n: int, table: Fr
 
 
 # ---- tokens -------------------------------------------------------------------------------------
-#: A blank begins a token of a byte-level pre-tokeniser, unless it stands inside a run of white space.
-_PIECE, _INSIDE = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)")
+#: Runs without white space, each with the blank before it, and white space as a byte-level pre-tokeniser divides it. Control
+#: characters that only Python counts as white space are left to the tokenizer.
+_PIECE, _OTHER, _ADJACENT = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile("[\0\x1c-\x1f]"), re.compile(r"\s\s")
+#: A word and signs behind it, always tokens of their own (but for an apostrophe, which may begin a contraction).
+_TAILED = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)")
 _loaded: dict[str | None, Tokens] = {}
 
 
 def _pieces(text: str) -> list[str]:
     """`text` in pieces whose tokens do not depend on their neighbours."""
-    if "\0" in text or _INSIDE.search(text):
-        return _PIECE.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+    if not text:
+        return []
+    if _ADJACENT.search(text):
+        return _PIECE.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 class Tokens:
@@ -173,58 +179,99 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # pieces are independent only under this pre-tokeniser and without a normaliser
-        self.by_piece = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # pieces are independent only under this pre-tokeniser and without a normaliser; a line end tells joined ones apart
+        plain = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if plain and len(newline) == 1 else None
         self._forget()
 
-    def _forget(self) -> None:
-        self.place: defaultdict[str, int] = defaultdict()
+    def _forget(self, kept: Sequence[str] = (), ids: np.ndarray | None = None, sizes: np.ndarray | None = None) -> None:
+        """Remember only the pieces `kept`, with their ids one behind the other."""
+        self.place: defaultdict[str, int] = defaultdict(None, {piece: i for i, piece in enumerate(kept)})
         self.place.default_factory = self.place.__len__
-        self.ids, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.ids = np.empty(0, self.dtype) if ids is None else ids
+        self.size = np.empty(0, np.int64) if sizes is None else sizes
+        self.first, self.used = np.cumsum(self.size) - self.size, np.zeros(len(self.size), np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at `places`, one behind the other, and where each ends."""
+        sizes = self.size[places]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.first[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _append(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.first[places], self.size[places] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        self.ids = np.concatenate([self.ids, ids])
 
     def _learn(self) -> None:
-        known = len(self.begin) - 1
+        """The tokens of the pieces met for the first time. White space is encoded singly, all else joined by line ends; a
+        word with signs behind it is the word and the signs."""
+        known = len(self.size)
+        fresh = list(self.place)[known:]
+        blank, tailed, halves = [], [], []
+        for i, piece in enumerate(fresh, known):
+            if found := _TAILED.fullmatch(piece):
+                tailed.append(i)
+                halves += [self.place[found[1]], self.place[found[2]]]
+            elif not piece or piece.isspace():
+                blank.append(i)
         fresh = list(self.place)[known:]
-        if not fresh:
-            return
-        found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(fresh))
-        self.ids = np.concatenate([self.ids, np.array(found.ids, np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        more = np.zeros(len(fresh), np.int64)
+        self.first, self.size, self.used = np.append(self.first, more), np.append(self.size, more), np.append(self.used, more)
+        if blank:
+            parts = self._whole([fresh[i - known] for i in blank])
+            self._append(np.array(blank), np.concatenate(parts), np.array(list(map(len, parts)), np.int64))
+        others = np.ones(len(fresh), bool)
+        others[np.array(blank + tailed, np.int64) - known] = False
+        words = np.flatnonzero(others)
+        if len(words):
+            ids = self._whole(["\n".join([fresh[i] for i in words.tolist()])])[0]
+            inside = ids != self.newline
+            ends = np.append(np.flatnonzero(~inside), len(ids))
+            self._append(words + known, ids[inside], np.diff(ends, prepend=-1) - 1)
+        if tailed:
+            ids, ends = self._gather(np.array(halves))
+            self._append(np.array(tailed), ids, np.diff(ends[1::2], prepend=0))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if not self.by_piece:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.place) > PIECES:
-            self._forget()
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        pieces = [list(map(self.place.__getitem__, _pieces(t))) if t and i not in whole else [] for i, t in enumerate(texts)]
+        if self.newline is None:
+            return self._whole(texts)
+        if len(self.place) > PIECES:  # keep what was used more than once, but not more than half
+            often = np.flatnonzero(self.used > max(1, int(np.partition(self.used, -(PIECES // 2))[-(PIECES // 2)])))
+            names = list(self.place)
+            self._forget([names[i] for i in often.tolist()], self._gather(often)[0], self.size[often])
+        hard = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(s in t for s in self.special)]
+        whole = dict(zip(hard, self._whole([texts[i] for i in hard]), strict=True))
+        pieces = [[] if i in whole else list(map(self.place.__getitem__, _pieces(t))) for i, t in enumerate(texts)]
         self._learn()
         flat = np.fromiter(chain.from_iterable(pieces), np.int64, sum(map(len, pieces)))
-        sizes = self.begin[flat + 1] - self.begin[flat]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.begin[flat] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.used += np.bincount(flat, minlength=len(self.used))
+        ids, ends = self._gather(flat)
         bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, pieces)])]
-        return [np.array(whole[i], np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        return [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of `texts` of about `CHARACTERS` each."""
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of `texts` of about `BYTES` each."""
     first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHARACTERS:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size >= BYTES:
             yield first, i + 1
             first, size = i + 1, 0
     yield first, len(texts)
 
 
 def tokenize(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """`carry` and ``ids`` (little-endian 32-bit integers, `end_id` last) for each row; a null text counts as empty.
+    """`carry` and ``ids`` (little-endian integers, `end_id` last) for each row; a null text counts as empty.
 
-    `tokenizer` is the path of a file of the tokenizers library that every executor has; by default the public
-    byte-level one with 50,257 ids.
+    Integers have 16 bits if the vocabulary allows it, else 32. `tokenizer` is the path of a file of the tokenizers
+    library that every executor has; by default the public byte-level one with 50,257 ids.
     """
     schema = docs.select(*[docs[f"`{c}`"] for c in carry]).schema.add("ids", T.BinaryType())
 
@@ -232,27 +279,38 @@ def tokenize(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("d
         if tokenizer not in _loaded:
             _loaded[tokenizer] = Tokens(tokenizer)
         tokens = _loaded[tokenizer]
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], tokens.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(batch.num_columns - 1)
             for a, b in _slices(texts):
-                ids = [row.astype("<u4").tobytes() + end for row in tokens.encode([t or "" for t in texts[a:b]])]
+                ids = [row.tobytes() + end for row in tokens.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(ids, pa.binary())], names=[f.name for f in schema])
 
     return docs.select(*[docs[f"`{c}`"] for c in carry], docs[f"`{text_col}`"].alias("_text")).mapInArrow(run, schema)
 
 
 # ---- files --------------------------------------------------------------------------------------
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros(1, np.int64)
-    for batch in batches:
-        for row in batch.column(0):
-            found = np.bincount(np.frombuffer(row.as_buffer(), "<u4"))
+def _flat(ids: pa.Array, dtype: str) -> np.ndarray:
+    """All ids of a binary column in a row, without a copy."""
+    offsets = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset)
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(ids.buffers()[2], dtype, (offsets[-1] - offsets[0]) // size, offsets[0]) if len(ids) else np.empty(0, dtype)
+
+
+def _counted(ids: DataFrame, dtype: str) -> DataFrame:
+    """``id, n`` over all rows of a binary column; each task passes on at most the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(1, np.int64)
+        for batch in batches:
+            found = np.bincount(_flat(batch.column(0), dtype))
             if len(found) > len(totals):
                 totals, found = found, totals
             totals[: len(found)] += found
-    at = np.flatnonzero(totals)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at], pa.int64())], names=["id", "n"])
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at], pa.int64())], names=["id", "n"])
+
+    return ids.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _load_table(spark: SparkSession, folder: str) -> Frequencies:
@@ -274,7 +332,8 @@ def write_ids(
     folder = folder or work_folder(spark)
     plain = docs.select(docs[f"`{id_col}`"].alias("id"), F.monotonically_increasing_id().alias("at"), docs[f"`{text_col}`"].alias("text"))
     tokens = written(tokenize(plain, "text", ("id", "at"), tokenizer, end_id), "tokens")
-    counts = sorted(tokens.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect())
+    dtype = Tokens(tokenizer).dtype
+    counts = sorted(_counted(tokens.select("ids"), dtype).collect())  # at most the vocabulary
     table = Frequencies.scale([r["id"] for r in counts], [r["n"] for r in counts])
     spark.createDataFrame(
         [(int(i), int(w), table.bits) for i, w in zip(table.ids, table.width[table.ids], strict=True)] if counts else [], "id bigint, width bigint, bits int",
@@ -300,7 +359,7 @@ def write_ids(
         for batch in batches:
             id_type = batch.schema.field(0).type
             for key, raw in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), dtype)
                 skip = 0
                 while skip < len(ids):
                     take = ids[skip : skip + room]
@@ -327,14 +386,15 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.join(parts.select("part", "base"), "part").withColumn("start", F.col("base") + F.col("start")).select("start", "n_ids", "docs", "payload")
 
 
-def decoded(spark: SparkSession, folder: str) -> DataFrame:
+def _decoded(spark: SparkSession, folder: str, as_sums: bool) -> DataFrame:
     """One row per document and block: ``id``, ``start`` (of the document, over all), ``skip`` (ids in blocks before),
-    ``n_tokens`` (of the document) and ``ids`` (binary, of this block)."""
+    ``n`` (ids here), ``n_tokens`` (of the document), and ``ids`` here as binary or their CRC-32 ``crc``."""
     table = _load_table(spark, folder)
     sent = spark.sparkContext.broadcast((table.ids, table.width[table.ids] if len(table.ids) else [], table.bits))
     rows = _placed(spark, folder)
     id_field = rows.schema["docs"].dataType.elementType["id"]
-    schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in ("start", "skip", "n_tokens")], T.StructField("ids", T.BinaryType())])
+    last = T.StructField("crc", T.LongType()) if as_sums else T.StructField("ids", T.BinaryType())
+    schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in ("start", "skip", "n", "n_tokens")], last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Frequencies(*sent.value)
@@ -345,12 +405,18 @@ def decoded(spark: SparkSession, folder: str) -> DataFrame:
                 skip, n, n_tokens = (entries.field(k).to_numpy() for k in (1, 2, 3))
                 ends = np.cumsum(n)
                 begin = batch.column(0)[i].as_py() + ends - n - skip
-                raw = [ids[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([entries.field(0), pa.array(begin, pa.int64()), pa.array(skip), pa.array(n_tokens), pa.array(raw, pa.binary())], names=schema.names)
+                rows = (ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True))
+                made = pa.array([zlib.crc32(row) for row in rows], pa.int64()) if as_sums else pa.array([row.tobytes() for row in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([entries.field(0), pa.array(begin, pa.int64()), pa.array(skip), pa.array(n), pa.array(n_tokens), made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, start, skip, n, n_tokens, ids``: each document's ids (little-endian 32-bit), a row for each block that holds some."""
+    return _decoded(spark, folder, False)
+
+
 def read_range(spark: SparkSession, folder: str, first: int, last: int) -> np.ndarray:
     """Ids `first` to `last` (exclusive) of the whole stream. Only the blocks and segments that hold them are decoded; the
     caller asks for as many as fit the driver."""
@@ -390,25 +456,15 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     Documents within one block are summed where they are decoded; only those that span blocks are grouped, as sums.
     """
-    source = decoded(spark, folder)
-    schema = T.StructType([*source.schema[:4], T.StructField("n_bytes", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(4)
-            crcs = pa.array([zlib.crc32(r.as_buffer()) for r in ids], pa.int64())
-            sizes = pa.array([len(r.as_buffer()) for r in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sizes, crcs], names=schema.names)
-
-    pieces = written(source.mapInArrow(sums, schema), "pieces")
-    whole = F.col("n_bytes") == 4 * F.col("n_tokens")
-    result = T.StructType([*pieces.schema[:2], pieces.schema["n_tokens"], pieces.schema["ids_crc32"]])
+    pieces = written(_decoded(spark, folder, True), "pieces")
+    whole = F.col("n") == F.col("n_tokens")
+    result = T.StructType([*pieces.schema[:2], pieces.schema["n_tokens"], T.StructField("ids_crc32", T.LongType())])
 
     def joined(group: pa.Table) -> pa.Table:
         rows = group.sort_by("skip")
         crc = 0
-        for piece, n in zip(rows["ids_crc32"].to_pylist(), rows["n_bytes"].to_pylist(), strict=True):
-            crc = crc_join(crc, piece, n)
+        for piece, n in zip(rows["crc"].to_pylist(), rows["n"].to_pylist(), strict=True):
+            crc = crc_join(crc, piece, 4 * n)
         return pa.Table.from_arrays([rows[c].slice(0, 1) for c in ("id", "start", "n_tokens")] + [pa.array([crc], pa.int64())], names=result.names)
 
-    return pieces.where(whole).select(*result.names).union(pieces.where(~whole).groupBy("start").applyInArrow(joined, result))
+    return pieces.where(whole).select("id", "start", "n_tokens", F.col("crc").alias("ids_crc32")).union(pieces.where(~whole).groupBy("start").applyInArrow(joined, result))

@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantia.llm.common import written
 
@@ -334,8 +335,8 @@ def whiten(rows: DataFrame, vector_col: str = "embedding", carry: tuple[str, ...
     fit = written(usable.select("x").distinct(), "fit")
     n, s, m = scatter(fit)
     found = components(spark, m, characteristic_polynomial(spark, m), most) if n else []
-    base = rows.select(*[rows[f"`{c}`"] for c in carry]).schema
-    schema = base.add("component", "int").add("n", "bigint").add("deviation", "bigint").add("whitened", "double").add("explained", "double").add("identity_error", "double")
+    added = [("component", T.IntegerType()), ("n", T.LongType()), ("deviation", T.LongType()), *[(c, T.DoubleType()) for c in ("whitened", "explained", "identity_error")]]
+    schema = T.StructType([*rows.select(*[rows[f"`{c}`"] for c in carry]).schema, *[T.StructField(*pair) for pair in added]])
     if not found:
         return spark.createDataFrame([], schema)
     weights = np.array([v / math.sqrt(root) for root, _, v in found]).T
