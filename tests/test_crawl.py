@@ -144,6 +144,30 @@ def test_hourly_budget_with_ties_and_a_busy_hour(spark):
         assert got[i].next_slot_min == (-(-(min(inside) + 3_600_000_000 - us) // 60_000_000) if len(inside) > 100 else None)
 
 
+def test_hourly_budget_when_moments_span_partitions(spark):
+    """More partitions than moments: one moment, one key and one hour lie in many of them."""
+    import random
+
+    rng = random.Random(9)
+    hour = 3_600_000_000
+    times = [0, 1, hour - 1, hour, hour + 1, 2 * hour, 2 * hour + 1]
+    rows = [("hot", rng.choice(times)) for _ in range(900)] + [("a", t) for t in times for _ in range(3)] + [("z", 5)] * 40 + [("none", None)] * 4
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, key string, us bigint").withColumn("ts", F.timestamp_micros("us"))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.i: r for r in C.hourly_budget(df, max_per_hour=100).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(got) == len(rows)
+    for i, (key, us) in enumerate(rows):
+        inside = [t for k, t in rows if k == key and t is not None and us - hour < t <= us] if us is not None else []
+        assert got[i].demand == (len(inside) if us is not None else None)
+        assert got[i].next_slot_min == (-(-(min(inside) + hour - us) // 60_000_000) if len(inside) > 100 else None)
+
+
 def test_robots_by_host(spark):
     """Every host has its own file; the join gives what the one-host expression gives."""
     texts = {

@@ -15,12 +15,12 @@ def test_admission_does_not_depend_on_batches(spark, tmp_path):
         chunk = dealt[part::6] + ([end] if part == 5 else [])
         spark.createDataFrame(chunk, "key string, request_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
     results = []
-    for n in (1, 64):
+    for n, block in ((1, 7), (2, J.BLOCK), (64, 3), (64, J.BLOCK)):  # small blocks are split, and settled in part
         stream = J.read_stream(spark, str(tmp_path), "in", files_per_batch=n)
-        results.append({r.request_id: r for r in J.run_available(J.stream_budget(stream, max_per_hour=5, late="1 day")).collect()})
-    got = results[1]
-    assert results[0].keys() == got.keys() == {r[1] for r in rows}
-    assert all(tuple(results[0][i]) == tuple(got[i]) for i in got)
+        results.append({r.request_id: r for r in J.run_available(J.stream_budget(stream, max_per_hour=5, late="1 day", block=block)).collect()})
+    got = results[-1]
+    assert got.keys() == {r[1] for r in rows}
+    assert all(result.keys() == got.keys() and all(tuple(result[i]) == tuple(got[i]) for i in got) for result in results)
     admitted = {"a": [], "b": []}
     for key, i, s in sorted(rows, key=lambda r: (r[2], r[1])):
         recent = [t for t in admitted[key] if t > s - 3600]

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
+
+from vacantia.session import written
 
 # ---- fixed values: limits of a run --------------------------------------------------------------
 MAX_PAGES = 400
@@ -186,32 +193,92 @@ def _in_blocks(log: DataFrame, us: str, reach: int, width: int) -> DataFrame:
     return log.select("*", F.inline(places))
 
 
+#: What the scan adds to a row, and what it tells of a partition (`_sum` is null on rows).
+_SCAN = {
+    "_part": pa.int32(), "_later": pa.int64(), "_head": pa.bool_(), "_next": pa.int64(),
+    "_sum": pa.int64(), "_tail": pa.int64(), "_whole": pa.bool_(), "_last_t": pa.int64(), "_last_key": pa.string(),
+}
+
+
+def _scan_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A pass over changes (``_key, _t, _d`` first, then the columns of a request) in descending order.
+
+    Each arrival gets ``_later``, the sum of the changes after its moment within the partition, and ``_next``, the
+    departure that follows it; ``_head`` marks the moment with which the partition begins, which the partition before
+    may share. A last row tells the partition's sum, its last moment, and the sum where that began.
+    """
+    part = TaskContext.get().partitionId()
+    total, at_moment, moment, departure, first, types = 0, 0, None, None, None, {}
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, t, d, index = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.arange(n)
+        codes, opening = keys.dictionary_encode().indices.to_numpy(), (keys[0].as_py(), int(t[0]))
+        new = np.append(moment != opening, (codes[1:] != codes[:-1]) | (t[1:] != t[:-1]))
+        before = total + np.cumsum(d) - d
+        began = np.maximum.accumulate(np.where(new, index, -1))  # the row with which each row's moment began
+        later = np.where(began < 0, at_moment, before[began])
+        gone = np.maximum.accumulate(np.where(d < 0, index, -1))  # the last departure up to each row
+        following = pa.array(np.where(gone < 0, departure or 0, t[gone]), mask=(gone < 0) & (departure is None))
+        first = first or opening
+        in_head = opening == first and moment in (None, first)
+        head = np.logical_and.accumulate(~new | (index == 0)) if in_head else np.zeros(n, bool)
+        total, at_moment, moment = int(before[-1] + d[-1]), int(later[-1]), (keys[n - 1].as_py(), int(t[-1]))
+        departure = following[n - 1].as_py()
+        arrived = pa.array(np.flatnonzero(d > 0))
+        kept = [c for i, c in enumerate(batch.columns) if i != 2]
+        types = {f.name: f.type for i, f in enumerate(batch.schema) if i != 2} | _SCAN
+        made = [pa.array(np.full(n, part, np.int32)), pa.array(later), pa.array(head), following, *[pa.nulls(n, types[c]) for c in list(_SCAN)[4:]]]
+        yield pa.RecordBatch.from_arrays([c.take(arrived) for c in [*kept, *made]], names=list(types))
+    if first is not None:
+        facts = {"_key": first[0], "_t": first[1], "_part": part, "_sum": total, "_tail": at_moment, "_whole": moment == first, "_last_t": moment[1], "_last_key": moment[0], "_next": departure}
+        yield pa.RecordBatch.from_arrays([pa.array([facts.get(name)], kind) for name, kind in types.items()], names=list(types))
+
+
 def hourly_budget(log: DataFrame, *, key: str = "key", ts: str = "ts", max_per_hour: int = MAX_PER_HOUR) -> DataFrame:
     """Per request: demand in the trailing hour (itself included), whether that is over budget, and the
     minutes until the oldest request of the hour leaves the window.
 
-    Demand is a running total of arrivals and departures an hour later, so the work is linear in the requests, and no
-    task needs a whole key or a whole hour of one. The oldest request still in the window is the one whose rank is the
-    request's own less the demand. Requests without a time have no demand.
+    Every request arrives once and departs an hour later. Demand is what has arrived and not departed; as all departs
+    in the end, that is what departs later less what arrives later. So one pass over the changes, ranged over
+    the partitions by key and time and sorted backwards, gives it: each partition sums its own changes, the sums of the
+    partitions (one row each) are added once, and no row is joined to another. The next departure is that of the oldest request in the hour. A busy key or hour spans
+    as many partitions as its rows need. Requests without a time have no demand.
 
     This counts demand; which requests an exact limiter admits depends on earlier refusals and is the
     stateful `stream_budget`.
     """
-    cap = min(max_per_hour, MAX_PER_HOUR)
-    rows = log.withColumn("_us", micros(F.col(ts))).withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("\0")))
-    times = rows.where("_us is not null").groupBy("_key", "_us").agg(F.count("*").alias("_n"))
-    width = 1 << 21  # two seconds a block
-    ranked = running_total(times, "_us", "_n", "_rank", by=["_key"], width=width)
-    changes = times.union(times.select("_key", F.col("_us") + HOUR_US, -F.col("_n"))).groupBy("_key", "_us").agg(F.sum("_n").alias("_d"))
-    demand = running_total(changes, "_us", "_d", "demand", by=["_key"], width=width).select("_key", "_us", "demand")
-    oldest = ranked.select("_key", (F.col("_rank") - F.col("_n")).alias("_start"), F.col("_us").alias("_oldest"))
-    known = ranked.join(demand, ["_key", "_us"]).withColumn("_start", F.col("_rank") - F.col("demand")).join(oldest, ["_key", "_start"]).select("_key", "_us", "demand", "_oldest")
-    return (
-        rows.join(known, ["_key", "_us"], "left").withColumn("over_budget", F.col("demand") > cap)
-        .withColumn("next_slot_min", F.when(
-            F.col("over_budget"), F.ceil((F.col("_oldest") + HOUR_US - F.col("_us")) / 60_000_000)))
-        .select(*log.columns, "demand", "over_budget", "next_slot_min")
+    cap, names = min(max_per_hour, MAX_PER_HOUR), [f"_c{i}" for i in range(len(log.columns))]
+    plain = log.toDF(*names)
+    rows = plain.withColumns({"_t": micros(F.col(names[log.columns.index(ts)])), "_key": F.coalesce(F.col(names[log.columns.index(key)]).cast("string"), F.lit("\0"))})
+    known = rows.where("_t is not null")
+    arrivals = known.select("_key", "_t", F.lit(1).cast("bigint").alias("_d"), *names)
+    departures = known.select("_key", (F.col("_t") + HOUR_US).alias("_t"), F.lit(-1).cast("bigint").alias("_d"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in plain.schema])
+    changes = arrivals.union(departures)
+    # backwards; of one moment the arrivals first, as departures count before them
+    order = [F.desc("_key"), F.desc("_t"), F.desc("_d")]
+    ranged = changes.repartitionByRange(*order, F.xxhash64(*names)).sortWithinPartitions(*order)
+    schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_t", T.LongType()), *plain.schema, *[T.StructField(name, from_arrow_type(kind)) for name, kind in _SCAN.items()]])
+    scanned = written(ranged.mapInArrow(_scan_changes, schema), "demand")
+    parts = sorted(scanned.where("_sum is not null").select("_part", "_key", "_t", "_sum", "_tail", "_whole", "_last_key", "_last_t", "_next").collect())
+    bases, base, began, last, departure = [], 0, 0, None, None
+    for p in parts:  # one row per partition
+        shared = last == (p["_key"], p["_t"])
+        head = began if shared else base
+        bases.append((p["_part"], base, head, departure))
+        began = head if p["_whole"] and shared else base + p["_tail"]
+        base, last, departure = base + p["_sum"], (p["_last_key"], p["_last_t"]), p["_next"] if p["_next"] is not None else departure
+    placed = log.sparkSession.createDataFrame(bases, "_part int, _base bigint, _head_base bigint, _carried bigint")
+    demand = -(F.col("_later") + F.when(F.col("_head"), F.col("_head_base")).otherwise(F.col("_base")))
+    over = F.col("demand") > cap
+    found = (
+        scanned.where("_sum is null").join(F.broadcast(placed), "_part").withColumn("demand", demand).withColumn("over_budget", over)
+        .withColumn("next_slot_min", F.when(over, F.ceil((F.coalesce("_next", "_carried") - F.col("_t")) / 60_000_000)))
+        .select(*names, "demand", "over_budget", "next_slot_min")
     )
+    untimed = rows.where("_t is null").select(*names, *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema[-3:]])
+    return found.union(untimed).toDF(*log.columns, "demand", "over_budget", "next_slot_min")
 
 
 def spacing_violations(log: DataFrame, *, key: str = "key", ts: str = "ts", min_gap_s: float = 1.5) -> DataFrame:

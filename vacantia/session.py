@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job here expects; a cluster session may set any of them itself.
 SETTINGS = {
@@ -53,6 +53,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the folder all executors share, and read back: what follows never repeats what came before."""
+    path = f"{work_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python workers import it by name; once per application."""
     context = spark.sparkContext

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,60 +18,110 @@ from vacantia.operators.crawl import HOUR_US, MAX_PER_HOUR, micros
 from vacantia.session import work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = T.StructType([T.StructField("us", T.LongType())])
-PENDING = T.StructType([T.StructField("us", T.LongType()), T.StructField("request_id", T.LongType())])
+PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
+PLACE = T.StructType([T.StructField("us", T.LongType()), T.StructField("request_id", T.LongType())])
 ADMISSION = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("request_id", T.LongType()), T.StructField("us", T.LongType()),
     T.StructField("admitted", T.BooleanType()), T.StructField("used", T.IntegerType()), T.StructField("next_slot_min", T.IntegerType()),
 ])
+#: Waiting requests in one block of state (up to twice as many before it is split), and requests taken from a batch at once.
+BLOCK, AT_ONCE = 4096, 65_536
+_admission = Row(*ADMISSION.names)
+
+
+def _pack(rows: Sequence[int] | np.ndarray) -> tuple[bytes]:
+    return (np.asarray(rows, "<i8").tobytes(),)
 
 
 class HourlyAdmission(StatefulProcessor):
     """Rolling-hour budget of one key, decided in event-time order whatever the batches.
 
     Requests wait until the watermark has passed them. Then they are taken in order of time and id, so the answers
-    don't depend on how files fell into batches. The state is what waits (as much as the lateness allows) and the
-    admitted requests of the last hour (never more than the budget); a timer clears a key an hour after its last.
+    don't depend on how files fell into batches. What waits (as much as the lateness allows) lies in blocks of requests
+    that follow each other in time, named in a directory by their first request. A new request touches its own block; a timer
+    reads the blocks it settles, one after the other, and rewrites at most the one it stops in. So a busy key costs a
+    task one block, the directory (a few bytes per block) and the admitted requests of the last hour (never more than
+    the budget). One timer is set per key, for its first waiting request, or else an hour after its last admitted one.
     """
 
-    def __init__(self, max_per_hour: int) -> None:
-        self.max_per_hour = max_per_hour
+    def __init__(self, max_per_hour: int, block: int = BLOCK) -> None:
+        self.max_per_hour, self.block = max_per_hour, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", STATE)
-        self.waiting = handle.getListState("waiting", PENDING)
+        self.recent = handle.getValueState("recent", PACKED)
+        self.directory = handle.getValueState("directory", PACKED)
+        self.waiting = handle.getMapState("waiting", PLACE, PACKED)
+
+    @staticmethod
+    def _unpacked(value: tuple | None, width: int) -> np.ndarray:
+        return np.frombuffer(value[0] if value else b"", "<i8").reshape(-1, width)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [(row.us, row.request_id) for row in rows]
-        self.waiting.appendList(fresh)
-        self.handle.registerTimer(min(us for us, _ in fresh) // 1000 + 1)
+        starts = self._unpacked(self.directory.get(), 2).tolist()
+        head = starts[0] if starts else None
+        pairs = ([row.us, row.request_id] for row in rows)
+        while fresh := sorted(islice(pairs, AT_ONCE)):
+            self._insert(starts, fresh)
+        if head is None or starts[0] < head:
+            self.handle.registerTimer(starts[0][0] // 1000 + 1)
+        self.directory.update(_pack(starts))
         return iter(())
 
+    def _insert(self, starts: list[list[int]], fresh: list[list[int]]) -> None:
+        """Put sorted requests into their blocks, splitting those that grow too long; `starts` follows."""
+        end = len(fresh)
+        for at in range(max(len(starts) - 1, 0), -1, -1):  # from the last block back, so that places in `starts` hold
+            begin = bisect_left(fresh, starts[at], 0, end) if at else 0
+            if begin == end:
+                continue
+            name = tuple(starts[at]) if starts else None
+            held = self._unpacked(self.waiting.getValue(name), 2).tolist() if name else []
+            merged = sorted(held + fresh[begin:end]) if held else fresh[begin:end]
+            size = self.block if len(merged) > 2 * self.block else len(merged)
+            pieces = [merged[i : i + size] for i in range(0, len(merged), size)]
+            if name and name != tuple(merged[0]):
+                self.waiting.removeKey(name)
+            for piece in pieces:
+                self.waiting.updateValue(tuple(piece[0]), _pack(piece))
+            starts[at : at + 1] = [piece[0] for piece in pieces]
+            end = begin
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
-        recent = sorted(row[0] for row in self.recent.get()) if self.recent.exists() else []
-        # a request at `us` is settled once the watermark has passed its whole millisecond
-        ready = [w for w in waiting if w[0] // 1000 * 1000 + 1000 <= mark]
-        left = waiting[len(ready):]
-        for us, request_id in ready:
-            recent = [t for t in recent if t > us - HOUR_US]
-            admitted = len(recent) < self.max_per_hour
-            minutes = None if admitted else math.ceil((recent[0] + HOUR_US - us) / 60_000_000)
-            if admitted:
-                recent.append(us)
-            yield Row(key=key[0], request_id=request_id, us=us, admitted=admitted, used=len(recent), next_slot_min=minutes)
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        mark = timerValues.getCurrentWatermarkInMs()
+        settled = mark * 1000 - 1000  # a request is settled once the watermark has passed its whole millisecond
+        starts = self._unpacked(self.directory.get(), 2).tolist()
+        recent = deque(self._unpacked(self.recent.get(), 1)[:, 0].tolist())
+        read = 0
+        while read < len(starts) and starts[read][0] // 1000 * 1000 <= settled:
+            name = tuple(starts[read])
+            block = self._unpacked(self.waiting.getValue(name), 2)
+            n = int(np.searchsorted(block[:, 0] // 1000 * 1000, settled, side="right"))
+            for us, request_id in block[:n].tolist():
+                while recent and recent[0] <= us - HOUR_US:
+                    recent.popleft()
+                admitted = len(recent) < self.max_per_hour
+                minutes = None if admitted else math.ceil((recent[0] + HOUR_US - us) / 60_000_000)
+                if admitted:
+                    recent.append(us)
+                yield _admission(key[0], request_id, us, admitted, len(recent), minutes)
+            self.waiting.removeKey(name)
+            if n < len(block):
+                self.waiting.updateValue(tuple(block[n].tolist()), _pack(block[n:]))
+                starts[read] = block[n].tolist()
+                break
+            read += 1
+        if read < len(starts):
+            self.directory.update(_pack(starts[read:]))
+            self.handle.registerTimer(starts[read][0] // 1000 + 1)
         else:
-            self.waiting.clear()
-            recent = [t for t in recent if t > mark - HOUR_US]
+            self.directory.clear()
+            while recent and recent[0] <= mark * 1000 - HOUR_US:
+                recent.popleft()
             if recent:
                 self.handle.registerTimer((recent[-1] + HOUR_US) // 1000 + 1)
         if recent:
-            self.recent.put([(t,) for t in recent])
+            self.recent.update(_pack(recent))
         else:
             self.recent.clear()
 
@@ -75,17 +129,17 @@ class HourlyAdmission(StatefulProcessor):
         pass
 
 
-def stream_budget(stream: DataFrame, *, key: str = "key", request: str = "request_id", ts: str = "ts", max_per_hour: int = MAX_PER_HOUR, late: str = "1 day") -> DataFrame:
+def stream_budget(stream: DataFrame, *, key: str = "key", request: str = "request_id", ts: str = "ts", max_per_hour: int = MAX_PER_HOUR, late: str = "1 day", block: int = BLOCK) -> DataFrame:
     """Each request admitted or refused by the rolling-hour budget of its key, in event-time order.
 
     `late` is how far a request may arrive behind the newest one; a decision is emitted once the watermark, that far
-    behind, has passed it. The state store must be RocksDB (`run_available` sees to that).
+    behind, has passed it. `block` is the number of waiting requests of a key held in memory at once. The state store must be RocksDB (`run_available` sees to that).
     """
     timed = stream.select(
         F.col(key).cast("string").alias("key"), F.col(request).cast("bigint").alias("request_id"), micros(F.col(ts)).alias("us"),
         F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
     return timed.groupBy("key").transformWithState(
-        statefulProcessor=HourlyAdmission(min(max_per_hour, MAX_PER_HOUR)), outputStructType=ADMISSION, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=HourlyAdmission(min(max_per_hour, MAX_PER_HOUR), block), outputStructType=ADMISSION, outputMode="Append", timeMode="EventTime")
 
 
 def stream_offers(stream: DataFrame, *, key: str = "slug", ts: str = "ts", order: list[str] | None = None, horizon: str = "1 day", late: str = "1 hour") -> DataFrame:
