@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.folding import fold, fold_literal
+from vacantia.operators.paging import SHALLOW, seek, sort_keys
 
 # ---- fixed values: enums and limits -------------------------------------------------------------
 JOB_TYPES = ("full_time", "part_time", "contractor", "intern", "per_diem", "other")
@@ -144,19 +145,15 @@ def search_offers(offers: DataFrame, query: SearchQuery, today: Column) -> DataF
 RELEVANCE = ("hits desc", "posted_at desc", "slug asc")
 
 
-def _sort_keys(order: Sequence[str]) -> list[Column]:
-    return [F.col(o.split()[0]).desc_nulls_last() if o.endswith("desc") else F.col(o.split()[0]).asc_nulls_last() for o in order]
-
-
 def served_pages(
-    found: DataFrame, order: Sequence[str], *, first_page: int = 1, per_page: int = PAGE_SIZE, pages: int = PAGES_PER_CALL,
+    found: DataFrame, order: Sequence[str], *, first_page: int = 1, per_page: int = PAGE_SIZE, pages: int = PAGES_PER_CALL, shallow: int = SHALLOW,
 ) -> DataFrame:
     """Pages `first_page` … of an ordered result, as a site serves them: ``page``, ``pos`` (0-based).
 
-    A top-k that skips the pages before the first; only the rows of the pages served are numbered.
+    A top-k, or behind `shallow` rows a seek by ranges of the sort columns; only the rows of the pages served are numbered.
     """
-    top = found.orderBy(*_sort_keys(order)).offset((first_page - 1) * per_page).limit(pages * per_page)
-    number = F.row_number().over(Window.orderBy(*_sort_keys(order))) - 1
+    top = seek(found, order, (first_page - 1) * per_page, pages * per_page, shallow=shallow)
+    number = F.row_number().over(Window.orderBy(*sort_keys(order))) - 1
     return (
         top.withColumn("_n", number).withColumn("page", F.floor(F.col("_n") / per_page).cast("int") + first_page)
         .withColumn("pos", (F.col("_n") % per_page).cast("int")).drop("_n")
@@ -466,7 +463,7 @@ def company_profile(companies: DataFrame, offers: DataFrame, slug: str, *, page:
     total = theirs.count()
     served = min(_bounded("page", page, 1), max(1, -(-total // size)))
     start = (served - 1) * size
-    top = theirs.orderBy(*_sort_keys(order)).offset(start).limit(size).withColumn("pos", F.row_number().over(Window.orderBy(*_sort_keys(order))) - 1 + start)
+    top = seek(theirs, order, start, size).withColumn("pos", F.row_number().over(Window.orderBy(*sort_keys(order))) - 1 + start)
     listed = top.agg(F.array_sort(F.collect_list(F.struct("pos", F.col("slug").alias("offer_slug"), "title")))).scalar()
     head = companies.where(F.col("slug") == slug).select(F.col("slug").alias("company_slug"), "name", "location")
     known = head.withColumns({"active_offers": F.lit(total).cast("bigint"), "page": F.lit(served), "_listed": listed})
