@@ -35,7 +35,7 @@ from vacantia.session import work_folder
 #: Ids in a block and between checkpoints, most lanes, and the coder's lower state bound.
 BLOCK, SEGMENT, LANES, LOW = 1 << 20, 1 << 18, 1024, np.uint64(1 << 31)
 #: Distinct pieces a worker remembers before it starts anew, and bytes of text tokenised at once.
-PIECES, BYTES = 400_000, 1_000_000
+PIECES, BYTES = 500_000, 4_000_000
 HEAD = struct.Struct("<4sHHIIQI")
 MAGIC, VERSION = b"RANS", 1
 _WORD32 = np.uint64(32)
@@ -152,23 +152,15 @@ def _decode(stream: np.ndarray, place: int, state: np.ndarray, n: int, table: Fr
 
 
 # ---- tokens -------------------------------------------------------------------------------------
-#: Runs without white space, each with the blank before it, and white space as a byte-level pre-tokeniser divides it. Control
-#: characters that only Python counts as white space are left to the tokenizer.
-_PIECE, _OTHER, _ADJACENT = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile("[\0\x1c-\x1f]"), re.compile(r"\s\s")
+#: Runs without white space, each with the blank before it, and white space as a byte-level pre-tokeniser divides it.
+_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: White space side by side, or other than blanks and line ends; the last four count as white space only here, not in the tokenizer.
+_ADJACENT, _SPACES, _CONTROLS = ("  ", "\n\n", " \n", "\n "), "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", "\0\x1c\x1d\x1e\x1f"
 #: A word and signs behind it, always tokens of their own (but for an apostrophe, which may begin a contraction).
 _TAILED = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)")
 _loaded: dict[str | None, Tokens] = {}
 
 
-def _pieces(text: str) -> list[str]:
-    """`text` in pieces whose tokens do not depend on their neighbours."""
-    if not text:
-        return []
-    if _ADJACENT.search(text):
-        return _PIECE.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-
 class Tokens:
     """A tokenizer that encodes each distinct piece of text once. Texts with a special token's string are encoded whole."""
 
@@ -237,23 +229,37 @@ class Tokens:
             ids, ends = self._gather(np.array(halves))
             self._append(np.array(tailed), ids, np.diff(ends[1::2], prepend=0))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text (none may be null).
+
+        A piece is a run without white space with the blank before it, or a line end; each different one is looked up
+        once. Texts with other white space are divided by a pattern, and those with control characters or special tokens encoded whole.
+        """
         if self.newline is None:
-            return self._whole(texts)
+            return self._whole(texts.to_pylist())
         if len(self.place) > PIECES:  # keep what was used more than once, but not more than half
             often = np.flatnonzero(self.used > max(1, int(np.partition(self.used, -(PIECES // 2))[-(PIECES // 2)])))
             names = list(self.place)
             self._forget([names[i] for i in often.tolist()], self._gather(often)[0], self.size[often])
-        hard = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(s in t for s in self.special)]
-        whole = dict(zip(hard, self._whole([texts[i] for i in hard]), strict=True))
-        pieces = [[] if i in whole else list(map(self.place.__getitem__, _pieces(t))) for i, t in enumerate(texts)]
+        plain = texts.to_pylist()
+        whole = [i for i, t in enumerate(plain) if any(c in t for c in _CONTROLS) or any(c in t for c in self.special)]
+        spaced = [i for i, t in enumerate(plain) if any(c in t for c in _ADJACENT) or any(c in t for c in _SPACES)]
+        given = dict(zip(whole, self._whole([plain[i] for i in whole]), strict=True))
+        odd = {i: list(map(self.place.__getitem__, _PIECE.findall(plain[i]))) for i in spaced if i not in given}
+        easy = np.ones(len(plain), bool)
+        easy[whole + spaced] = False
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts.filter(pa.array(easy)), " ", "\0 "), "\n", "\0\n\0"), "\0")
+        coded = split.flatten().dictionary_encode()
+        names = np.fromiter(map(self.place.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         self._learn()
-        flat = np.fromiter(chain.from_iterable(pieces), np.int64, sum(map(len, pieces)))
+        flat = np.concatenate([names[coded.indices.to_numpy()], np.fromiter(chain.from_iterable(odd.values()), np.int64)])
         self.used += np.bincount(flat, minlength=len(self.used))
         ids, ends = self._gather(flat)
-        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, pieces)])]
-        return [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        counts = np.concatenate([pc.list_value_length(split).to_numpy(zero_copy_only=False), np.fromiter(map(len, odd.values()), np.int64)]).astype(np.int64)
+        bounds = np.concatenate(([0], ends))[np.cumsum(np.append(0, counts))].tolist()
+        for k, i in enumerate(chain(np.flatnonzero(easy).tolist(), odd)):
+            given[i] = ids[bounds[k] : bounds[k + 1]]
+        return [given[i] for i in range(len(plain))]
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -283,7 +289,7 @@ def tokenize(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("d
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b in _slices(texts):
-                ids = [row.tobytes() + end for row in tokens.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])]
+                ids = [row.tobytes() + end for row in tokens.encode(pc.fill_null(texts.slice(a, b - a), ""))]
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(ids, pa.binary())], names=[f.name for f in schema])
 
     return docs.select(*[docs[f"`{c}`"] for c in carry], docs[f"`{text_col}`"].alias("_text")).mapInArrow(run, schema)
