@@ -119,6 +119,9 @@ def test_unique_labels_step_around_taken_names(spark):
     random.seed(3)
     pool = ["x", "x (2)", "x (2) (2)", "x (3)", "", "(no label)", " (2)", "y", "y (02)"]
     records = {1: ["x", "x", "x (2)"], 2: ["x (2)", "x", "x"], 3: [random.choice(pool) for _ in range(60)], 4: ["", "(no label)", ""], 5: ["y"] * 5}
+    numbers = [f"x ({n})" for n in range(12)] + ["x (4) (2)", "x (99999999999999999999)"]
+    records |= {k: [random.choice(["x", "x", "x", *numbers]) for _ in range(random.randrange(1, 50))] for k in range(6, 40)}
+    records |= {40: ["(no label)", "", ""], 41: [None, ""], 42: ["x"] * 10 + [f"x ({n})" for n in range(9, 30)] + ["x"] * 30}
     rows = [(record, pos, label) for record, labels in records.items() for pos, label in enumerate(labels)]
     got = {(r.record, r.pos): r.unique_label for r in A.unique_labels(spark.createDataFrame(rows, "record int, pos int, label string")).collect()}
     for record, labels in records.items():
@@ -126,6 +129,6 @@ def test_unique_labels_step_around_taken_names(spark):
         for label in labels:
             name, n = label or "(no label)", 2
             while name in taken:
-                name, n = f"{label} ({n})", n + 1
+                name, n = f"{label or ''} ({n})", n + 1
             taken.append(name)
         assert [got[record, i] for i in range(len(labels))] == taken

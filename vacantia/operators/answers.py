@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.folding import let, normalize, normalize_literal
 from vacantia.functions.text import clip_collapsed, clip_form, digits_only
 from vacantia.functions.urls import build_url
 from vacantia.operators.crawl import running_total
+from vacantia.session import written
 
 # ---- fixed values: question rules, headings and texts the results must equal ---------------------
 PROFILE_KEYS = ("titulo", "experiencia", "comuna", "idioma", "edad", "licencia", "movilizacion")
@@ -177,36 +177,79 @@ def unique_in_record(labels: Column) -> Column:
     return F.aggregate(labels, F.array().cast("array<string>"), add)
 
 
+#: A name that a repeat of another label may take: that label, and its number.
+_NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]+)\)$"
+_KEY = ["_record", "_label"]
+
+
+def _passed_over(own: Column, children: Column) -> Column:
+    """Of a label's literal names `children` (``number, rank``, by number): ``(number, child, passed)``.
+
+    The repeats of a label take its numbers in turn. When they come to a number, the repeat whose turn it is passes it over if the
+    literal has come before it, that is if fewer repeats came before the literal (`rank`) than have had their turn.
+    """
+    turn = lambda state, c: c["number"] - 1 - state["passed"] > F.greatest(c["rank"] - own, F.lit(0))
+    start = F.struct(F.lit(0).cast("bigint").alias("passed"), F.lit("").alias("marks"))
+
+    def step(state: Column, c: Column) -> Column:
+        return F.when(turn(state, c), F.struct((state["passed"] + 1).alias("passed"), F.concat(state["marks"], F.lit("1")).alias("marks"))).otherwise(
+            F.struct(state["passed"].alias("passed"), F.concat(state["marks"], F.lit("0")).alias("marks")))
+
+    return let(F.split(F.aggregate(children, start, step)["marks"], ""), lambda marks: F.transform(
+        children, lambda c, i: F.struct(c["number"].alias("number"), c["child"].alias("child"), (F.get(marks, i) == "1").alias("passed"))))
+
+
 def unique_labels(df: DataFrame, *, record: str = "record", label: str = "label", pos: str = "pos") -> DataFrame:
-    """Row form of :func:`unique_in_record` for records of any size, in `pos` order.
+    """Row form of :func:`unique_in_record` for records of any size, in `pos` order (integers, unique in a record).
 
-    Only labels that differ by endings such as `` (2)`` can take each other's names. Where a record has one such label
-    only, its repeats are numbered by a blocked running count; the few mixed ones are walked through in order.
+    The k-th repeat of a label takes the k-th of the numbers 2, 3 … that no literal label such as ``x (2)`` has taken
+    before it. Rows are ranked within their label by a blocked running count, which also ranks the first row of each literal among
+    the repeats it competes with; what is passed over is decided on the different labels only, outer labels first, and counted by a second running
+    count. A record or label with any share of the rows is split; what must fit one row is a label's list of different literal names.
+    A null label counts as empty.
     """
-    bare = F.regexp_replace(label, r"(?: \([0-9]+\))+$", "")
-    rows = df.withColumn("_root", F.when(bare == "", NO_LABEL).otherwise(bare))
-    mixed = rows.groupBy(record, "_root").agg((F.min(label) != F.max(label)).alias("_mixed"))
-    marked = rows.join(mixed, [record, "_root"]).withColumn("unique_label", F.lit(None).cast("string"))
-    numbered = running_total(marked.where(~F.col("_mixed")).withColumn("_one", F.lit(1)), pos, "_one", "_n", by=[record, label])
-    name = F.when(F.col("_n") > 1, F.concat(F.col(label), F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).when(
-        F.col(label) == "", NO_LABEL).otherwise(F.col(label))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        taken: set[str] = set()
-        following: dict[str, int] = {}
-        names = []
-        for text in pdf[label]:
-            free = text or NO_LABEL
-            while free in taken:
-                following[text] = following.get(text, 1) + 1
-                free = f"{text} ({following[text]})"
-            taken.add(free)
-            names.append(free)
-        return pdf.assign(unique_label=names)
-
-    walked = marked.where("_mixed").groupBy(record, "_root").applyInPandas(walk, marked.schema)
-    return numbered.withColumn("unique_label", name).drop("_one", "_n").unionByName(walked).drop("_root", "_mixed").select(*df.columns, "unique_label")
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    text = F.coalesce(F.col(names[df.columns.index(label)]), F.lit(""))
+    rows = plain.select("*", F.coalesce(F.col(names[df.columns.index(record)]).cast("string"), F.lit("\0")).alias("_record"), text.alias("_label"), F.col(names[df.columns.index(pos)]).alias("_pos"))
+    base = F.when(F.col("_label") == "", NO_LABEL).otherwise(F.col("_label"))
+    labels = written(rows.groupBy(*_KEY).agg(F.min("_pos").alias("_first")), "labels")
+    number = F.regexp_extract("_label", _NUMBERED, 2).try_cast("bigint")
+    literals = labels.select("_record", F.regexp_extract("_label", _NUMBERED, 1).alias("_parent"), F.col("_label").alias("_child"), number.alias("_number"), F.col("_first").alias("_pos")).where("_number is not null")
+    links = literals.join(labels.select("_record", F.col("_label").alias("_parent")), ["_record", "_parent"]).withColumnRenamed("_parent", "_label")
+    events = rows.withColumns({"_one": F.lit(1), "_number": F.lit(None).cast("bigint"), "_child": F.lit(None).cast("string")}).unionByName(
+        links.withColumn("_one", F.lit(0)), allowMissingColumns=True)
+    ranked = written(running_total(events, "_pos", "_one", "_rank", by=_KEY), "ranked")
+    children = written(
+        ranked.where("_one = 0").groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("_number").alias("number"), F.col("_rank").alias("rank"), F.col("_child").alias("child")))).alias("_children")),
+        "children")
+    # the empty label and its stand-in share one name
+    first_of_name = F.min("_first").over(Window.partitionBy("_record", base))
+    outer = labels.withColumn("_own", (F.col("_first") == first_of_name).cast("int")).join(children.select("_record", F.inline("_children")).select("_record", F.col("child").alias("_label")), _KEY, "left_anti")
+    level = written(outer.select(*_KEY, "_own"), "level")
+    owners, gaps = level, None
+    while True:
+        scanned = written(level.join(children, _KEY).select(*_KEY, _passed_over(F.col("_own"), F.col("_children")).alias("_scanned")), "scanned")
+        if not scanned.take(1):
+            break
+        level = scanned.select("_record", F.inline("_scanned")).select("_record", F.col("child").alias("_label"), F.col("passed").cast("int").alias("_own"))
+        # the i-th number passed over (from 0) comes before every repeat from the (number - i - 1)-th on
+        passed = F.transform(F.filter("_scanned", lambda c: c["passed"]), lambda c, i: c["number"] - i - 1)
+        found = scanned.select(*_KEY, F.explode(passed).alias("_from")).groupBy(*_KEY, "_from").agg(F.count("*").alias("_gap"))
+        owners, gaps = owners.union(level), found if gaps is None else gaps.union(found)
+    # a label's first row keeps its name, unless a repeat of another label has it
+    turns = ranked.where("_one = 1").join(owners, _KEY).withColumn("_turn", F.col("_rank") - F.col("_own")).select(*names, *_KEY, "_turn")
+    if gaps is not None:
+        gaps = written(gaps, "gaps")
+        split = turns.join(gaps.select(*_KEY).distinct().withColumn("_gapped", F.lit(True)), _KEY, "left")
+        both = split.where("_gapped").select(*names, *_KEY, "_turn", (2 * F.col("_turn") + 1).alias("_at"), F.lit(0).cast("bigint").alias("_gap")).unionByName(
+            gaps.select(*_KEY, (2 * F.col("_from")).alias("_at"), "_gap"), allowMissingColumns=True)
+        counted = running_total(both, "_at", "_gap", "_over", by=_KEY).where("_turn is not null")
+        turns = split.where("_gapped is null").select(*names, *_KEY, "_turn", F.lit(0).cast("bigint").alias("_over")).unionByName(counted.select(*names, *_KEY, "_turn", "_over"))
+    else:
+        turns = turns.withColumn("_over", F.lit(0))
+    numbered = F.concat("_label", F.lit(" ("), (F.col("_turn") + 1 + F.col("_over")).cast("string"), F.lit(")"))
+    return turns.select(*names, F.when(F.col("_turn") == 0, base).otherwise(numbered)).toDF(*df.columns, "unique_label")
 
 
 def review_queue(targets: DataFrame, prefilled: DataFrame, *, slug: str = "slug", pos: str = "pos") -> DataFrame:

@@ -153,14 +153,18 @@ def r16_unique_labels(spark, folder):
 
 
 @query("r16_mixed_labels", """
-WITH t AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 = 0 AS literal, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 = 0 ORDER BY o_orderkey) AS n FROM orders)
-SELECT o_custkey AS record, count(*) AS labels, count(*) AS names, count(*) FILTER (WHERE literal) AS literals FROM t GROUP BY 1""")
+WITH t AS (SELECT o_custkey AS record, o_orderkey AS pos, CASE WHEN o_orderkey % 4 = 0 THEN 'x (2)' ELSE 'x' END AS label FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY record, label ORDER BY pos) AS n FROM t),
+f AS (SELECT record, min(pos) FILTER (WHERE label = 'x (2)') AS literal, min(pos) FILTER (WHERE label = 'x' AND n = 2) AS second FROM r GROUP BY record)
+SELECT r.record, pos, CASE
+  WHEN label = 'x' AND n = 1 THEN 'x' WHEN label = 'x' THEN 'x (' || n + CASE WHEN literal < second THEN 1 ELSE 0 END || ')'
+  WHEN second IS NULL OR literal < second THEN CASE WHEN n = 1 THEN 'x (2)' ELSE 'x (2) (' || n || ')' END ELSE 'x (2) (' || n + 1 || ')' END AS unique_label
+FROM r JOIN f USING (record)""")
 def r16_mixed_labels(spark, folder):
-    """Records where every fourth label is the literal name of a repeat: all names differ."""
+    """Records where every fourth label is the literal name of a repeat, before or after that repeat comes."""
     k = F.col("o_orderkey")
     rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("record"), k.alias("pos"), F.when(k % 4 == 0, "x (2)").otherwise("x").alias("label"))
-    return an.unique_labels(rows).groupBy("record").agg(
-        F.count("*").alias("labels"), F.count_distinct("unique_label").alias("names"), F.count_if(F.col("label") == "x (2)").alias("literals"))
+    return an.unique_labels(rows).select("record", "pos", "unique_label")
 
 
 CV_TEXT = """d AS (SELECT doc_id, lang, source, regexp_extract(text, '^([^\\n]*)', 1) AS line, text FROM documents)""".replace("\\\\", "\\")
