@@ -1,3 +1,4 @@
+import collections
 import json
 
 import pytest
@@ -73,6 +74,25 @@ def test_csv_files_of_different_shape(spark, tmp_path):
     assert offers.schema.simpleString() == OFFER.simpleString() and {r.slug: r.title for r in offers.collect()} == {"a": "Ñandú, x", "b": "Ñu", "": "sola", "c": "č", "d": "ñ"}
 
 
+def test_large_csv_files_are_split(spark, tmp_path):
+    """Lines without open quotes are read by several tasks, each file's header once; names with blanks and signs."""
+    body = "".join(f'{i};"Ñu; {i}";{"x" * 50}\n' for i in range(3000))
+    (tmp_path / "big file [1].csv").write_bytes(("slug;title;more\n" + body).encode("cp1252"))
+    (tmp_path / "big2.csv").write_text("slug;title;more\n" + body, encoding="utf-8")
+    (tmp_path / "spans.csv").write_text('slug;title\nq;"a ""b""\nc"\n', encoding="utf-8")
+    (tmp_path / "head.csv").write_text('"slug";"ti\ntle"\nh;x\n', encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows = R.read_rows_csv(spark, str(tmp_path), ["slug", "title"])
+        assert rows.rdd.getNumPartitions() > 8
+        got = collections.Counter((r.slug, r.title) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = collections.Counter({(str(i), f"Ñu; {i}"): 2 for i in range(3000)})
+    assert got == want + collections.Counter({("q", 'a "b"\nc'): 1, ("h", None): 1})
+
+
 def test_sniff():
     assert [R.sniff_delimiter(h) for h in ('a,b;c', 'a;b', '"a;b;c",d', 'a\tb', 'a', 'a;b;c,d')] == [",", ";", ",", "\t", ",", ";"]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacantia.session import written
 
 #: Rows that one task may order, ranges a histogram divides rows into, and sampled keys per range.
-SHALLOW, RANGES, SAMPLED = 10_000, 128, 16
+SHALLOW, RANGES, SAMPLED = 10_000, 32, 16
 
 
 def sort_keys(order: Sequence[str]) -> list[Column]:

@@ -1,15 +1,15 @@
 """Readers of listings and captured pages. Text lines are read by Spark with an explicit schema; the shape of a CSV
-(encoding, delimiter, header) is decided for every file on its own, in the task that reads the file."""
+(encoding, delimiter, header) is decided for every file on its own, in a pass over the lines of all files."""
 
 from __future__ import annotations
 
 import csv
-import io
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,16 +18,13 @@ from vacantia.functions.folding import normalize_space
 from vacantia.functions.urls import listed_slug
 from vacantia.operators.crawl import dedupe_first
 from vacantia.schemas import COMPANY_KEYS, FIELDS, OFFER, PAGE, REQUIRED_TEXT, SLUG_KEYS, TITLE_KEYS
+from vacantia.session import written
 
 # ---- fixed values -------------------------------------------------------------------------------
 BYTE_ORDER_MARKS = (("FFFE0000", "UTF-32"), ("0000FEFF", "UTF-32"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16"), ("FEFF", "UTF-16"))
 DELIMITERS = (",", ";", "\t")
 CSV_FALLBACK = "cp1252"
 
-#: Rows of one batch of a CSV file.
-BATCH = 4096
-
-
 def _head(spark: SparkSession, path: str) -> str:
     """The first bytes of the input as hex."""
     row = spark.read.text(path).select(F.hex(F.substring(F.col("value").cast("binary"), 1, 4)).alias("head")).first()
@@ -74,73 +71,99 @@ def sniff_delimiter(header: str) -> str:
     return max(DELIMITERS, key=bare.count)
 
 
-def decode_listing(data: bytes) -> str:
-    """The text of one file: by its byte-order mark, else UTF-8, else Windows-1252."""
-    head = data[:4].hex().upper()
-    marked = next((encoding for mark, encoding in BYTE_ORDER_MARKS if head.startswith(mark)), None)
-    if marked:
-        return data.decode(marked, errors="replace").removeprefix("\ufeff")
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode(CSV_FALLBACK, errors="replace")
+#: What Windows-1252 has where Latin-1 has control characters.
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = bytes(range(0x80, 0xA0)).decode(CSV_FALLBACK, "replace")
+
 
+@dataclass(frozen=True)
+class CsvShape:
+    """How to read a group of CSV files: their encoding, delimiter, lower-case column names, whether a record may go on in
+    the next line, whether lines then end in CR and LF, and paths."""
 
-def csv_rows(data: bytes) -> tuple[list[str], Iterator[list[str]]]:
-    """The lower-case column names of one CSV file, and its rows."""
-    text = decode_listing(data)
-    first = next((line for line in re.split(r"\r\n|\r|\n", text) if line.strip()), "")
-    csv.field_size_limit(1 << 31)
-    rows = (row for row in csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(first)) if row)
-    return [name.strip().lower() for name in next(rows, [])], rows
+    encoding: str
+    delimiter: str
+    names: tuple[str, ...]
+    spans_lines: bool
+    crlf: bool
+    paths: tuple[str, ...]
 
 
-def _csv_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+def _plain_path(uri: str) -> str:
+    """The path of a file as Spark names it, with the signs that would stand for other files escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """The column names of all files of an input, those of the most frequent header first."""
-    schema = T.StructType([T.StructField("names", T.ArrayType(T.StringType()))])
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """``file, header``: the first line of each file that is not blank. `lines` has file, start, value in the order of the files."""
+    head = lines.where((F.col("start") == 0) & (F.btrim("value", F.lit(" \t\r\n\x00")) != "")).withColumn("n", F.monotonically_increasing_id())
+    return head.groupBy("file").agg(F.min_by("value", "n").alias("header"))
 
-    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([csv_rows(data.as_py())[0] for data in batch.column(0)], pa.list_(pa.string()))], names=["names"])
 
-    found = _csv_files(spark, path).mapInArrow(headers, schema).groupBy("names").agg(F.count("*").alias("n"))
-    ordered = found.orderBy(F.col("n").desc(), "names").collect()  # one row per distinct header
-    return list(dict.fromkeys(name for row in ordered for name in row["names"]))
+def csv_shapes(spark: SparkSession, path: str) -> list[CsvShape]:
+    """The shapes among the CSV files of an input: one streaming pass over their lines, splits of large files apart.
+
+    A file is in the encoding its byte-order mark names, else UTF-8, else (where a line is no valid UTF-8) Windows-1252.
+    If no line has an odd number of quotes, no record goes on in the next line and the file may be split.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*place, "value")
+    head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
+    marked = reduce(lambda c, m: c.when(head.startswith(m[0]), m[1]), BYTE_ORDER_MARKS[1:], F.when(head.startswith(BYTE_ORDER_MARKS[0][0]), BYTE_ORDER_MARKS[0][1]))
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    # validity is asked of the bytes: a pattern would read past what is wrong with them
+    facts = lines.groupBy("file").agg(
+        F.max(F.when(F.col("start") == 0, marked)).alias("mark"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(odd).alias("spans"))
+    headers = _first_lines(lines).withColumn("header", F.when(F.is_valid_utf8("header"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), "ISO-8859-1")))
+    encoding = F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("utf8"), "UTF-8").otherwise(CSV_FALLBACK)
+    shapes = []
+    narrow = written(facts.join(headers, "file").select("file", encoding.alias("encoding"), "spans", "header"), "csv")
+    plain = narrow.where(~F.col("encoding").rlike("^UTF-(16|32)"))
+    found = [(*tuple(r)[:3], False, r["files"]) for r in plain.where(~F.col("spans")).groupBy("encoding", "spans", "header").agg(F.collect_list("file").alias("files")).collect()]
+    # where records span lines their ends matter, and wide encodings hide them: those files are looked at once more
+    again = {r["encoding"]: r["files"] for r in narrow.where(F.col("spans") | F.col("encoding").rlike("^UTF-(16|32)")).groupBy("encoding").agg(F.collect_list("file").alias("files")).collect()}
+    for name, files in again.items():
+        text = spark.read.schema("value string").options(encoding="ISO-8859-1" if name == CSV_FALLBACK else name, sep="\u0001", quote="", multiLine=True, lineSep="\n").csv(list(map(_plain_path, files)))
+        firsts = _first_lines(text.select(F.col("_metadata.file_path").alias("file"), F.lit(0).alias("start"), "value"))
+        for r in firsts.groupBy("header").agg(F.collect_list("file").alias("files")).collect():
+            found.append((name, True, r["header"], r["header"].endswith("\r"), r["files"]))
+    for name, spans, header, crlf, files in found:
+        if name == CSV_FALLBACK:
+            header = header.translate(dict(zip(range(0x80, 0xA0), _WINDOWS, strict=True)))
+        header, paths = header.strip("\ufeff\r\n"), tuple(sorted(map(_plain_path, files)))
+        delimiter = sniff_delimiter(header)
+        if header.count('"') % 2:  # the header itself goes on in the next line
+            names = spark.read.options(header=True, multiLine=True, sep=delimiter, escape='"', encoding="ISO-8859-1" if name == CSV_FALLBACK else name).csv(paths[0]).columns
+        else:
+            names = next(csv.reader([header], delimiter=delimiter), [])
+        shapes.append(CsvShape(name, delimiter, tuple(n.strip().lower() for n in names), spans, crlf, paths))
+    return sorted(shapes, key=lambda shape: (-len(shape.paths), shape.names))
+
+
+def _read_shape(spark: SparkSession, shape: CsvShape, names: Sequence[str]) -> DataFrame:
+    """The columns `names` of files of one shape; those they lack are NULL."""
+    places = [f"_c{i}" for i in range(len(shape.names))]
+    western = shape.encoding == CSV_FALLBACK
+    options = {"header": True, "sep": shape.delimiter, "quote": '"', "escape": '"', "multiLine": shape.spans_lines, "encoding": "ISO-8859-1" if western else shape.encoding, "maxColumns": max(20480, len(places) + 1)}
+    rows = spark.read.schema(", ".join(f"{place} string" for place in places)).options(**options | ({"lineSep": "\r\n"} if shape.crlf else {})).csv(list(shape.paths))
+    at = {name: place for place, name in zip(places, shape.names, strict=True)}  # the last of equal names
+    cell = lambda place: F.translate(place, _CONTROLS, _WINDOWS) if western else F.col(place)
+    return rows.select(*[F.nullif(cell(at[n]), F.lit("")).alias(n) if n in at else F.lit(None).cast("string").alias(n) for n in names])
 
 
 def read_rows_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The CSV files of an input as text columns with lower-case names.
 
-    Every file has its own encoding (byte-order mark, else UTF-8, else Windows-1252), delimiter and header, so files of
-    different shape may lie in one folder. `columns` are the names wanted: those a file lacks are NULL, others are
-    dropped, and nothing is read before the job runs. Without it the headers of all files are looked up first. Empty
-    cells are NULL. A file is read by one task and must be smaller than 2 GiB; the writers here stay far below that.
+    Every file has its own encoding, delimiter and header (see :func:`csv_shapes`), so files of different shape may lie in one folder; the files
+    of each shape are read together. `columns` are the names wanted: those a file lacks are NULL, others are dropped. Without it all names of
+    all files come, those of the most frequent header first. Empty cells are NULL. A large file is read by several tasks, unless a
+    record in it spans lines or it is in UTF-16 or UTF-32: then one task streams it.
     """
-    names = list(columns) if columns is not None else csv_columns(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    types = pa.schema([(name, pa.string()) for name in names])
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in (cell.as_py() for batch in batches for cell in batch.column(0)):
-            header, rows = csv_rows(data)
-            place = {name: i for i, name in enumerate(header)}
-            at = [place.get(name) for name in names]
-            part: list[list[str | None]] = []
-            for row in rows:
-                part.append([row[i] or None if i is not None and i < len(row) else None for i in at])
-                if len(part) == BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], schema=types)
-                    part = []
-            if part:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], schema=types)
-
-    if not names:
-        return spark.createDataFrame([], schema)
-    return _csv_files(spark, path).mapInArrow(parse, schema)
+    shapes = csv_shapes(spark, path)
+    names = list(columns) if columns is not None else list(dict.fromkeys(name for shape in shapes for name in shape.names))
+    if not names or not shapes:
+        return spark.createDataFrame([], T.StructType([T.StructField(name, T.StringType()) for name in names]))
+    return reduce(DataFrame.unionByName, [_read_shape(spark, shape, names) for shape in shapes])
 
 
 def read_offers_csv(spark: SparkSession, path: str) -> DataFrame:
