@@ -543,3 +543,17 @@ def test_odd_rows_give_one_result_each(spark, odd, name):
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(spark, odd, name):
     assert operators(spark)[name](odd.where("1 = 0")).collect() == []
+
+
+def test_carried_columns_may_have_the_names_of_internals(spark, odd):
+    named = odd.withColumns({"host": F.lit("h"), "_hash": F.lit("text"), "a.b": F.lit(1), "url": F.lit("http://a.example/x")})
+    assert {r.row for r in repeats.find_repeats(named, carry=("doc_id", "row", "text")).collect()} == {r.row for r in odd.collect()}
+    assert {r[1] for r in urls.judge(named, carry=("doc_id", "host")).collect()} == {"h"}
+    kept = simhash.representatives(named)
+    assert kept.columns == named.columns and {r["_hash"] for r in kept.collect()} == {"text"}
+
+
+def test_numbers_are_no_letters(docs_of):
+    learned = {"en": "the cat sat on the mat and the dog sat too " * 5, "de": "der Hund und die Katze sind auf der Matte " * 5}
+    got = language.identify(docs_of(["½ ² ①", "٣ 7", "the cat", "é"]), learned).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in got] == [True, True, False, False]

@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 ROWS, CHARACTERS, LANGUAGES, ALPHABET = 400, 24_000, 64, 72
 #: Texts are parsed in pieces of so many characters, each from the root.
 PIECE = 512
-_letter = re.compile(r"[^\W\d_]")
 _built: dict[str, tuple] = {}
 
 
@@ -39,7 +38,7 @@ def training_sample(labelled: DataFrame, lang: str = "lang", id_col: str = "doc_
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, min(1.0, 2 * ROWS / n)).otherwise(share)
-    drawn = fits.where(F.col("k").cast("double") / 2.0**64 + 0.5 <= share).collect()
+    drawn = fits.where(F.col("k").cast("double") / 2.0**64 + 0.5 <= share).distinct().collect()  # copies of a row share its hash
     room, taken = {name: CHARACTERS for name in sizes}, dict.fromkeys(sizes, 0)
     chosen = []
     for row in sorted(drawn, key=lambda r: (r["lang"], r["k"])):
@@ -169,7 +168,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", car
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 column = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                known = np.array([bool(languages) and _letter.search(t) is not None for t in column], bool)
+                known = np.array([bool(languages) and any(map(str.isalpha, t)) for t in column], bool)
                 counts = np.zeros((len(column), max(1, len(languages))), np.int64)
                 if known.any():
                     counts[known] = phrases([t for t, ok in zip(column, known, strict=True) if ok], code, table, roots)

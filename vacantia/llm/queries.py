@@ -69,7 +69,8 @@ FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes covered by 400-byte strings that start more than once."""
     found = repeats.find_repeats(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", share.alias("removed_share"), (F.col("n_removed") > 0).alias("repeated"), "spans")
 
 
 @query
@@ -129,33 +130,44 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeated multi-line chunks removed; what stays of each document."""
-    found = linededup.dedupe_lines(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_kept_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    """Repeated multi-line chunks, and repeated passages of over 50 words, removed; what stays of each document."""
+    found = linededup.dedupe_passages(table(spark, folder, "documents"), words=50)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return found.select("doc_id", "n_removed_lines", F.length(text).cast("bigint").alias("n_kept_chars"), F.md5(text).alias("kept_md5"))
 
 
 CHECKS["op10_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL
 ), hashed AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM lines
 ), rolled AS (
-  SELECT *, coalesce((lag(h) OVER w * 31 + h) % 3 = 0, false) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1 AS is_last FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, coalesce((lag(h) OVER o * 31 + h) % 3 = 0, false) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1 AS is_last FROM hashed WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), ended AS (
   SELECT *, (c AND NOT coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY i), false)) OR is_last AS e FROM rolled
 ), numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended
+  SELECT *, coalesce(sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k,
+    sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM ended
 ), chunk AS (
-  SELECT doc_id, k, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, k
-), judged AS (
-  SELECT *, n > 1 AND regexp_matches(t, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, first) > 1 AS gone FROM chunk
+  SELECT doc_id, min(i) AS first, max(i) AS last FROM numbered GROUP BY doc_id, k HAVING count(*) > 1 AND sum(w) > 0
+), worded AS (
+  SELECT doc_id, i, w, upto FROM numbered WHERE w > 0
+), ahead AS (
+  SELECT s.doc_id, s.i AS first, e.i AS last FROM worded s ASOF JOIN (SELECT doc_id, i, upto FROM worded) e ON s.doc_id = e.doc_id AND e.upto >= s.upto - s.w + 51
+), back AS (
+  SELECT e.doc_id, s.i AS first, e.i AS last FROM worded e ASOF JOIN (SELECT doc_id, i, upto - w AS before FROM worded) s ON s.doc_id = e.doc_id AND s.before <= e.upto - 51
+), spans AS (
+  SELECT * FROM chunk UNION SELECT * FROM ahead UNION SELECT * FROM back
+), texts AS (
+  SELECT s.doc_id, s.first, s.last, array_to_string(list_slice(str_split(d.text, chr(10)), s.first + 1, s.last + 1), chr(10)) AS t FROM spans s JOIN documents d USING (doc_id)
+), again AS (
+  SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, first) AS n FROM texts) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM again
 ), kept AS (
-  SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n) FILTER (gone), 0) AS n_removed_lines,
-         coalesce(string_agg(t, chr(10) ORDER BY first) FILTER (NOT gone), '') AS text FROM judged GROUP BY doc_id
+  SELECT l.doc_id, count(*) FILTER (g.i IS NOT NULL) AS n_removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 )
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed_chunks, 0)::BIGINT AS n_removed_chunks,
-       coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, length(coalesce(k.text, ''))::BIGINT AS n_kept_chars, md5(coalesce(k.text, '')) AS kept_md5
-FROM documents d LEFT JOIN kept k USING (doc_id)
+SELECT d.doc_id, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, length(coalesce(k.text, ''))::BIGINT AS n_kept_chars, md5(coalesce(k.text, '')) AS kept_md5 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 

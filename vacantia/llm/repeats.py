@@ -140,6 +140,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
     `length` is at least 128. Null and empty texts have no bytes; texts shorter than `length` keep everything. A
     repeated row is a second place for all its strings. Strings are judged on the input, and texts are read whole.
     """
+    given, carry = carry, tuple(f"_c{i}" for i in range(len(carry)))  # by position, so that no carried column can clash
+    docs, text_col = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(given, carry, strict=True)], docs[f"`{text_col}`"].alias("_text")), "_text"
     key = F.xxhash64(*carry, text_col)
     rows = docs.select(*carry, F.col(text_col).alias("text"), key.alias("row"))
     levels = [min(s, length) for s in LEVELS]
@@ -179,7 +181,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
 
     last = split.join(marks, "row", "left").select(*carry, "n_bytes", "plain_sha256", "text", "marks")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return _mapped(last, finish, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string")
+    added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
+    return _mapped(last, finish, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string").toDF(*given, *added)
 
 
 def _blocks(todo: DataFrame, size: int, length: int) -> DataFrame:

@@ -342,10 +342,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bound = int(64 * n_words * share + 4 * np.sqrt(64 * n_words * share * (1 - share)))
-    key = "_hash"
-    kept = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # by position, so that no column of `docs` can clash
+    plain = docs.toDF(*names)
+    given = docs.columns
+    id_col, text_col, key = names[given.index(id_col)], names[given.index(text_col)], "_hash"
     has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    worded = kept.where(has_words)
+    worded = plain.where(has_words).withColumn(key, F.xxhash64(id_col, text_col))
     rows = written(fingerprints(worded.select(F.col(id_col).alias("id"), F.col(key).alias("h"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")), "text", ("id", "h", "node"), width, n_words, True), "fingerprints")
     texts = rows.groupBy("node").agg(F.min("h").alias("h"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles")).withColumn("print", F.xxhash64("bits", "n_shingles"))
     texts = written(texts, "texts")
@@ -359,4 +361,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(verified_links(written(found, "candidates"), bound, similarity, width))
     best = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("s"))
     chosen = worded.join(best.select(F.col("s.h").alias(key)), key, "left_semi").dropDuplicates([key, id_col])
-    return chosen.select(*docs.columns).union(docs.where(~has_words))
+    return chosen.select(*names).union(plain.where(~has_words)).toDF(*given)

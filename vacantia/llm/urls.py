@@ -91,7 +91,8 @@ def judge(pages: DataFrame, url_col: str = "url", bad_col: str | None = None, ru
     has no ``://`` has an empty host and path and is allowed. Repeated rows repeat; as evidence a path counts once.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    parsed = pages.select(*carry, host.alias("host"), path.alias("path"), *([F.col(bad_col).alias("_bad")] if bad_col else []))
+    given, carry = carry, tuple(f"_c{i}" for i in range(len(carry)))  # by position, so that no carried column can clash
+    parsed = pages.select(*[pages[f"`{c}`"].alias(n) for c, n in zip(given, carry, strict=True)], host.alias("host"), path.alias("path"), *([F.col(bad_col).alias("_bad")] if bad_col else []))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumn("rule", rule).withColumn("_verdict", verdict)
     label = F.col("_bad") if bad_col else F.when(F.col("_verdict") == "block", 1).when(F.col("_verdict") == "allow", 0)
@@ -99,4 +100,5 @@ def judge(pages: DataFrame, url_col: str = "url", bad_col: str | None = None, ru
     smooth = (F.col("bad") + weight * prior) / (F.col("labelled") + weight)
     method = F.when((F.col("labelled") >= least) & (smooth >= purity), "block").otherwise("allow")
     out = ruled.withColumn("parts", _segments(F.col("path"), depth)).join(known, ["host", "parts"], "left")
-    return out.select(*carry, "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"), "template", smooth.alias("purity"), "labelled")
+    found = out.select(*carry, "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"), "template", smooth.alias("purity"), "labelled")
+    return found.toDF(*given, *found.columns[len(given) :])
