@@ -549,6 +549,18 @@ def _saved_rows(table: DataFrame, carry: Sequence[str], today: Column, portal: P
 PRIVATE_KEEP = {"saved_jobs": SAVED_KEEP, "applications": BOX_KEEP, "cvs": BOX_KEEP}
 
 
+def _list_facts(table: DataFrame, carry: Sequence[str]) -> DataFrame:
+    return table.withColumn("_nav", pagination(F.col("hits"))).select(
+        *carry, "_nav.last_page", "_nav.has_next", F.when(F.col("_anonymous"), "AUTH_REQUIRED").alias("violation"))
+
+
+def private_list_facts(pages: DataFrame, *, carry: Sequence[str] = ("page_id",)) -> DataFrame:
+    """``last_page``, ``has_next`` and ``violation`` of private pages of any kind, without their rows: the facts stand in
+    the header and the navigation, so one pass over a page that keeps only those serves all kinds."""
+    marked = pages.withColumn("_anonymous", F.coalesce(is_anonymous(F.col("html")), F.lit(False)))
+    return _list_facts(element_table(marked, NAV_KEEP, carry=[*carry, "_anonymous"]), carry)
+
+
 def extract_private_list(
     pages: DataFrame, kind: str, today: Column | None = None, *, carry: Sequence[str] = ("page_id",), portal: Portal = DEFAULT,
 ) -> Extracted:
@@ -564,8 +576,7 @@ def extract_private_list(
     marked = pages.withColumn("_anonymous", F.coalesce(is_anonymous(F.col("html")), F.lit(False)))
     anchor = CARDS.card if kind == "saved_jobs" else None
     table = element_table(marked, (*PRIVATE_KEEP[kind], *NAV_KEEP), anchor=anchor, carry=[*carry, "_anonymous"])
-    report = table.withColumn("_nav", pagination(F.col("hits"))).select(
-        *carry, "_nav.last_page", "_nav.has_next", F.when(F.col("_anonymous"), "AUTH_REQUIRED").alias("violation"))
+    report = _list_facts(table, carry)
     sound = table.withColumn("hits", F.when(~F.col("_anonymous"), F.col("hits")))
     if kind == "saved_jobs":
         return Extracted(_saved_rows(sound, carry, today, portal), report)

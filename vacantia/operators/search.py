@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.folding import fold, fold_literal
 from vacantia.operators.paging import SHALLOW, seek, sort_keys
+from vacantia.session import written
 
 # ---- fixed values: enums and limits -------------------------------------------------------------
 JOB_TYPES = ("full_time", "part_time", "contractor", "intern", "per_diem", "other")
@@ -292,6 +293,33 @@ def similar_roles(titles: DataFrame, role: str, n: int = MAX_SIMILAR, *, title:
     )
 
 
+def similar_role_pairs(titles: DataFrame, n: int = MAX_SIMILAR, *, title: str = "title", least: float = 0.5) -> DataFrame:
+    """``(role, rank, similar, similarity)``: for every title at once, up to `n` titles whose share of common words is `least` or
+    more, most similar first (ties by name). A title equal to the role but for case and accents is not one of them.
+
+    A set-similarity join: words are ordered by how many titles have them, rarest first, and two titles can only be
+    similar enough if they share one of their first ``size - ceil(least * size) + 1`` words and have sizes in that ratio.
+    So only titles that share a rare word meet, never all pairs; the share is then counted exactly.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    roles = titles.select(F.col(title).alias("role")).where(F.col(title).isNotNull()).distinct()
+    worded = written(roles.select("role", fold(F.col("role")).alias("key"), _tokens(F.col("role")).alias("words")).where(F.size("words") > 0), "roles")
+    words = worded.select("role", F.explode("words").alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = words.join(counted, "word").groupBy("role").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("o"))
+    size = F.size("o")
+    prefix = F.slice("o", F.lit(1), size - F.ceil(size * least - 1e-9).cast("int") + 1)
+    places = written(ordered.select("role", size.alias("m"), F.explode(prefix).alias("w")).select("role", "m", "w.word"), "prefixes")
+    other = places.select(F.col("role").alias("similar"), F.col("m").alias("k"), "word")
+    pairs = places.join(other, "word").where((F.col("role") != F.col("similar")) & F.col("k").between(least * F.col("m") - 1e-9, F.col("m") / least + 1e-9)).select("role", "similar").distinct()
+    both = pairs.join(worded, "role").join(worded.select(F.col("role").alias("similar"), F.col("key").alias("_key"), F.col("words").alias("_words")), "similar")
+    share = F.size(F.array_intersect("words", "_words")) / F.size(F.array_union("words", "_words"))
+    found = both.where(F.col("key") != F.col("_key")).select("role", "similar", share.alias("_share")).where(F.col("_share") >= least - 1e-9)
+    rank = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("_share"), "similar"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= _bounded("limit", n, 1, MAX_SIMILAR)).select("role", "rank", "similar", F.round("_share", 6).alias("similarity"))
+
+
 def _split_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text).split()
 

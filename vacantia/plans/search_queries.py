@@ -128,6 +128,18 @@ def r12_similar_roles(spark, folder):
     return se.similar_roles(table(spark, folder, "part"), "Small Ring", title="p_name")
 
 
+@query("r12_role_pairs", """
+WITH t AS (SELECT DISTINCT p_name || ' ' || p_brand AS role FROM part), w AS (SELECT DISTINCT role, unnest(regexp_split_to_array(lower(role), '[^a-z0-9]+')) AS word FROM t),
+s AS (SELECT role, count(*) AS m FROM w GROUP BY role),
+p AS (SELECT a.role, b.role AS other, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.role <> b.role GROUP BY 1, 2),
+j AS (SELECT p.role, other, c / (x.m + y.m - c)::DOUBLE AS share FROM p JOIN s x ON x.role = p.role JOIN s y ON y.role = p.other)
+SELECT role, rank, other AS "similar", round(share, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY share DESC, other) AS rank FROM j WHERE share >= 0.5) WHERE rank <= 9""")
+def r12_role_pairs(spark, folder):
+    """The most similar ones of every part's name and brand, at once."""
+    names = table(spark, folder, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    return se.similar_role_pairs(names)
+
+
 @query("r13_related_roles", f"""
 WITH {JACCARD} SELECT 'Small Ring' AS role, (SELECT min(role) FROM t WHERE role = 'small ring') AS resolved_name,
   (SELECT string_agg(role, ';' ORDER BY similarity DESC, role) FROM (SELECT * FROM sim WHERE similarity > 0 ORDER BY similarity DESC, role LIMIT 9)) AS similar,
