@@ -182,3 +182,25 @@ def test_robots_by_host(spark):
         each = [f"https://{host.upper()}{p}" for p in paths]
         want = [r.o for r in spark.createDataFrame(list(enumerate(each)), "i int, u string").select("i", robots.robots_allowed(F.col("u"), text or "", "bot/2.0", status=status).alias("o")).orderBy("i").collect()]
         assert [got[u] for u in each] == want, host
+
+
+def test_robots_of_many_rules(spark):
+    """Random rules with wildcards, end marks and equal heads: the join gives what the one-host expression gives."""
+    import random
+
+    rng = random.Random(21)
+    parts = ["/a", "/b", "/a/b", "*", "$", "/ñ", "/a$b", "?q="]
+    texts = {f"h{k}.example": "User-agent: *\n" + "".join(f"{rng.choice(['Allow', 'Disallow'])}: {''.join(rng.choice(parts) for _ in range(rng.randrange(0, 4)))}\n" for _ in range(rng.randrange(0, 30))) for k in range(6)}
+    paths = ["", "/", *("".join(rng.choice(["/a", "/b", "/ñ", "/a$b", "?q=1", "x"]) for _ in range(rng.randrange(1, 5))) for _ in range(40))]
+    paths = ["/" + p.lstrip("/") for p in paths]
+    urls = spark.createDataFrame([(f"https://{h}{p}", "z", k) for h in texts for k, p in enumerate(paths * 2)] + [(None, "z", 0)], "url string, host string, closed int")
+    files = spark.createDataFrame([(h, 200, t) for h, t in texts.items()], "host string, status int, body string")
+    judged = robots.robots_verdicts(urls, robots.robots_table(files, "bot"))
+    rows = judged.collect()
+    assert judged.columns == [*urls.columns, "allowed"] and len(rows) == urls.count()
+    got = {r.url: r.allowed for r in rows}
+    assert got[None] is None
+    for host, text in texts.items():
+        each = [f"https://{host}{p}" for p in paths]
+        want = [r.o for r in spark.createDataFrame(list(enumerate(each)), "i int, u string").select("i", robots.robots_allowed(F.col("u"), text, "bot").alias("o")).orderBy("i").collect()]
+        assert [got[u] for u in each] == want, host

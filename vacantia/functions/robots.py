@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.folding import let
 from vacantia.functions.urls import unquote, url_part
+from vacantia.session import written
 
 
 def _directives(text: str):
@@ -104,14 +105,19 @@ def robots_allowed(url: Column, text: str, agent: str, *, status: int = 200) ->
     return longest & let(_rule_target(url), lambda t: _first_match(t, text, token))
 
 
-RULES = "host string, closed boolean, patterns array<struct<regex:string,vote:int>>, prefixes array<struct<prefix:string,allow:boolean>>"
+def _head(pattern: str) -> str:
+    """What a path must begin with to match: the pattern up to its first wildcard or its end mark."""
+    return pattern.removesuffix("$").partition("*")[0]
+
+
+RULES = "host string, closed boolean, patterns array<struct<head:string,regex:string,vote:int>>, prefixes array<struct<prefix:string,allow:boolean>>"
 
 
 def robots_table(files: DataFrame, agent: str, *, host: str = "host", status: str = "status", body: str = "body") -> DataFrame:
     """The rules for `agent` of every host from its captured robots file: one row per host (`files` has each host once).
 
-    ``patterns`` are regexes with their vote (twice the pattern's length, one more for Allow), ``prefixes`` the rules of
-    the second reading in file order. ``closed`` marks hosts whose file was refused or failed: 401, 403, 5xx or no
+    ``patterns`` have the plain text a path must begin with, a regex (null where that text decides) and a vote (twice the
+    pattern's length, one more for Allow), ``prefixes`` the rules of the second reading in file order. ``closed`` marks hosts whose file was refused or failed: 401, 403, 5xx or no
     status; other 4xx mean no rules.
     """
     token = _agent_token(agent)
@@ -121,30 +127,51 @@ def robots_table(files: DataFrame, agent: str, *, host: str = "host", status: st
             hosts, codes, texts = (column.to_pylist() for column in batch.columns)
             bodies = [(text or "") if code is not None and code < 400 else "" for code, text in zip(codes, texts, strict=True)]
             rules = [[(allow, unquote_text(p)) for allow, p in rules_for(text, token)] for text in bodies]
-            patterns = [[{"regex": _pattern_regex(p), "vote": 2 * len(p) + allow} for allow, p in found if p] for found in rules]
+            patterns = [[{"head": _head(p), "regex": None if _head(p) == p else _pattern_regex(p), "vote": 2 * len(p) + allow} for allow, p in found if p] for found in rules]
             prefixes = [[{"prefix": p, "allow": allow} for allow, p in prefixes_for(text, token)] for text in bodies]
             closed = [code is None or code in (401, 403) or code >= 500 for code in codes]
             yield pa.RecordBatch.from_arrays([
                 pa.array(hosts, pa.string()), pa.array(closed, pa.bool_()),
-                pa.array(patterns, pa.list_(pa.struct([("regex", pa.string()), ("vote", pa.int32())]))),
+                pa.array(patterns, pa.list_(pa.struct([("head", pa.string()), ("regex", pa.string()), ("vote", pa.int32())]))),
                 pa.array(prefixes, pa.list_(pa.struct([("prefix", pa.string()), ("allow", pa.bool_())])))],
                 names=["host", "closed", "patterns", "prefixes"])
 
     return files.select(F.lower(host).alias("host"), F.col(status).cast("int"), F.col(body).cast("string")).mapInArrow(read, RULES)
 
 
+def _candidates(keys: DataFrame, text: str, rules: DataFrame) -> DataFrame:
+    """The `keys` (host, `text`, …) joined to those of `rules` (host, head, …) whose head their text begins with.
+
+    A text is cut to each length that a head of its host has, and the cuts are matched by equality: a probe for each length, however many
+    rules there are.
+    """
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("head")).alias("_lengths"))
+    cut = keys.join(lengths, "host").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length(text))))
+    return cut.withColumn("head", F.left(F.col(text), F.col("_n"))).drop("_n", "_lengths").join(rules, ["host", "head"])
+
+
 def robots_verdicts(urls: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame:
     """`urls` with ``allowed``, by the rules of each URL's own host; NULL where no file of the host was captured.
 
-    An equality join on the host with one row per host, so a URL stays one row however many rules its host has.
+    `rules` has each host once. The different paths are judged, each once: rules are found by equality on the host and the plain beginning
+    of the path, and only those with a wildcard are then tried as a pattern. The verdicts are joined back to the URLs.
     """
-    path, target = _rule_path(F.col(url)), _rule_target(F.col(url))
-    longest = let(path, lambda p: F.array_max(F.transform(F.filter("_r.patterns", lambda r: F.regexp_like(p, r["regex"])), lambda r: r["vote"])))
-    first = let(target, lambda t: F.try_element_at(F.filter("_r.prefixes", lambda r: F.startswith(t, r["prefix"])), F.lit(1)))
-    joined = urls.withColumn("_host", F.lower(url_part(F.col(url), "host"))).join(
-        rules.select(F.col("host").alias("_host"), F.struct("closed", "patterns", "prefixes").alias("_r")), "_host", "left")
-    agreed = F.coalesce(longest % 2 == 1, F.lit(True)) & F.coalesce(first["allow"], F.lit(True))
-    return joined.withColumn("allowed", F.when(F.col("_r").isNotNull(), ~F.col("_r.closed") & agreed)).drop("_host", "_r")
+    names = [f"_c{i}" for i in range(len(urls.columns))]
+    plain = urls.toDF(*names)
+    given = F.col(names[urls.columns.index(url)])
+    placed = plain.withColumns({"host": F.coalesce(F.lower(url_part(given, "host")), F.lit("")), "_path": F.coalesce(_rule_path(given), F.lit("")), "_target": F.coalesce(_rule_target(given), F.lit(""))})
+    keys = written(placed.select("host", "_path", "_target").distinct(), "paths")
+    patterns = rules.select("host", F.inline("patterns"))
+    fitting = _candidates(keys, "_path", patterns).where(F.col("regex").isNull() | F.regexp_like("_path", F.col("regex")))
+    longest = fitting.groupBy("host", "_path", "_target").agg(F.max("vote").alias("_vote"))
+    prefixes = rules.select("host", F.posexplode("prefixes").alias("place", "p")).select("host", "place", F.col("p.prefix").alias("head"), F.col("p.allow").cast("int").alias("allow"))
+    # twice the place and the verdict in one number, so that the first rule is a plain minimum
+    first = _candidates(keys, "_target", prefixes).groupBy("host", "_path", "_target").agg(F.min(2 * F.col("place") + F.col("allow")).alias("_first"))
+    known = rules.select("host", "closed")
+    agreed = F.coalesce(F.col("_vote") % 2 == 1, F.lit(True)) & F.coalesce(F.col("_first") % 2 == 1, F.lit(True))
+    judged = keys.join(known, "host").join(longest, ["host", "_path", "_target"], "left").join(first, ["host", "_path", "_target"], "left")
+    verdicts = judged.select("host", "_path", "_target", (~F.col("closed") & agreed).alias("allowed"))
+    return placed.join(verdicts, ["host", "_path", "_target"], "left").select(*names, "allowed").toDF(*urls.columns, "allowed")
 
 
 def crawl_delay(text: str, agent: str) -> float | None:
