@@ -50,6 +50,20 @@ def test_identity_masking(spark):
     assert masked(spark, "Ana Strauff", None, rare) == [("SCRUBBED y SCRUBBED, SCRUBBED", False), ("SCRUBBED", False), ("SCRUBBED SCRUBBED", False)]
 
 
+def test_places_and_spellings_agree(spark):
+    """Masking by places in the folded text gives what the pattern of all spellings gives, on random mixtures."""
+    import random
+
+    rng = random.Random(17)
+    parts = ["Ana", "ÁNA", "ana íñiguez", "IÑIGUEZ", "I\u0303n", "ß", "ﬁ", " ", "  ", "-", "é", "x", "1", "ⒶⓃⒶ", "\U0001d400na", "가", "ñ", ".", "ana-iniguez", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    docs = spark.createDataFrame([(1, t) for t in texts], "owner int, text string")
+    people = spark.createDataFrame([(1, "Ana Íñiguez", "ana@example.org")], "owner int, name string, email string")
+    rows = P.with_identity(docs, people, "owner").select("text", P.mask_identity(F.col("text"), F.col("identity")).alias("a"), P.mask_spellings(F.col("text"), F.col("identity")).alias("b")).collect()
+    assert len(rows) == 600 and sum(r.a != r.text for r in rows) > 200
+    assert [r for r in rows if r.a != r.b] == []
+
+
 def test_files(spark):
     rows = [(1, 5, "b.PDF"), (1, 2, "a.doc"), (1, 9, "a.doc"), (2, 1, "b.PDF"), (1, 70000, "c.rtf")]
     df = spark.createDataFrame(rows, "doc_id int, pos int, name string")

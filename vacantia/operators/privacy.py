@@ -1,8 +1,7 @@
 """Personal data: value masking, identity masking, fail-closed leak audit, page scrubbing.
 
-Masking works on the original text with plain regular expressions: an identity variant becomes a pattern
-in which every letter stands for all characters that fold to it, so no positions have to be mapped back
-and nothing leaves the JVM. The audit then looks at the *folded* text, independently of the masking, and
+Masking searches the folded text, whose places are those of the original one wherever each character folds to
+one; other text is masked by a pattern in which every letter stands for all characters that fold to it. Nothing leaves the JVM. The audit then looks at the *folded* text, independently of the masking, and
 withholds whatever still matches.
 """
 
@@ -10,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions.folding import _folded, fold, fold_tables, is_ascii, let, literal_map
+from vacantia.functions.folding import HANGUL, _folded, fold, fold_tables, is_ascii, let, literal_map
 from vacantia.functions.urls import unquote
 from vacantia.operators.crawl import running_total
 from vacantia.operators.html import VOID, Sel, element_table, first_of, first_text, parse
@@ -210,8 +210,33 @@ def with_identity(docs: DataFrame, people: DataFrame, owner: str, *, name: str =
     return docs.join(built, owner, "left")
 
 
-def mask_identity(text: Column, identity: Column) -> Column:
-    """Every spelling of the identity as the mask, whatever its case and accents; other text unchanged."""
+@lru_cache(maxsize=None)
+def _uneven_chars() -> str:
+    """Characters that fold to none, to several, or from no letter to a letter: with none of these, a text and its folded
+    form have the same places and the same ends of words."""
+    source, target, expansions, _ = fold_tables(True)
+    word = lambda c: unicodedata.category(c)[0] in "LN"
+    uneven = [*source[len(target) :], *expansions, *(c for c, plain in zip(source, target, strict=False) if word(c) != word(plain))]
+    near = _runs([c for c in uneven if c <= "\xff"])
+    return f"[{near}[[^\\x00-\\xff]&&[{_runs([c for c in uneven if c > chr(0xff)])}{chr(HANGUL[0])}-{chr(HANGUL[1])}]]]"
+
+
+def _mask_places(text: Column, folded: Column, pattern: Column) -> Column:
+    """`text` with the mask wherever the pattern matches its `folded` form, which has the same places."""
+    pieces, hits = F.split(folded, pattern, -1), F.regexp_extract_all(folded, pattern, F.lit(0))
+    both = F.filter(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        out = F.concat(state["out"], F.substring(text, state["at"], F.length(x["piece"])), F.lit(MASK))
+        return F.struct((state["at"] + F.length(x["piece"]) + F.length(x["hit"])).alias("at"), out.alias("out"))
+
+    return F.aggregate(both, start, step, lambda state: F.concat(state["out"], F.substring(text, state["at"], F.length(text))))
+
+
+def mask_spellings(text: Column, identity: Column) -> Column:
+    """:func:`mask_identity` by a pattern of all spellings: longer to match, but a shallow expression that fits into the
+    lambdas over a page's values."""
 
     def rest(common: Column) -> Column:
         """Spellings in rare characters are left to a second, larger pattern that hardly any row needs."""
@@ -223,6 +248,23 @@ def mask_identity(text: Column, identity: Column) -> Column:
     return F.when(identity["folded"].isNull(), text).otherwise(masked)
 
 
+def mask_identity(text: Column, identity: Column) -> Column:
+    """Every spelling of the identity as the mask, whatever its case and accents; other text unchanged.
+
+    ASCII text is masked as it is. Other text is searched in its folded form, with a pattern as short as the name; the places
+    found are those of the text itself, unless it holds characters that fold to none or several. Only such text needs the
+    pattern of all spellings.
+    """
+
+    def searched(folded: Column) -> Column:
+        even = ~text.rlike(_uneven_chars())
+        return F.when(~F.rlike(folded, identity["folded"]), text).when(even, _mask_places(text, folded, identity["folded"]))
+
+    by_place = let(_folded(text, casefold=True), searched)
+    masked = F.when(is_ascii(text), F.regexp_replace(text, identity["ascii"], F.lit(MASK))).otherwise(F.coalesce(by_place, mask_spellings(text, identity)))
+    return F.when(identity["folded"].isNull(), text).otherwise(masked)
+
+
 def leaks(text: Column, identity: Column) -> Column:
     """Whether any variant survives in a text, compared folded."""
     return F.coalesce(F.rlike(_folded(text, casefold=True), identity["folded"]), F.lit(False))
@@ -399,7 +441,7 @@ def scrub_pages(pages: DataFrame, *, html: str = "html", path: str = "path", nam
     files = F.array_distinct(F.transform(F.filter(F.col("_tokens"), lambda t: _takes_number(t, F.col("_profile"))), lambda t: F.btrim(t["value"])))
     prepared = tokenised.withColumn("_profile", profile)
     who = F.col("identity")
-    mask = lambda v: mask_identity(v, who)
+    mask = lambda v: mask_spellings(v, who)
     clean = lambda v: clean_value(v, mask)
 
     def rendered(t: Column, names: Column) -> Column:
