@@ -70,8 +70,11 @@ def p4_release(spark, folder):
     return pr.release(pr.leak_audit(pr.with_identity(docs, people(spark, folder), "owner_id"))).select("doc_id")
 
 
-@query("p5_scrub_pages", """
-SELECT page_id, length(html) - length(replace(html, '<p>', '')) AS p_tags, 0 AS scripts, 0 AS comments, 1 AS files, page_id % 5 = 0 AS leaked FROM pages""")
+@query("p5_scrub_pages", rf"""
+SELECT page_id, length(html) - length(replace(html, '<p>', '')) AS p_tags, 0 AS scripts, 0 AS comments, 1 AS files, page_id % 5 = 0 AS leaked,
+  '<div data-user-id="SCRUBBED">SCRUBBED <a download="cv-1.pdf" href="/p?n=SCRUBBED">SCRUBBED</a><input name="authenticity_token" value="SCRUBBED"></div>'
+    || CASE WHEN page_id % 5 = 0 THEN '<i data-nandu' || page_id || '-x="1"></i>' ELSE '' END AS added,
+  md5(regexp_replace(regexp_replace(regexp_replace(html, '{EMAIL}', 'SCRUBBED', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[#a-zA-Z0-9]+;', '', 'g'), '[^a-z ]', '', 'g')) AS words_md5 FROM pages""")
 def p5_scrub_pages(spark, folder):
     """Whole pages with an owner's data added in text, attributes, a script, a comment and a file name; every
     fifth also carries a name in an attribute *name*, which only the audit can catch."""
@@ -84,8 +87,10 @@ def p5_scrub_pages(spark, folder):
         "page_id", F.concat("html", extra).alias("html"), F.lit("/job_offers").alias("path"), F.concat(F.lit("José Ñandú"), s).alias("name"), F.concat(F.lit("p"), s, F.lit("@example.org")).alias("email"))
     out = F.col("scrubbed")
     count = lambda needle: (F.length(out) - F.length(F.replace(out, F.lit(needle), F.lit("")))).cast("bigint")
+    at = F.instr(out, '<div data-user-id=')
+    bare = F.regexp_replace(F.left(out, at - 1), r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[#a-zA-Z0-9]+;", "")
     return pr.scrub_pages(pages).select(
-        "page_id", count("<p>").alias("p_tags"), count("track(").alias("scripts"), count("<!--").alias("comments"), (count("cv-1.pdf") / 8).cast("bigint").alias("files"), "leaked")
+        "page_id", F.substr(out, at).alias("added"), F.md5(F.regexp_replace(bare, "[^a-z ]", "")).alias("words_md5"), count("<p>").alias("p_tags"), count("track(").alias("scripts"), count("<!--").alias("comments"), (count("cv-1.pdf") / 8).cast("bigint").alias("files"), "leaked")
 
 
 @query("p6_pseudonymise_files", """
