@@ -136,6 +136,24 @@ def test_repeats_are_exact(docs_of, seed):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_shorter_repeats_are_reported(docs_of):
+    """Any repeat of 256 bytes gives a shared place; a row whose repeats are all under 152 bytes has none."""
+    base = [prose(900 + i, 200, 50_000) for i in range(40)]
+    texts = [b[:300] + base[(i * 7 + 1) % 40][100 : 100 + n] + b[400:] for i, (b, n) in enumerate(zip(base, [40, 100, 150, 256, 257, 300, 399, 500] * 5, strict=True))]
+    texts += [prose(5000 + i, 300, 50_000) for i in range(10)] + ["", None, "x" * 200, texts[3]]
+    got = {x.doc_id: x for x in repeats.find_repeats(docs_of(texts), shared=256).collect()}
+    raw = [(t or "").encode() for t in texts]
+    plain = {x.doc_id: (x.n_removed, x.kept_sha256) for x in repeats.find_repeats(docs_of(texts)).collect()}
+    assert {i: (x.n_removed, x.kept_sha256) for i, x in got.items()} == plain
+    for size, wanted in ((256, True), (152, False)):
+        grams = collections.Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
+        for i, t in enumerate(raw):
+            has = any(grams[t[k : k + size]] > 1 for k in range(len(t) - size + 1))
+            if has == wanted:
+                assert (got[i].n_shared > 0) == wanted, (i, size)
+    assert sum(got[i].n_shared > 0 for i in range(40)) > 20
+
+
 # 4 simhash
 
 

@@ -67,10 +67,10 @@ FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 
 @query
 def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes covered by 400-byte strings that start more than once."""
-    found = repeats.find_repeats(table(spark, folder, "documents"))
+    """Bytes covered by 400-byte strings that start more than once; and places in shorter repeats, which stay."""
+    found = repeats.find_repeats(table(spark, folder, "documents"), shared=256)
     share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", share.alias("removed_share"), (F.col("n_removed") > 0).alias("repeated"), "spans")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", share.alias("removed_share"), "n_shared", "spans")
 
 
 @query

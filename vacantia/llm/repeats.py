@@ -134,9 +134,43 @@ def _decided(blocks: DataFrame, core: str) -> DataFrame:
     return joined.select("row", "at", "lo", "hi", (F.col("n") > 1).alias("all"), F.coalesce((F.col("n") == 1) | (place == F.col("chosen")), F.lit(False)).alias("open"))
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), length: int = 400) -> DataFrame:
+def _shared(rows: DataFrame, length: int) -> DataFrame:
+    """``(row, n_shared)``: how many of a row's sampled places stand in a string that occurs at another place too.
+
+    Strings of `length` bytes own the places of their smallest q-grams, as above. Around such a place in a repeated string
+    at least half of the bytes beside the q-gram repeat on one side, so the q-gram with so many bytes before it, and with so many behind
+    it, are each counted over all rows. So a row with a repeated string of `length` bytes has a shared place, and one without a
+    repeated string of half as many has none.
+    """
+    half = (length - Q) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, key = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                raw = text.as_py() or b""
+                if len(raw) < length:
+                    continue
+                view = memoryview(raw)
+                for p in np.unique(owners(np.frombuffer(raw, np.uint8), length, Q)[0]).tolist():
+                    for side, a, b in ((1, p - half, p + Q), (2, p, p + Q + half)):
+                        if a >= 0 and b <= len(raw):
+                            row.append(name)
+                            place.append(p)
+                            key.append(xxhash.xxh3_64_intdigest(view[a:b], side))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.array(_signed(key))], names=["row", "place", "key"])
+
+    places = written(rows.select("row", "text").mapInArrow(run, "row bigint, place bigint, key bigint"), "places")
+    again = written(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    return places.join(again, "key", "left_semi").select("row", "place").distinct().groupBy("row").agg(F.count("*").alias("n_shared"))
+
+
+def find_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), length: int = 400, shared: int | None = None) -> DataFrame:
     """`carry`, ``n_bytes``, ``spans`` (maximal runs of marked bytes, end exclusive), ``n_removed`` and ``kept_sha256``.
 
+    With `shared`, also ``n_shared``: the sampled places in repeated strings of about so many bytes, which may be too short
+    to be removed (see `_shared`).
+
     `length` is at least 128. Null and empty texts have no bytes; texts shorter than `length` keep everything. A
     repeated row is a second place for all its strings. Strings are judged on the input, and texts are read whole.
     """
@@ -179,8 +213,12 @@ def find_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
         spans = [{"start": a, "end": b} for a, b in cuts.reshape(-1, 2).tolist()]
         yield *kept, n_bytes, int(gone.sum()), len(spans), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
-    last = split.join(marks, "row", "left").select(*carry, "n_bytes", "plain_sha256", "text", "marks")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    last = split.join(marks, "row", "left")
+    if shared:
+        last = last.join(_shared(rows, shared), "row", "left").withColumn("_shared", F.coalesce("n_shared", F.lit(0)))
+        given, carry = (*given, "n_shared"), (*carry, "_shared")
+    last = last.select(*carry, "n_bytes", "plain_sha256", "text", "marks")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.select(*carry).schema)
     added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
     return _mapped(last, finish, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string").toDF(*given, *added)
 
