@@ -95,11 +95,11 @@ def r8_cursor_meta(spark, folder):
 
 
 @query("r8_deep_page", f"""
-WITH {OFFERS} SELECT page, pos, slug, posted_at FROM (SELECT *, (row_number() OVER (ORDER BY posted_at DESC, slug) - 1) // 15 + 1 AS page, (row_number() OVER (ORDER BY posted_at DESC, slug) - 1) % 15 AS pos FROM offers_v) WHERE page BETWEEN 801 AND 810""")
+WITH {OFFERS} SELECT page, pos, slug, posted_at FROM (SELECT *, (row_number() OVER (ORDER BY posted_at DESC, slug) - 1) // 15 + 1 AS page, (row_number() OVER (ORDER BY posted_at DESC, slug) - 1) % 15 AS pos FROM offers_v) WHERE page BETWEEN 71 AND 80""")
 def r8_deep_page(spark, folder):
-    """Pages from the 801st on, found by ranges of the sort columns."""
+    """Pages from the 71st on, found by ranges of the sort columns."""
     found = offers(spark, folder).select("slug", "posted_at")
-    return se.served_pages(found, ("posted_at desc", "slug asc"), first_page=801, shallow=1000).select("page", "pos", "slug", "posted_at")
+    return se.served_pages(found, ("posted_at desc", "slug asc"), first_page=71, shallow=100).select("page", "pos", "slug", "posted_at")
 
 
 @query("r10_list_unsuppressed", f"WITH {OFFERS}{LISTING} SELECT page, pos, company_slug FROM l WHERE page BETWEEN 1 AND 10 ORDER BY page, pos LIMIT 120")
