@@ -109,3 +109,12 @@ def test_audit(spark, html, locations):
     df = spark.createDataFrame([(html, "Ana Íñiguez")], "html string, name string").withColumn(
         "identity", P.identity_patterns(P.identity_variants(F.col("name"), F.lit(None).cast("string"))))
     assert P.audit_pages(df).first().locations == locations
+
+
+def test_join_moves_names_not_patterns(spark):
+    """Patterns of every person in a broadcast relation do not fit a driver: they are made behind the join."""
+    docs = spark.createDataFrame([(1, "Ana")], "owner int, text string")
+    people = spark.createDataFrame([(1, "Ana Íñiguez", "ana@example.org")], "owner int, name string, email string")
+    plan = P.with_identity(docs, people, "owner").select(P.mask_identity(F.col("text"), F.col("identity")))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter")
+    assert "identity" in above and "regexp_extract_all" not in below and "transform" not in below

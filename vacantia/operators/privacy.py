@@ -177,13 +177,13 @@ def _bounded_pattern(alternatives: Column, starts: Column, marks: bool) -> Colum
 
 
 def identity_patterns(variants: Column) -> Column:
-    """``struct(variants, folded, ascii, wide)``: patterns for folded text, for ASCII text and for any text
-    without rare characters."""
+    """``struct(variants, folded, ascii)``: patterns for folded text and for ASCII text. The pattern of all spellings is some
+    forty times as long and is made where a text needs it."""
     spaced = lambda v: F.array_join(F.transform(F.split(v, " "), _escaped), r"\s+")
 
     def built(known: Column) -> Column:
         near = _bounded_pattern(F.transform(known, spaced), F.transform(known, lambda v: _escaped(F.left(v, F.lit(1)))), False)
-        return F.struct(known.alias("variants"), near.alias("folded"), F.concat(F.lit("(?i)"), near).alias("ascii"), wide_pattern(known, rare=False).alias("wide"))
+        return F.struct(known.alias("variants"), near.alias("folded"), F.concat(F.lit("(?i)"), near).alias("ascii"))
 
     return let(variants, built)
 
@@ -204,10 +204,12 @@ def wide_pattern(variants: Column, *, rare: bool) -> Column:
 
 
 def with_identity(docs: DataFrame, people: DataFrame, owner: str, *, name: str = "name", email: str = "email") -> DataFrame:
-    """`docs` with the patterns of their owner as `identity` (NULL without one). One equality join; the
-    patterns are built once per person."""
-    built = people.select(F.col(owner), identity_patterns(identity_variants(F.col(name), F.col(email))).alias("identity"))
-    return docs.join(built, owner, "left")
+    """`docs` with the patterns of their owner as `identity` (NULL without one). One equality join that moves names and
+    addresses only: the patterns, many times their size, are built by the tasks that hold the documents."""
+    owners = people.select(F.col(owner), F.struct(F.col(name).alias("name"), F.col(email).alias("email")).alias("_owner"))
+    known = F.col("_owner").isNotNull()
+    joined = docs.join(owners, owner, "left")
+    return joined.withColumn("identity", F.when(known, identity_patterns(identity_variants(F.col("_owner.name"), F.col("_owner.email"))))).drop("_owner")
 
 
 @lru_cache(maxsize=None)
@@ -243,7 +245,7 @@ def mask_spellings(text: Column, identity: Column) -> Column:
         needed = common.rlike(_rare_chars()) & leaks(common, identity)
         return F.when(needed, F.regexp_replace(common, wide_pattern(identity["variants"], rare=True), F.lit(MASK))).otherwise(common)
 
-    wide = F.when(leaks(text, identity), let(F.regexp_replace(text, identity["wide"], F.lit(MASK)), rest)).otherwise(text)
+    wide = F.when(leaks(text, identity), let(F.regexp_replace(text, wide_pattern(identity["variants"], rare=False), F.lit(MASK)), rest)).otherwise(text)
     masked = F.when(is_ascii(text), F.regexp_replace(text, identity["ascii"], F.lit(MASK))).otherwise(wide)
     return F.when(identity["folded"].isNull(), text).otherwise(masked)
 
