@@ -16,12 +16,14 @@ from vacantia.plans.registry import query
 
 PAGE_DAY = "2026-09-24"
 UNESCAPE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+#: The same references in text, where HTML5 also reads them without their semicolon (a title cut in the middle of one).
+UNESCAPE_TEXT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 
 @query("x0_element_table", f"""
-SELECT page_id, trim(regexp_replace({UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, '\\s+', ' ', 'g')) AS h1, len(regexp_extract_all(html, '<li>')) AS items,
-  {UNESCAPE.format("array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1), lambda t: trim(t)), '|')")} AS links,
-  {UNESCAPE.format("array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1), '|')")} AS hrefs, trim(regexp_replace({UNESCAPE.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")}, '\\s+', ' ', 'g')) AS ad FROM pages""")
+SELECT page_id, trim(regexp_replace({UNESCAPE_TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, '\\s+', ' ', 'g')) AS h1, len(regexp_extract_all(html, '<li>')) AS items,
+  {UNESCAPE_TEXT.format("array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1), lambda t: trim(t)), '|')")} AS links,
+  {UNESCAPE.format("array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1), '|')")} AS hrefs, trim(regexp_replace({UNESCAPE_TEXT.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")}, '\\s+', ' ', 'g')) AS ad FROM pages""")
 def x0_element_table(spark, folder):
     keep = (Sel("h1", tag="h1"), Sel("item", tag="li"), Sel("link", tag="a", attr="href", under=Sel(tag="nav")), Sel("ad", tag="div", cls="ad"))
     hits = F.col("hits")
