@@ -11,7 +11,7 @@ PAGE = (
 CUTS = ["one&amp;&amp", "two&quot", "three&am", "four&a", "five&", "six&amp;quot;", "seven &copy", "eight&amp ; x", "nine &middot"]
 
 
-@pytest.mark.parametrize("name", ["p5_scrub_pages", "x0_element_table"])
+@pytest.mark.parametrize("name", ["p5_scrub_pages", "x0_element_table", "x6_html_to_text"])
 def test_cut_references(spark, tmp_path, name):
     rows = [(i, f"https://example.org/{i}", PAGE.format(cut)) for i, cut in enumerate(CUTS)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

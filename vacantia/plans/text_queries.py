@@ -213,7 +213,7 @@ def n18_role_pills(spark, folder):
 
 @query("x6_html_to_text", r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(?:p|div|li|ul|ol|h[1-6]|tr|table|section)\s*>', chr(10), 'gi'), '<li\b[^>]*>', '- ', 'gi'), '<[^>]+>', ' ', 'g') AS s FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS s FROM a)
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS s FROM a)
 SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text_md5 FROM b""")
 def x6_html_to_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.md5(tx.html_to_text(F.col("html"))).alias("text_md5"))
