@@ -36,6 +36,34 @@ def test_normalize_space(evaluate):
     assert evaluate(folding.normalize_space, [" a  b\n", " ", None]) == ["a b", "", None]
 
 
+def test_forms_are_fold_normalize_and_key(evaluate):
+    values = [*SAMPLES, None, "".join(chr(p) + "a" for p in range(1, 0x3100) if p != 0x3A3), "Ĳ ß\u2003\u2028ẞ\x85K", "plain  Text\t"]
+    of = lambda fn: evaluate(fn, values)
+    assert [tuple(f) for f in of(folding.forms)] == list(zip(of(folding.fold), of(folding.normalize), of(folding.key), strict=True))
+    assert of(folding.normalize_space) == [None if v is None else " ".join(v.split()) for v in values]
+
+
+def test_spaces_of_many_tasks_are_quick(spark):
+    """Threads of one JVM must not wait for each other: a few times the plainest pattern, not fifteen."""
+    import time
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(800)), lambda i: F.concat(F.lit("palabra\n"), i.cast("string"))), " ")
+    df = spark.range(0, 2000, 1, 8).select(F.concat(words, F.col("id").cast("string")).alias("v")).persist()
+    df.count()
+
+    def best(column) -> float:
+        def run() -> float:
+            start = time.perf_counter()
+            df.select(F.md5(column).alias("m")).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - start
+
+        return min(run() for _ in range(4))
+
+    plain = best(F.regexp_replace("v", "[ \n]+", " "))
+    assert best(folding.normalize_space(F.col("v"))) < 4 * plain + 0.2
+    df.unpersist()
+
+
 @pytest.mark.parametrize("value,expected", [
     ("2026-09-23", "2026-09-23"), ("2026-09-23T10:00:00-03:00", "2026-09-23"), ("23/09/26", "2026-09-23"),
     ("23/09/2026", "2026-09-23"), ("23/09/26 12:00", "2026-09-23"), ("2026-02-30", None), ("hace 2 días", None),

@@ -14,13 +14,17 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Everything Python's ``str.split()`` treats as white space but the plain space, as a Java character class.
-NOT_PLAIN_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0[[^\x00-\xff]&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+#: What Python's ``str.split()`` treats as white space: Latin-1 as a Java character class, the others as they are. Latin-1 named sign by
+#: sign is a table to Java; in classes with ranges, negations or wide characters the threads of one JVM wait for each other.
+SPACE = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0]"
+FAR_SPACE = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: All of ASCII but lower-case letters and digits, sign by sign.
+NO_KEY = "[" + "".join(f"\\x{p:02x}" for p in range(128) if not (chr(p).islower() or chr(p).isdigit())) + "]"
 #: The last code point with a decomposition is below this one; Hangul syllables are decomposed by rule.
 LAST_CODE_POINT = 0x2FFFF
 HANGUL = (0xAC00, 0xD7A3)
@@ -112,14 +116,21 @@ def _folded(text: Column, casefold: bool) -> Column:
 
 
 def normalize_space(text: Column) -> Column:
-    """Every run of white space (NBSP included) as one space, none at the ends. Single plain spaces, most of
-    any text, are not touched."""
-    return F.btrim(F.regexp_replace(text, f" *{NOT_PLAIN_SPACE}[ {NOT_PLAIN_SPACE[1:-1]}]*| {{2,}}", " "))
+    """Every run of white space (NBSP included) as one space, none at the ends."""
+    def spaced(t: Column) -> Column:
+        near = reduce(lambda c, space: F.replace(c, F.lit(space), F.lit(" ")), FAR_SPACE, t)
+        return F.btrim(F.regexp_replace(F.when(is_ascii(t), t).otherwise(near), f"{SPACE}+", " "))
+
+    return let(text, spaced)
+
+
+def _letters(plain: Column) -> Column:
+    return let(F.regexp_replace(plain, f"{NO_KEY}+", ""), lambda t: F.when(is_ascii(t), t).otherwise(F.regexp_replace(t, "[^a-z0-9]+", "")))
 
 
 def key(text: Column) -> Column:
     """Lower-case ASCII letters and digits only: ``Bío Bío`` -> ``biobio``."""
-    return F.regexp_replace(_folded(text, casefold=False), "[^a-z0-9]", "")
+    return _letters(_folded(text, casefold=False))
 
 
 def fold(text: Column) -> Column:
@@ -132,6 +143,16 @@ def normalize(text: Column) -> Column:
     return normalize_space(_folded(text, casefold=False))
 
 
+def forms(text: Column) -> Column:
+    """``struct(fold, normalize, key)`` of a text that all three are wanted of: folded once, and a second time only if more than ASCII
+    is left, as lower case and case folding differ in nothing that ends up as ASCII."""
+    def of_plain(plain: Column) -> Column:
+        return let(normalize_space(plain), lambda spaced: F.struct(
+            F.when(is_ascii(plain), spaced).otherwise(fold(text)).alias("fold"), spaced.alias("normalize"), _letters(plain).alias("key")))
+
+    return let(_folded(text, casefold=False), of_plain)
+
+
 def fold_literal(text: str) -> str:
     """The driver-side value of :func:`fold` for a literal argument."""
     return " ".join(_decompose(text).casefold().split())

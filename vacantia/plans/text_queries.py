@@ -21,9 +21,8 @@ FOLD_DOC = SQUEEZE.format("strip_accents(lower(replace(replace(text, 'ß', 'ss')
 SELECT doc_id, md5({FOLD_DOC}) AS fold_md5, md5({SQUEEZE.format("strip_accents(lower(text))")}) AS normalize_md5,
   md5(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g')) AS key_md5 FROM documents""")
 def n1_fold(spark, folder):
-    text = F.col("text")
-    return table(spark, folder, "documents").select(
-        "doc_id", F.md5(fo.fold(text)).alias("fold_md5"), F.md5(fo.normalize(text)).alias("normalize_md5"), F.md5(fo.key(text)).alias("key_md5"))
+    forms = table(spark, folder, "documents").select("doc_id", fo.forms(F.col("text")).alias("f"))
+    return forms.select("doc_id", F.md5("f.fold").alias("fold_md5"), F.md5("f.normalize").alias("normalize_md5"), F.md5("f.key").alias("key_md5"))
 
 
 @query("n2_normalize_space", f"SELECT doc_id, md5({SQUEEZE.format('text')}) AS text_md5, length({SQUEEZE.format('text')}) AS n FROM documents")
