@@ -179,3 +179,21 @@ def test_work_folder_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         session.work_folder(Cluster())
     Context.master = "local[4]"
     assert session.work_folder(Cluster()).startswith("/tmp/spark-")
+
+
+def test_jsonl_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "o.jsonl").write_bytes(b'{"slug":"a","salary_min":1}\r\n{"slug":"b"}\r\r\n\n  \r\n{"slug":"c"}\r{bad\r\n[1]')
+    offers, skipped = R.read_offers_jsonl(spark, str(tmp_path / "o.jsonl"))
+    plan = offers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "regexp_replace" not in plan
+    assert sorted((r.slug, r.salary_min) for r in offers.collect()) == [("a", 1), ("b", None), ("c", None)]
+    assert skipped.first().skipped == 2
+
+
+def test_control_characters_named_one_by_one(spark):
+    from vacantia.functions.text import CONTROL_CHARS, plain_text
+
+    points = "".join(chr(p) for p in range(0x300))
+    kept = "".join(c for c in points if c in "\t\n" or not (c < " " or "\x7f" <= c <= "\x9f"))
+    assert spark.createDataFrame([(points,)], "v string").select(plain_text(F.col("v")).alias("v")).first().v == kept
+    assert "-" not in CONTROL_CHARS  # ranges make threads wait for each other

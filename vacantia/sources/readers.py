@@ -38,9 +38,10 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Text lines. Encodings other than UTF-8 go through the CSV reader, which decodes, as one column."""
+    """Text lines. Encodings other than UTF-8 go through the CSV reader, which decodes, as one column. The text reader ends a line
+    at CR, LF or both, so that none is left in it."""
     if encoding == "UTF-8":
-        return spark.read.text(path).select(F.regexp_replace("value", "\\r$", "").alias("value"))
+        return spark.read.text(path)
     reader = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").option("lineSep", "\n")
     return reader.csv(path).select(F.regexp_replace("value", "^﻿|\\r$", "").alias("value"))
 
@@ -59,7 +60,9 @@ def read_offers_jsonl(spark: SparkSession, path: str, schema: T.StructType = OFF
     """
     with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     lines = _lines(spark, path, detect_encoding(spark, path)).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("o"))
+    read = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # as a generated row, which no filter or column is pushed through: each line is parsed once
+    parsed = lines.select("value", F.explode(F.array(read)).alias("o"))
     is_object = F.ltrim("value").startswith("{") & F.col("o._bad").isNull()
     offers = parsed.where(is_object).select(*[F.col(f"o.{f.name}") for f in schema.fields])
     return blank_to_null(offers), parsed.agg(F.count_if(~is_object).alias("skipped"))
@@ -110,7 +113,7 @@ def csv_shapes(spark: SparkSession, path: str) -> list[CsvShape]:
     lines = spark.read.text(path).select(*place, "value")
     head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
     marked = reduce(lambda c, m: c.when(head.startswith(m[0]), m[1]), BYTE_ORDER_MARKS[1:], F.when(head.startswith(BYTE_ORDER_MARKS[0][0]), BYTE_ORDER_MARKS[0][1]))
-    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    odd = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     # validity is asked of the bytes: a pattern would read past what is wrong with them
     facts = lines.groupBy("file").agg(
         F.max(F.when(F.col("start") == 0, marked)).alias("mark"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(odd).alias("spans"))
