@@ -196,4 +196,4 @@ def test_control_characters_named_one_by_one(spark):
     points = "".join(chr(p) for p in range(0x300))
     kept = "".join(c for c in points if c in "\t\n" or not (c < " " or "\x7f" <= c <= "\x9f"))
     assert spark.createDataFrame([(points,)], "v string").select(plain_text(F.col("v")).alias("v")).first().v == kept
-    assert "-" not in CONTROL_CHARS  # ranges make threads wait for each other
+    assert "-" not in CONTROL_CHARS  # a class without ranges is a table to Java

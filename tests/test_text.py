@@ -44,7 +44,7 @@ def test_forms_are_fold_normalize_and_key(evaluate):
 
 
 def test_spaces_of_many_tasks_are_quick(spark):
-    """Threads of one JVM must not wait for each other: a few times the plainest pattern, not fifteen."""
+    """On many threads of one JVM it takes a few times as long as the plainest pattern, not eight times."""
     import time
 
     words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(800)), lambda i: F.concat(F.lit("palabra\n"), i.cast("string"))), " ")

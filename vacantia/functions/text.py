@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from vacantia.functions.folding import let, literal_map, normalize_space
 
 # ---- fixed values: formats the results depend on ------------------------------------------------
-#: C0 but tab and newline, DEL and C1, sign by sign: a table to Java, where threads wait for each other in a class of ranges.
+#: C0 but tab and newline, DEL and C1, sign by sign, which is a table to Java.
 CONTROL_CHARS = "[" + "".join(f"\\x{p:02x}" for p in (*range(0x09), *range(0x0b, 0x20), *range(0x7f, 0xa0))) + "]"
 BLOCK_END = r"(?i)</(?:p|div|li|ul|ol|h[1-6]|tr|table|section)\s*>"
 DAY_FIRST = r"^(3[01]|[12][0-9]|0?[1-9])/(1[0-2]|0?[1-9])/([0-9]{2}|[0-9]{4})( (?:2[0-3]|[01]?[0-9]):[0-5]?[0-9])?$"
